@@ -21,9 +21,9 @@ from .common import slices
 from .ragged import Texts, covered, mix, ngrams, repeated
 
 #: Percent of a text's word code points that repeated n-grams of each length may cover.
-NGRAM_LIMITS = {5: 15, 7: 13, 10: 10}
+NGRAM_LIMITS = {5: 40, 7: 35, 10: 30}
 #: Percent of a text's word code points that lines equal to an earlier line may hold.
-LINE_LIMIT = 20
+LINE_LIMIT = 30
 MIN_WORDS, MAX_REPEAT = 50, 50
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, " + ", ".join(f"dup_chars_{n} long" for n in NGRAM_LIMITS)
 _SYMBOL = np.zeros(256, bool)
