@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality_rules.op3_quality_rules}
+    return {
+        "op1_chat_format": chat_format.op1_chat_format,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_mix": mixing.op5_mix,
+        "op6_token_counts": token_counts.op6_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.oracle()}
+    return {"op1_chat_format": chat_format.oracle(), "op3_quality_rules": quality_rules.oracle()}
