@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, token_counts
+from . import ann, chat_format, mixing, packing, quality_model, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_prefix_forest": ann.op4_prefix_forest,
         "op5_mix": mixing.op5_mix,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op9_quality_model": quality_model.op9_quality_model,
     }
 
 
