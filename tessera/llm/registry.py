@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, mixing, packing, quality_model, quality_rules, token_counts
+from . import ann, chat_format, language_model, mixing, packing, quality_model, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_prefix_forest": ann.op4_prefix_forest,
         "op5_mix": mixing.op5_mix,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_language_model": language_model.op7_language_model,
         "op9_quality_model": quality_model.op9_quality_model,
     }
 
