@@ -59,3 +59,29 @@ def slices(batches: Iterable, columns: list[str], text: str, most_bytes: int = 1
                 begin, total = i, 0
             total += int(n)
         yield pa.Table.from_batches([batch.slice(begin)]).select(columns)
+
+
+def groups(batches: Iterable, keys: int) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows equal in their first `keys` columns, from Arrow batches sorted by them: (key, slices of batches)."""
+    import numpy as np
+
+    now, held = None, []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n - 1, bool)
+        for k in range(keys):
+            column = batch.column(k)
+            x = column.to_numpy(zero_copy_only=False)
+            change |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(batch.column(k)[a].as_py() for k in range(keys))
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, held

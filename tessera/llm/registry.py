@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, language_model, mixing, packing, quality_model, quality_rules, token_counts
+from . import ann, chat_format, jaccard_join, language_model, mixing, packing, quality_model, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op5_mix": mixing.op5_mix,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_language_model": language_model.op7_language_model,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_model": quality_model.op9_quality_model,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.oracle(), "op3_quality_rules": quality_rules.oracle()}
+    return {"op1_chat_format": chat_format.oracle(), "op3_quality_rules": quality_rules.oracle(), "op8_jaccard_join": jaccard_join.oracle()}
