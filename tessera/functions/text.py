@@ -101,7 +101,7 @@ def breadcrumb(title: Column, path: Column) -> Column:
 
 
 def breadcrumb_parts(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\s*[>›»]\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\s*[>›»]\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def head_tail(c: Column, most: int = 24_000, tail: int = 4_000) -> Column:
@@ -115,5 +115,5 @@ def ordered_distinct(c: Column) -> Column:
 
 def sentences(c: Column, least: int = 25) -> Column:
     """Sentences over `least` characters that are no headings or table rows."""
-    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (F.length(s) > least) & ~s.rlike(r"^[#|]"))
