@@ -41,12 +41,13 @@ class Table:
         touched = self.read().join(keys.select("bucket").distinct(), "bucket", "left_semi")
         kept = touched.join(keys.select(self.key), self.key, "left_anti").select(new.columns)
         out = kept.unionByName(new).repartition("bucket")
+        held = {b for (b,) in touched.select("bucket").distinct().collect()}  # at most `buckets` numbers
         staged = f"{self.path}__staged"
         out.write.mode("overwrite").parquet(staged)  # the table cannot be read and replaced in one plan
         done = self.spark.read.parquet(staged)
         done.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
-        gone = touched.select("bucket").distinct().join(done.select("bucket").distinct(), "bucket", "left_anti")
-        for (b,) in gone.collect():  # at most `buckets` rows: buckets that lost their last row
+        left = {b for (b,) in done.select("bucket").distinct().collect()}
+        for b in sorted(held - left):  # buckets that lost their last row
             empty = self.spark.read.parquet(self.path).filter("false").drop("bucket")
             empty.write.mode("overwrite").parquet(f"{self.path}/bucket={b}")
 
