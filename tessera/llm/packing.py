@@ -107,20 +107,21 @@ def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAP
     names = [f.split()[0] for f in RESULT.split(", ")]
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), RESULT])
 
-    def run(pdf):
+    def run(shard_rows):
         import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["__size", "__key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        source = [None if s is None or s != s else s for s in pdf["__source"].tolist()]
-        placed = pack(zip(pdf["__size"].tolist(), source, pdf["__cluster"].tolist(), strict=True), capacity)
-        row = np.repeat(np.arange(len(pdf)), [len(p) for p in placed])
-        out = pdf[list(keep)].iloc[row].reset_index(drop=True)
-        out[names] = np.array([x for p in placed for x in p], np.int64).reshape(-1, len(names))
-        out["bin_id"] += int(pdf["__shard"].iloc[0]) << 32
-        return pd.DataFrame(out)
-
-    return kept.groupBy("__shard").applyInPandas(run, schema)
+        import pyarrow as pa
+
+        order = np.lexsort((shard_rows["__key"].to_numpy(), -shard_rows["__size"].to_numpy()))
+        rows = shard_rows.take(pa.array(order))
+        placed = pack(zip(*(rows[c].to_pylist() for c in ("__size", "__source", "__cluster")), strict=True), capacity)
+        out = rows.select(list(keep)).take(pa.array(np.repeat(np.arange(len(placed)), [len(p) for p in placed])))
+        numbers = np.array([x for p in placed for x in p], np.int64).reshape(-1, len(names))
+        numbers[:, names.index("bin_id")] += rows["__shard"][0].as_py() << 32
+        for name, x in zip(names, numbers.T, strict=True):
+            out = out.append_column(name, pa.array(x))
+        return out
+
+    return kept.groupBy("__shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
