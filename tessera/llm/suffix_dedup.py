@@ -30,8 +30,8 @@ LENGTH, GRAM = 200, 32
 DIGITS = (8, 64, 128)
 CROWD = 20_000
 BATCH_BYTES = 4 << 20
-#: Rows of a table that is broadcast at most (under 40 MB); beyond, Spark joins by shuffle.
-BROADCAST_ROWS, BROADCAST_SPANS = 500_000, 2_000_000
+#: Texts with copies up to which their list is broadcast (under 40 MB); beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -243,8 +243,6 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __text (bytes) and __spans: the byte runs to remove, merged by merge() where they are used."""
     named = _named(docs, text)
     spans = durable(repeated_spans(named), "repeats-spans")
-    texts, total = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    spans = F.broadcast(spans) if texts <= BROADCAST_ROWS and (total or 0) <= BROADCAST_SPANS else spans
     size = F.octet_length("__text").cast("long")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e")))
     copies = named.filter("__m IS NOT NULL").withColumn("__spans", F.when(size >= LENGTH, all_))
