@@ -2,8 +2,8 @@
 
 Rows are dealt by hash into shards of about SHARD vectors; a shard holds TREES sorted arrays of BITS-bit hash
 strings (signs of projections on random orthogonal directions). A query descends in every tree to its longest
-matching prefix and ascends in all trees at once, one bit at a time, until SHARE of the shard's rows are
-candidates; these are scored exactly. Every row is indexed, every query visits every shard, and a shard's
+matching prefix and ascends in all trees at once, one bit at a time, until SHARE of the shard's rows, LEAST
+at least, are candidates; these are scored exactly. Every row is indexed, every query visits every shard, and a shard's
 rows are sorted before its queries, so a task holds one forest and streams the queries past it.
 Vectors without cluster structure leave no other way to a recall of 0.9 than a fixed share of all rows,
 so the work grows with rows times queries; SHARE trades one for the other.
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-TREES, BITS, SHARE, SHARD, AT_ONCE = 32, 32, 0.4, 16384, 256
+TREES, BITS, SHARE, LEAST, SHARD, AT_ONCE = 32, 32, 0.4, 256, 16384, 256
 
 
 class Forest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES, share: float = SHARE, seed: int = 5):
         self.ids, self.v = ids, vectors
         self.norm = np.sqrt((vectors * vectors).sum(1))
-        self.least = int(np.ceil(share * len(ids)))
+        self.least = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
         rng, d = np.random.default_rng(seed), vectors.shape[1]
         unit = vectors / self.norm[:, None]
         self.middle = unit.mean(0)
