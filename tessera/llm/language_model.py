@@ -27,6 +27,8 @@ from .common import durable, read, slices
 
 HEAD, TAIL, KNOWN = 1024, 128, 65_536
 SIZE, NOISE, STEPS, LEARN = 32, 10, 240, 0.05
+#: Unigram tokens that each context is taken to have been followed by besides its own: a prior for rare contexts.
+PRIOR = 50.0
 #: The end of a text as a token: a separator, so never a word.
 END = b"\n"
 HELD = 300_000
@@ -107,14 +109,16 @@ def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train(pairs: np.ndarray, n: np.ndarray, classes: int = HEAD + TAIL, size: int = SIZE, steps: int = STEPS, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(pairs: np.ndarray, n: np.ndarray, classes: int = HEAD + TAIL, size: int = SIZE, steps: int = STEPS, prior: float = PRIOR, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word vectors, context vectors and biases by noise-contrastive estimation (Adam, all counts in each step)."""
     data = np.zeros(classes * classes, np.float32)
     data[pairs] = n
-    total = max(1.0, float(n.sum()))
-    data = (data / total).reshape(classes, classes)
-    context, word = data.sum(1), data.sum(0)
-    noise = (word * total + 1) / (total + classes)
+    data = data.reshape(classes, classes)
+    noise = data.sum(0) + 1
+    noise /= noise.sum()
+    data += (prior * noise).astype(np.float32)
+    data /= data.sum()
+    context = data.sum(1)
     rng = np.random.default_rng(seed)
     r, q = (rng.standard_normal((classes, size)).astype(np.float32) * 0.1 for _ in range(2))
     b = np.log(noise).astype(np.float32)
