@@ -246,7 +246,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     size = F.octet_length("__text").cast("long")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e")))
     copies = named.filter("__m IS NOT NULL").withColumn("__spans", F.when(size >= LENGTH, all_))
-    single = named.filter("__m IS NULL").join(spans.withColumnRenamed("spans", "__spans"), F.col("__name") == F.col("name"), "left").drop("name")
+    single = named.filter("__m IS NULL").join(spans.select(F.col("name").alias("__found"), F.col("spans").alias("__spans")), F.col("__name") == F.col("__found"), "left").drop("__found")
     return single.unionByName(copies).drop("__name", "__m", "__rep")
 
 
