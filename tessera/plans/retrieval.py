@@ -157,6 +157,12 @@ def diversity_select(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "position", F.col("key").alias("doc_id"), F.col("doc").alias("source"), "rank")
 
 
+DIVERSITY_SQL = f"""WITH {SQL_POOL}, l AS (SELECT item_id, list({{'rank': rank, 'doc_id': doc_id, 'source': source, 'text_key': text_key, 'score': score}} ORDER BY rank) AS xs FROM ph GROUP BY item_id),
+f AS (SELECT item_id, list_reduce(xs, lambda acc, x: CASE WHEN x.score >= 1 AND len(acc) < 8 AND NOT list_contains(list_transform(acc, lambda k: k.text_key), x.text_key) AND len(list_filter(acc, lambda k: k.source = x.source)) < 2
+  THEN list_append(acc, x) ELSE acc END, []::STRUCT(rank BIGINT, doc_id BIGINT, source VARCHAR, text_key VARCHAR, score DOUBLE)[]) AS xs FROM l),
+u AS (SELECT item_id, generate_subscripts(xs, 1) AS position, unnest(xs) AS x FROM f) SELECT item_id, position::INT AS position, x.doc_id, x.source, x.rank FROM u"""
+
+
 def parent_join(spark: SparkSession, d: str) -> DataFrame:
     """Small to big: hits get the size of their parent, a section node per source and language; document nodes do not count."""
     docs = table(spark, d, "documents")
@@ -207,7 +213,7 @@ QUERIES = {
     "dedupe_text_hash": (dedupe_text_hash, DEDUPE_SQL),
     "keep_max_merge": (keep_max_merge, KEEP_MAX_SQL),
     "rescue_top_docs": (rescue_top_docs, RESCUE_SQL),
-    "diversity_select": (diversity_select, None),
+    "diversity_select": (diversity_select, DIVERSITY_SQL),
     "parent_join": (parent_join, PARENT_SQL),
     "source_numbering": (source_numbering, SOURCES_SQL),
     "rerank_order": (rerank_order, RERANK_SQL),

@@ -69,6 +69,22 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "at", T.n_tokens(F.col("text")).alias("n_tokens"), F.md5("text").alias("text_md5"))
 
 
+def _n(x: str) -> str:
+    return f"greatest(1, length({x}) // 4)"
+
+
+PACK_SQL = rf"""WITH b AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '\n', chr(10) || chr(10), 'g'), '\n\s*\n|\n(?:---|\*\*\*|___|<!-- chunk -->)\n'), lambda x: trim(x) <> '') AS b FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(b, lambda x: CASE WHEN {_n("x")} <= 200 THEN [x] ELSE list_transform(generate_series(0, (ceil(length(x) / 800) - 1)::INT), lambda i: substr(x, (i * 800 + 1)::BIGINT, 800)) END)) AS p FROM b),
+f AS (SELECT doc_id, list_reduce(p, lambda acc, x: CASE WHEN acc.now = '' OR {_n("acc.now || chr(10) || chr(10) || x")} <= 200
+  THEN {{'now': CASE WHEN acc.now = '' THEN x ELSE acc.now || chr(10) || chr(10) || x END, 'last': x, 'out': acc.out}}
+  ELSE {{'now': CASE WHEN {_n(f"(CASE WHEN {_n('acc.last')} <= 20 THEN acc.last ELSE right(acc.last, 80) END) || chr(10) || chr(10) || x")} <= 200
+    THEN (CASE WHEN {_n("acc.last")} <= 20 THEN acc.last ELSE right(acc.last, 80) END) || chr(10) || chr(10) || x ELSE x END, 'last': x, 'out': list_append(acc.out, acc.now)}} END,
+  {{'now': '', 'last': '', 'out': []::VARCHAR[]}}) AS s FROM p),
+c AS (SELECT doc_id, list_filter(CASE WHEN s.now = '' THEN s.out ELSE list_append(s.out, s.now) END, lambda x: NOT regexp_matches(x, '^\s*#{{1,6}}\s+[^\n]*\s*$')) AS c FROM f),
+u AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS k, unnest(c) AS x FROM c)
+SELECT doc_id, k::INT AS "at", {_n("x")}::INT AS n_tokens, md5(x) AS text_md5 FROM u"""
+
+
 def chunk_tree(spark: SparkSession, d: str) -> DataFrame:
     t = chunking.tree(_markdown(spark, d), "doc_id", F.col("md"))
     return t.select("doc_id", "node_id", "level", "parent_id", "root_id", "prev_id", "next_id", "position", F.size("path").alias("depth"), "token_count")
@@ -242,7 +258,7 @@ QUERIES = {
     "line_sections": (line_sections, LINES_SQL),
     "section_sizes": (section_sizes, SIZES_SQL),
     "chunk_links": (chunk_links, CHAIN_SQL),
-    "chunk_pack": (chunk_pack, None),
+    "chunk_pack": (chunk_pack, PACK_SQL),
     "chunk_tree": (chunk_tree, None),
     "node_counts": (node_counts, COUNTS_SQL),
     "section_rules": (section_rules, RULES_SQL),

@@ -230,7 +230,36 @@ def title_resolution(spark: SparkSession, d: str) -> DataFrame:
 TITLE_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?m)^#\s+(.+)$', 1), ''), CASE WHEN length(string_split(text, chr(10))[1]) BETWEEN 1 AND 80 THEN string_split(text, chr(10))[1] END, upper(left(source, 1)) || substr(source, 2)) AS title FROM documents)
 SELECT doc_id, title, 'help-' || regexp_replace(regexp_replace({SQL_FOLD.format("title")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || doc_id AS resolved_id FROM t"""
 
+def path_features(spark: SparkSession, d: str) -> DataFrame:
+    """Menu and field paths of documents that have some put in."""
+    text = F.concat(F.lit("Open the "), "source", F.lit(" settings > "), "lang", F.lit(" > last one two three four five six seven. See group / field"), F.col("doc_id").cast("string"), F.lit(" and readme/file.md and /users/list, "), "text")
+    x = table(spark, d, "documents").select("doc_id", text.alias("t"))
+    return x.select("doc_id", F.array_join(features.menu_paths(F.col("t")), "|").alias("menus"), F.array_join(features.field_paths(F.col("t")), "|").alias("fields"))
+
+
+_leads = ", ".join(f"'{x}'" for x in features.LEADS)
+_seg = f"list_filter(string_split(s, ' '), lambda w: w <> '' AND lower(w) NOT IN ({_leads}))"
+_uniq = lambda x: f"coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct({x}), lambda u: {{{{'p': list_position({x}, u), 'x': u}}}})), lambda v: v.x), '|'), '')".replace("{{", "{").replace("}}", "}")
+PATHS_SQL = rf"""WITH t AS (SELECT doc_id, 'Open the ' || source || ' settings > ' || lang || ' > last one two three four five six seven. See group / field' || doc_id || ' and readme/file.md and /users/list, ' || text AS t FROM documents),
+m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '{features.MENU}'), lambda p: array_to_string(list_filter(list_transform(string_split(p, ' > '), lambda s, i: CASE WHEN i = 1
+  THEN array_to_string(({_seg})[-7:], ' ') ELSE array_to_string((list_filter(string_split(s, ' '), lambda w: w <> ''))[1:7], ' ') END), lambda s: s <> ''), ' > ')), lambda p: contains(p, ' > ')) AS m,
+  list_filter(regexp_extract_all(regexp_replace(t, '([A-Za-z0-9]) / ([A-Za-z])', '\1/\2', 'g'), '{features.FIELD}', 1), lambda p: NOT regexp_matches(p, '\.({"|".join(features.EXTENSIONS)})$')) AS f FROM t)
+SELECT doc_id, {_uniq("m")} AS menus, {_uniq("f")} AS fields FROM m"""
+
+
+def diagnostic_headings(spark: SparkSession, d: str) -> DataFrame:
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(i.cast("string"), F.lit(". "), x)).otherwise(x)), "\n")
+    x = table(spark, d, "documents").select("doc_id", features.diagnostic_headings(numbered).alias("t"))
+    return x.select("doc_id", F.md5("t").alias("sheet"), F.regexp_count("t", F.lit(r"(?m)^## ")).alias("n_headings"))
+
+
+DIAGNOSTIC_SQL = r"""WITH l AS (SELECT doc_id, (list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 1 THEN (i - 1) || '. ' || x ELSE x END))[2:] AS l FROM documents),
+t AS (SELECT doc_id, coalesce(array_to_string(list_transform(l, lambda x: regexp_replace(x, '^\s*\d+[.)]\s+(.+)$', '## \1')), chr(10)), '') AS t FROM l)
+SELECT doc_id, md5(t) AS sheet, len(regexp_extract_all(t, '(?m)^## '))::INT AS n_headings FROM t"""
+
 QUERIES = {
+    "path_features": (path_features, PATHS_SQL),
+    "diagnostic_headings": (diagnostic_headings, DIAGNOSTIC_SQL),
     "url_normalise": (url_normalise, URL_SQL),
     "link_graph": (link_graph, LINKS_SQL),
     "slug_and_fold": (slug_and_fold, SLUG_SQL),
