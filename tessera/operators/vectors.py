@@ -28,7 +28,7 @@ def cosine(u: Column, v: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(u, v) / norm)
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, same: bool = False, block: int = 65_536) -> DataFrame:
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, same: bool = False, block: int = 65_536, at_once: int = 64) -> DataFrame:
     """query, id, score, rank (by score rounded to 6 digits, then id). rows: id, v, g; queries: query, v, g.
 
     Every query meets every row of its group (g null in the query: all rows). Rows are dealt into blocks of about
@@ -46,26 +46,32 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, same: bool = False
 
         now, held, x = None, [], None
         for batch in batches:
-            for i, (b, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if b != now:
-                    now, held, x = b, [], None
-                key, v, g = batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy(zero_copy_only=False), batch.column(4)[i].as_py()
-                if kind == 0:
-                    held.append((key, v, g))
+            blocks, kinds, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vectors = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            groups = np.array(["" if g is None else f"={g}" for g in batch.column(4).to_pylist()], object)
+            cuts = (np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if a == b:
                     continue
-                if not held:
+                if blocks[a] != now:
+                    now, held, x = blocks[a], [], None
+                if kinds[a] == 0:
+                    held.append((ids[a:b], vectors[a:b], groups[a:b]))
                     continue
-                if x is None:
-                    ids, x = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                    norm, groups = np.sqrt((x * x).sum(1)), np.array([h[2] or "" for h in held])
-                size = norm * np.sqrt((v * v).sum())
-                score = np.round(np.divide(x @ v, size, out=np.zeros(len(x)), where=size > 0), 6)
-                ok = np.ones(len(x), bool) if g is None else groups == g
-                if same:
-                    ok &= ids != key
-                at = np.flatnonzero(ok)
-                at = at[np.lexsort((ids[at], -score[at]))][:k]
-                yield pa.record_batch([pa.array(np.full(len(at), key)), pa.array(ids[at]), pa.array(score[at])], names=["query", "id", "score"])
+                if x is None and held:
+                    key, x, of = (np.concatenate(part) for part in zip(*held, strict=True))
+                    norm, held = np.sqrt((x * x).sum(1)), []
+                for c in range(a, b, at_once) if x is not None else ():
+                    asked = slice(c, min(b, c + at_once))
+                    size = np.outer(np.sqrt((vectors[asked] ** 2).sum(1)), norm)
+                    score = np.round(np.divide(vectors[asked] @ x.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                    for q, g, row in zip(ids[asked].tolist(), groups[asked], score, strict=True):
+                        ok = np.ones(len(x), bool) if g == "" else of == g
+                        at = np.flatnonzero(ok & (key != q) if same else ok)
+                        if len(at) > k:  # all that reach the k-th score, then ties by id
+                            at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+                        at = at[np.lexsort((key[at], -row[at]))][:k]
+                        yield pa.record_batch([pa.array(np.full(len(at), q)), pa.array(key[at]), pa.array(row[at])], names=["query", "id", "score"])
 
     from .lexical import top_k
 

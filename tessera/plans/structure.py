@@ -141,14 +141,14 @@ WHEN source = 'src1' THEN 'one' WHEN source LIKE 'src1%' THEN 'tens' WHEN source
 
 
 def entity_match(spark: SparkSession, d: str) -> DataFrame:
-    """Names in the first lines, longest first: one inside a longer match of the same text does not count."""
+    """Names in the texts, longest first: one inside a longer match of the same text does not count."""
     names = [("thing", "thing"), ("tion", "tion"), ("ing", "ing"), ("ering", "ering"), ("cion", "ción"), ("mente", "mente"), ("cion mente", "ciónmente"), ("ung", "ung"), ("lich", "lich")]
     n = spark.createDataFrame(names, "entity string, alias string")
-    return rules.longest_matches(table(spark, d, "documents").select("doc_id", F.lower(F.substring_index("text", "\n", 1)).alias("t")), "doc_id", F.col("t"), n)
+    return rules.longest_matches(table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id", F.col("t"), n)
 
 
 ENTITY_SQL = """WITH n(entity, alias) AS (VALUES ('thing', 'thing'), ('tion', 'tion'), ('ing', 'ing'), ('ering', 'ering'), ('cion', 'ción'), ('mente', 'mente'), ('cion mente', 'ciónmente'), ('ung', 'ung'), ('lich', 'lich')),
-h AS (SELECT doc_id, entity, alias FROM documents JOIN n ON contains(lower(string_split(text, chr(10))[1]), alias))
+h AS (SELECT doc_id, entity, alias FROM documents JOIN n ON contains(lower(text), alias))
 SELECT DISTINCT doc_id, entity FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND length(g.alias) > length(h.alias) AND contains(g.alias, h.alias))"""
 
 
