@@ -43,7 +43,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable, columns: list[str], text: str, most_bytes: int = 1 << 20) -> Iterator:
+def slices(batches: Iterable, columns: list[str], text: str, most_bytes: int = 1 << 19) -> Iterator:
     """Cut Arrow record batches into runs of rows holding about most_bytes of text (a longer text alone is one run)."""
     import pyarrow as pa
     import pyarrow.compute as pc

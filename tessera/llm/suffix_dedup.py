@@ -29,7 +29,8 @@ from .ragged import Texts, mix, repeated
 LENGTH, GRAM = 200, 32
 DIGITS = (8, 64, 128)
 CROWD = 20_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+AT_ONCE = 400_000
 #: Texts with copies up to which their list is broadcast (under 40 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -74,18 +75,29 @@ def pack(first: np.ndarray, more: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return first << 16 | more << 8 | offset
 
 
-def windows_repeated(key: np.ndarray, t: Texts, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts t with their bucket keys: row and number of each window that occurs twice in a bucket, by digit passes."""
-    count = more + 1
-    row = np.repeat(np.arange(len(count)), count)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = t.start[row] + number
-    group, depth = key[row], 0
-    for digit in DIGITS:
-        group = mix(group + t.hashes(begin + depth, begin + depth + digit))
-        keep = repeated(group)
-        row, number, begin, group, depth = row[keep], number[keep], begin[keep], group[keep], depth + digit
-    return row, number
+def windows_repeated(key: np.ndarray, t: Texts, more: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts t with their bucket keys: row and number of each window that occurs twice in a bucket, by digit passes.
+
+    Equal windows hold their anchor at the same place, so the places are worked one stretch after the other, at most AT_ONCE windows or one place.
+    """
+    places = LENGTH - GRAM + 1
+    step = max(1, min(places, places * AT_ONCE // max(1, int((more + 1).sum()))))
+    found = []
+    for place in range(0, places, step):
+        low = np.maximum(offset - place - step + 1, 0)
+        count = np.maximum(np.minimum(offset - place, more) - low + 1, 0)
+        row = np.repeat(np.arange(len(count)), count)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - low, count)
+        begin = t.start[row] + number
+        group, depth = mix(key[row] + (offset[row] - number).astype(np.uint64)), 0
+        for digit in DIGITS:
+            group = mix(group + t.hashes(begin + depth, begin + depth + digit))
+            keep = repeated(group)
+            row, number, begin, group, depth = row[keep], number[keep], begin[keep], group[keep], depth + digit
+        found.append((row, number))
+    row, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((number, row))
+    return row[order], number[order]
 
 
 def runs(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +185,12 @@ def _compare(contexts: DataFrame) -> DataFrame:
 
         key = rows["key"].to_numpy().view(np.uint64)
         alone = rows["alone"].to_numpy()
-        first, more = rows["pack"].to_numpy() >> 16, rows["pack"].to_numpy() >> 8 & 255
+        first, more, offset = (rows["pack"].to_numpy() >> x & y for x, y in ((16, -1), (8, 255), (0, 255)))
         t = Texts(rows["bytes"].to_pylist())
         one = np.flatnonzero(alone)
         one = one[repeated(mix(key[one] + t.hashes(t.start[one], t.start[one] + t.size[one])))]
         many = np.flatnonzero(~alone)
-        row, number = windows_repeated(key[many], t if len(many) == len(key) else Texts(rows["bytes"].take(pa.array(many)).to_pylist()), more[many])
+        row, number = windows_repeated(key[many], t if len(many) == len(key) else Texts(rows["bytes"].take(pa.array(many)).to_pylist()), more[many], offset[many])
         row, a, b = runs(row, number)
         row = many[row]
         begin = np.concatenate([first[row] + a, first[one]])
