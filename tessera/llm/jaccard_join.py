@@ -32,7 +32,7 @@ HASHES = BANDS * ROWS
 CHUNK = 36
 TOLERANCE = 1e-7
 BLOCK = 1500
-#: Texts up to which the list of those in candidate components is broadcast (about 20 MB); beyond, Spark joins.
+#: Texts up to which the list of those in candidate components is broadcast (under 100 MB as rows); beyond, Spark joins by shuffle.
 BROADCAST_TEXTS = 500_000
 _rng = np.random.default_rng(99)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
