@@ -58,10 +58,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, defaults: dict[str,
 
 
 def write_markdown(rows: DataFrame, path: str) -> None:
-    """Articles (name, front map, body) as text files, one task writing many: a folder of parts with one document per line break free record."""
-    front = F.array_join(F.transform(F.map_entries("front"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    """Articles (name, front: map of strings, body) as text, a folder name=<name> for each; stale ones go, as the whole path is replaced."""
+    front = F.array_join(F.transform(F.array_sort(F.map_entries("front")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     text = F.concat(F.lit("---\n"), front, F.lit("\n---\n\n"), F.col("body"))
-    rows.select("name", text.alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n\x00").text(path)
+    rows.select("name", text.alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def cache_key(kind: str, model: str, payload: Column, version: int = 1) -> Column:
