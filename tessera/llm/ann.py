@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bound_batches, read
 
 TREES, BITS, SHARE, LEAST, SHARD, AT_ONCE = 32, 32, 0.4, 256, 16384, 256
 
@@ -91,7 +91,7 @@ def usable(v: Column, dim: Column | int) -> Column:
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", share: float = SHARE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is a query, among all other rows."""
-    d = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND v IS NOT NULL")
+    d = bound_batches(rows).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND v IS NOT NULL")
     head = d.agg(F.mode(F.size("v")), F.count(F.lit(1))).first()
     dim, n = head[0] or 1, max(1, -(-head[1] // shard))
     d = d.filter(usable(F.col("v"), dim))

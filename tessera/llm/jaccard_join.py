@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, groups, read, slices
+from .common import bound_batches, durable, groups, read, slices
 from .components import components
 from .ragged import Texts, mix, ngrams
 
@@ -194,7 +194,7 @@ def _compare(work: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """For each distinct text: digest, rep, m, n, class_id, class_root, links (linked rows of other texts)."""
-    texts = durable(_texts(docs, text), "jaccard-texts")
+    texts = durable(_texts(bound_batches(docs), text), "jaccard-texts")
     keys = texts.select("digest", F.posexplode("bands").alias("band", "key"))
     bucket = Window.partitionBy("key", "band")
     keys = keys.select("*", F.min("digest").over(bucket).alias("first"), F.count(F.lit(1)).over(bucket).alias("size")).filter("size > 1")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, read, slices
+from .common import bound_batches, durable, read, slices
 
 HEAD, TAIL, KNOWN = 1024, 128, 65_536
 SIZE, NOISE, STEPS, LEARN = 32, 10, 240, 0.05
@@ -206,7 +206,7 @@ def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, tuple]:
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
-    d = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
+    d = bound_batches(docs).select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts, n, kinds, vocabulary, model = learn(d.filter(~F.col("held_out")).select("text"))
     known = durable(score_texts(d, ["doc_id", "held_out"], vocabulary, model), "lm-scores")
     rare = known.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

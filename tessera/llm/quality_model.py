@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import bound_batches, read, slices
 from .ragged import Texts, covered, mix, ngrams, repeated
 
 #: The most labelled rows that a model is fitted on.
@@ -163,7 +163,7 @@ class Additive:
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text", model: Additive | None = None) -> DataFrame:
     """keep with features array<double>, or with the model's score."""
-    carry = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("__text"))
+    carry = bound_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("__text"))
     result = "features array<double>" if model is None else "score double"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carry.schema if f.name != "__text"), result])
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .ragged import Texts, covered, mix, ngrams, repeated
 
 #: Percent of a text's word code points that repeated n-grams of each length may cover.
@@ -67,7 +67,7 @@ def repetition(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     """docs with the counts of RESULT, base_failed and kept. keep: columns of docs to carry (default: all but clashing ones)."""
     names = [f.split()[0] for f in RESULT.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {*names, "base_failed", "kept"}]
-    carry = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("__text"))
+    carry = bound_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("binary").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carry.schema if f.name != "__text"), RESULT])
 
     def run(batches: Iterator) -> Iterator:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read, slices
+from .common import bound_batches, durable, read, slices
 from .ragged import Texts, mix, repeated
 
 LENGTH, GRAM = 200, 32
@@ -253,7 +253,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __text (bytes) and __spans: the byte runs to remove, merged by merge() where they are used."""
-    named = _named(docs, text)
+    named = _named(bound_batches(docs), text)
     spans = durable(repeated_spans(named), "repeats-spans")
     size = F.octet_length("__text").cast("long")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e")))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import bound_batches, read, slices
 
 RESULT = "n_bytes long, n_tokens long"
 #: The white space that the pre-tokenizer's \s means.
@@ -160,7 +160,7 @@ def vocabulary(file: str) -> str:
 def count_tokens(docs: DataFrame, text: str = "text", file: str = "byte_bpe_50k.json", keep: list[str] | None = None) -> DataFrame:
     """docs with n_bytes and n_tokens of each whole text; without the text itself if keep leaves it out."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens")]
-    carry = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    carry = bound_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carry.schema if f.name != "__text"), RESULT])
 
     def run(batches: Iterator) -> Iterator:
