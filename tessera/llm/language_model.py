@@ -1,13 +1,16 @@
 """Language-model scores of a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts each word's class from the class before it: the HEAD commonest words are classes of their own,
-all others share TAIL classes by a hash of their last two bytes. score(context, class) = r(class) . q(context) + b(class),
-so one matrix product gives all scores and their row-wise softmax the normalised probabilities. Training data
-are the class pairs of all training texts, counted on the executors; numpy then maximises the noise-contrastive objective over
-these counts with unigram noise, whose expectation is summed exactly. Inside a tail class a word has probability
-(c + 1) / (words + kinds + 1) of that class, the rest being for unseen words, so the probabilities of all words sum to 1.
-
-Counts of all words stay distributed: the commonest KNOWN are broadcast (a fixed bound), the others are joined.
+A word is predicted in two factors. First its class: the HEAD commonest words are classes of their own, all others share
+TAIL classes by a hash of their last two bytes. For each of POSITIONS places before the word, score(context, class) =
+r(class) . q(context) + b(class), so one matrix product gives all scores and their row-wise softmax the normalised probabilities;
+the places are mixed with weights that depend on the class just before. Then the word inside its tail class: every word that
+occurs LEAST times in training, however many there are, has a vector of its own over the same q(context), with a softmax
+inside the class. All that is learned comes from counts over all training texts, made on the executors; numpy maximises the
+noise-contrastive objective over them with unigram noise, whose expectation is summed exactly. Rarer words share
+what the learned ones leave of their class, each with (c + 1) / (words + kinds + 1) of it, the rest being for unseen words, so the
+probabilities of all words sum to 1.
+
+Counts and vectors of all words stay distributed: the commonest KNOWN are broadcast (a fixed bound), the others are joined.
 
 Cases: a null or empty text is its end token alone; texts are scored whole; repeated rows score equally, row by row;
 with no training rows every count is 0 and the model uniform; an empty table gives no rows; only doc_id and text are read.
@@ -32,6 +35,11 @@ PRIOR = 50.0
 #: The end of a text as a token: a separator, so never a word.
 END = b"\n"
 HELD = 300_000
+#: Places before a word that predict its class, and the mixes of them of which each class just before takes the likeliest.
+POSITIONS = 3
+MIXES = np.array([(1, 0, 0), (0.9, 0.07, 0.03), (0.8, 0.13, 0.07), (0.7, 0.2, 0.1), (0.6, 0.25, 0.15), (0.5, 0.3, 0.2), (0.4, 0.35, 0.25), (0.34, 0.33, 0.33)])
+#: Occurrences in training from which a word outside the head has a vector; how these are fitted, and words in one matrix.
+LEAST, WORD_STEPS, WORD_LEARN, AT_ONCE = 10, 24, 0.15, 2048
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -70,10 +78,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The commonest words with their counts, the class of each, and the sums of the tail classes."""
+    """The commonest words with their counts, the class of each, and the sums of the tail classes. mass: of c + 1 of each tail class's learned words."""
 
-    def __init__(self, words: list[bytes], counts: list[int], tail_words: np.ndarray, tail_kinds: np.ndarray):
+    def __init__(self, words: list[bytes], counts: list[int], tail_words: np.ndarray, tail_kinds: np.ndarray, mass: np.ndarray):
         self.at = {w: i for i, w in enumerate(words)}
+        self.mass = mass
+        self.more = len(words) == KNOWN and counts[-1] >= LEAST  # there may be learned words besides these
         self.counts = np.array([*counts, 0], np.float64)
         self.classes = np.array([*(i if i < HEAD else tail_class(w) for i, w in enumerate(words)), 0], np.int64)
         self.tail_log = np.zeros(HEAD + TAIL)
@@ -88,27 +98,91 @@ class Vocabulary:
         return rows, classes
 
 
+def contexts(classes: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
+    """[position, token] class at each place before a token of its text; before a text's begin stands the end."""
+    at = np.arange(len(classes)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.full((POSITIONS, len(classes)), end)
+    for j in range(POSITIONS):
+        there = np.flatnonzero(at > j)
+        out[j, there] = classes[there - j - 1]
+    return out
+
+
+def read_tokens(part, vocabulary: Vocabulary) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text; then of each token: itself, its row, its class and the classes before it."""
+    each = [tokens(t) for t in part["text"].to_pylist()]
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    words = [w for x in each for w in x]
+    rows, c = vocabulary.classes_of(words)
+    return size, words, rows, c, contexts(c, size, int(vocabulary.classes_of([END])[1][0]))
+
+
 def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """pair int (context * classes + class), n long: each task sends what it has counted once."""
+    """pair int ((position * classes + context) * classes + class), n long: each task sends what it has counted once."""
     k = HEAD + TAIL
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen = np.zeros(k * k, np.int64)
+        seen = np.zeros((POSITIONS, k * k), np.int64)
         for part in slices(batches, ["text"], "text"):
-            words = [w for t in part["text"].to_pylist() for w in tokens(t)]
-            _, c = vocabulary.classes_of(words)
-            before = np.concatenate([vocabulary.classes_of([END])[1], c[:-1]])  # a text begins after the end of another
-            key = before * k + c
-            seen += np.bincount(key, minlength=k * k)
+            _, _, _, c, before = read_tokens(part, vocabulary)
+            for j in range(POSITIONS):
+                np.add.at(seen[j], before[j] * k + c, 1)
         at = np.flatnonzero(seen)
         for i in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(seen[at[i : i + 100_000]])], names=["pair", "n"])
+            yield pa.record_batch([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(seen.ravel()[at[i : i + 100_000]])], names=["pair", "n"])
 
     return texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def count_contexts(texts: DataFrame, vocabulary: Vocabulary, models: list[tuple]) -> DataFrame:
+    """word binary, context int, mix int, n double: how often a word outside the head follows a class; with word null, the log likelihood of each mix after a class."""
+    k = HEAD + TAIL
+    learned = (vocabulary.counts >= LEAST) & (vocabulary.classes >= HEAD)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = pa.array(list(vocabulary.at), pa.binary())
+        tables = [(10 ** log_table(m)).astype(np.float32) for m in models]
+        likely = np.zeros((len(MIXES), k))
+        keys, held, other = [], 0, Counter()
+
+        def batch(words, context, mix, n):
+            return pa.record_batch([words, pa.array(context, pa.int32()), pa.array(mix, pa.int32()), pa.array(n, pa.float64())], names=["word", "context", "mix", "n"])
+
+        def told() -> Iterator:
+            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0))
+            for i in range(0, len(key), 50_000):
+                x = key[i : i + 50_000]
+                yield batch(names.take(pa.array(x // k)), x % k, np.zeros(len(x), np.int32), n[i : i + 50_000].astype(float))
+            rare = list(other.items())
+            for i in range(0, len(rare), 50_000):
+                x = rare[i : i + 50_000]
+                yield batch(pa.array([w for (w, _), _ in x], pa.binary()), [c for (_, c), _ in x], np.zeros(len(x), np.int32), [float(n) for _, n in x])
+
+        for part in slices(batches, ["text"], "text"):
+            _, words, rows, c, before = read_tokens(part, vocabulary)
+            p = np.stack([t[b, c] for t, b in zip(tables, before, strict=True)]).astype(np.float64)
+            for g, mix in enumerate(MIXES):
+                likely[g] += np.bincount(before[0], np.log(mix @ p), k)
+            at = np.flatnonzero((rows >= 0) & learned[rows])
+            keys.append(rows[at] * k + before[0, at])
+            held += len(at)
+            if vocabulary.more:
+                lacks = np.flatnonzero(rows < 0)
+                other.update(zip((words[i] for i in lacks.tolist()), before[0, lacks].tolist(), strict=True))
+            if held > 2_000_000 or len(other) > HELD:
+                yield from told()
+                keys, held = [], 0
+                other.clear()
+        yield from told()
+        yield batch(pa.nulls(likely.size, pa.binary()), np.tile(np.arange(k), len(MIXES)), np.repeat(np.arange(len(MIXES)), k), likely.ravel())
+
+    return texts.mapInArrow(run, "word binary, context int, mix int, n double")
+
+
 def train(pairs: np.ndarray, n: np.ndarray, classes: int = HEAD + TAIL, size: int = SIZE, steps: int = STEPS, prior: float = PRIOR, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word vectors, context vectors and biases by noise-contrastive estimation (Adam, all counts in each step)."""
     data = np.zeros(classes * classes, np.float32)
@@ -144,64 +218,188 @@ def log_table(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
 
 
-def score_texts(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, model: tuple) -> DataFrame:
-    """keep with n_tokens, what the table knows (known, base, score), and the words it lacks with their counts."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "row long, n_tokens long, known long, base double, score double, words array<binary>, times array<int>"])
+def fit_words(data: np.ndarray, c: np.ndarray, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and biases of words (columns of data [context, word]) inside their classes, by noise-contrastive estimation with the
+    classes' unigram noise. follow: how often each word's class follows each context; mass: of its class."""
+    share = ((c + 1) / mass).astype(np.float32)
+    data = data + PRIOR * share
+    scale = 1 / data.sum(0)
+    data *= scale
+    weight = (follow + np.float32(PRIOR)) * (NOISE * share * scale)
+    shift = np.log(NOISE * share)
+    r, b = np.zeros((len(c), q.shape[1]), np.float32), np.log(share)
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (r, b)]
+    both = weight + data  # the gradient is weight * p - data * (1 - p)
+    for t in range(1, WORD_STEPS + 1):
+        p = q @ r.T
+        p += b - shift
+        np.clip(p, -30, 30, out=p)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.divide(both, p, out=p)
+        p -= data
+        for x, dx, (m, v) in zip((r, b), (p.T @ q, p.sum(0)), state, strict=True):
+            m += 0.1 * (dx - m)
+            v += 0.01 * (dx * dx - v)
+            x -= WORD_LEARN * min(1.0, 2 * (1 - t / (WORD_STEPS + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return r, b
+
+
+def word_vectors(words: DataFrame, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> DataFrame:
+    """words: word, c, contexts, times. Returns word, c, v (vector and bias as float32); and rows of class, z (partial sums of its normaliser after each context)."""
+    k = HEAD + TAIL
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        z = np.zeros((TAIL, k))
+        for batch in batches:
+            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
+                c = part["c"].to_numpy(zero_copy_only=False)
+                own = np.array([tail_class(w) - HEAD for w in part["word"].to_pylist()])
+                size = np.diff(part["contexts"].offsets.to_numpy())
+                data = np.zeros((k, len(c)), np.float32)
+                data[part["contexts"].flatten().to_numpy(), np.repeat(np.arange(len(c)), size)] = part["times"].flatten().to_numpy()
+                r, b = fit_words(data, c, follow[:, own], mass[own], q)
+                e = np.exp(q @ r.T + b)
+                for x in np.unique(own):
+                    z[x] += e[:, own == x].sum(1, dtype=np.float64)
+                v = np.column_stack([r, b]).astype(np.float32)
+                yield pa.record_batch([part["word"], part["c"], pa.array([x.tobytes() for x in v], pa.binary()), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
+        some = np.flatnonzero(z.any(1))
+        yield pa.record_batch([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(list(z[some]), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
+
+    return words.mapInArrow(run, "word binary, c long, v binary, class int, z array<double>")
+
+
+class Model(tuple):
+    """(r, q, b) of the class just before a word; with it:
+
+    positions: such models of all places; weights: [class just before, place]; norm: [tail class, context] log10 of a class's mass of
+    learned words over its normaliser; known: vectors of the vocabulary's rows, at has; vectors: those of all learned words.
+    """
+
+    def word_log(self, tail: np.ndarray, context: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """log10 of (c + 1) as the learned second factor has it, for words of vector v after a context."""
+        return ((self[1][context] * v[:, :-1]).sum(1) + v[:, -1]) / np.log(10) + self.norm[tail - HEAD, context]
+
+    def class_logs(self):
+        """A function of contexts [position, token] and classes: log10 probability of each class."""
+        tables = [(10 ** log_table(m)).astype(np.float32) for m in self.positions]
+        return lambda before, c: np.log10(sum(self.weights[before[0], j] * t[before[j], c] for j, t in enumerate(tables)))
+
+    def without_table(self, known: bool = True) -> Model:
+        """A copy that tasks can get."""
+        out = Model(self)
+        out.positions, out.weights, out.norm = self.positions, self.weights, self.norm
+        if known:
+            out.known, out.has = self.known, self.has
+        return out
+
+
+def score_texts(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, model: Model) -> DataFrame:
+    """keep with n_tokens, what the table knows (known, base, score), and the words it lacks with the class before and their counts."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "row long, n_tokens long, known long, base double, score double, words array<binary>, contexts array<int>, times array<int>"])
+    model = model.without_table()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        table, log_c = log_table(model), np.log10(vocabulary.counts + 1)
+        class_log, log_c = model.class_logs(), np.log10(vocabulary.counts + 1)
         row = TaskContext.get().partitionId() << 40
-        end = vocabulary.classes_of([END])[1]
         in_tail = np.where(vocabulary.classes >= HEAD, log_c, 0)  # head words need no count inside their class
         for part in slices(batches, [*keep, "text"], "text"):
-            each = [tokens(t) for t in part["text"].to_pylist()]
-            size = np.fromiter(map(len, each), np.int64, len(each))
-            words = [w for x in each for w in x]
-            rows, c = vocabulary.classes_of(words)
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            before = np.concatenate([end, c[:-1]])
-            score = table[before, c] + np.where(rows >= 0, in_tail[rows], 0) - vocabulary.tail_log[c]
+            size, words, rows, c, before = read_tokens(part, vocabulary)
+            begin = np.cumsum(size) - size
             there = rows >= 0
+            score = class_log(before, c) + np.where(there, in_tail[rows], 0) - vocabulary.tail_log[c]
+            at = np.flatnonzero(there & model.has[rows])
+            score[at] += model.word_log(c[at], before[0, at], model.known[rows[at]]) - in_tail[rows[at]]
             lacks = np.flatnonzero(~there)
-            other: list[Counter] = [Counter() for _ in each]
-            for i, d in zip(lacks.tolist(), (np.searchsorted(begin, lacks, "right") - 1).tolist(), strict=True):
-                other[d][words[i]] += 1
+            other: list[Counter] = [Counter() for _ in size]
+            for i, d, x in zip(lacks.tolist(), (np.searchsorted(begin, lacks, "right") - 1).tolist(), (before[0, lacks] if vocabulary.more else 0 * lacks).tolist(), strict=True):
+                other[d][words[i], x] += 1
             out = part.select(keep)
             for name, x in (
-                ("row", pa.array(row + np.arange(len(each)))),
+                ("row", pa.array(row + np.arange(len(size)))),
                 ("n_tokens", pa.array(size)),
                 ("known", pa.array(np.add.reduceat((there & (vocabulary.counts[rows] > 0)).astype(np.int64), begin))),
                 ("base", pa.array(np.add.reduceat(np.where(there, log_c[rows], 0), begin))),
                 ("score", pa.array(np.add.reduceat(score, begin))),
-                ("words", pa.array([list(x) for x in other], pa.list_(pa.binary()))),
+                ("words", pa.array([[w for w, _ in x] for x in other], pa.list_(pa.binary()))),
+                ("contexts", pa.array([[c for _, c in x] for x in other], pa.list_(pa.int32()))),
                 ("times", pa.array([list(x.values()) for x in other], pa.list_(pa.int32()))),
             ):
                 out = out.append_column(name, x)
-            row += len(each)
+            row += len(size)
             yield from out.combine_chunks().to_batches()
 
     return docs.mapInArrow(run, schema)
 
 
-def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, tuple]:
+def learned_logs(rare: DataFrame, model: Model) -> DataFrame:
+    """rare: row, times, c, class, context, v. Returns row, times, and sums of log10 of a word's count + 1 (base) and of what it has inside its class before the class's sum (logs)."""
+    small = model.without_table(known=False)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            base = np.log10(batch["c"].to_numpy() + 1)
+            logs, times = base.copy(), batch["times"].to_numpy()
+            has = np.flatnonzero(batch["v"].is_valid().to_numpy(zero_copy_only=False))
+            v = np.frombuffer(b"".join(batch["v"].drop_null().to_pylist()), np.float32).reshape(len(has), SIZE + 1)
+            logs[has] = small.word_log(batch["class"].to_numpy()[has], batch["context"].to_numpy()[has], v)
+            yield pa.record_batch([batch["row"], batch["times"], pa.array(base * times), pa.array(logs * times)], names=["row", "times", "base", "logs"])
+
+    return rare.select("row", "times", "c", "class", "context", "v").mapInArrow(run, "row long, times int, base double, logs double")
+
+
+def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, Model]:
     """counts (word, c), all tokens, kinds of tokens, and the vocabulary and model for score_texts."""
     counts = durable(count_words(texts), "lm-counts")
-    n, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n, kinds, n_learned = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= LEAST)).first()
     top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
     words, c = top["word"].to_pylist(), top["c"].to_pylist()
-    tail = counts.groupBy(tail_class_column(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    tail_words, tail_kinds = np.zeros(TAIL), np.zeros(TAIL)
-    for k, x, y in tail:
-        tail_words[k - HEAD], tail_kinds[k - HEAD] = x, y
+    tail = counts.groupBy(tail_class_column(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("c") >= LEAST, F.col("c") + 1).otherwise(0)).alias("mass")).collect()
+    tail_words, tail_kinds, mass = np.zeros(TAIL), np.zeros(TAIL), np.zeros(TAIL)
+    for k, x, y, m in tail:
+        tail_words[k - HEAD], tail_kinds[k - HEAD], mass[k - HEAD] = x, y, m
     for w, x in zip(words[:HEAD], c[:HEAD], strict=True):
         tail_words[tail_class(w) - HEAD] -= x
         tail_kinds[tail_class(w) - HEAD] -= 1
-    vocabulary = Vocabulary(words, c, tail_words, tail_kinds)
+        mass[tail_class(w) - HEAD] -= x + 1 if x >= LEAST else 0
+    vocabulary = Vocabulary(words, c, tail_words, tail_kinds, mass)
     pairs = count_pairs(texts, vocabulary).toArrow()
-    return counts, n, kinds, vocabulary, train(pairs["pair"].to_numpy(), pairs["n"].to_numpy())
+    pair, times, k = pairs["pair"].to_numpy(), pairs["n"].to_numpy(), HEAD + TAIL
+    place = pair // (k * k)
+    positions = [train(pair[place == j] % (k * k), times[place == j]) for j in range(POSITIONS)]
+    model = Model(positions[0])
+    model.positions = positions
+    found = durable(count_contexts(texts, vocabulary, positions), "lm-contexts")
+    likely = np.zeros((k, len(MIXES)))
+    mixes = found.filter("word IS NULL").groupBy("context", "mix").agg(F.sum("n").alias("n")).toArrow()
+    likely[mixes["context"].to_numpy(), mixes["mix"].to_numpy()] = mixes["n"].to_numpy()
+    model.weights = MIXES[likely.argmax(1)]
+    follow = np.zeros(k * k, np.float32)
+    follow[pair[place == 0]] = times[place == 0]
+    each = found.filter("word IS NOT NULL").select("word", "context", "n").repartition(max(8, n_learned // 8192), "word")
+    each = each.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").cast("long").alias("c"), F.collect_list("context").alias("contexts"), F.collect_list(F.col("n").cast("float")).alias("times"))
+    got = durable(word_vectors(each.filter(F.col("c") >= LEAST), follow.reshape(k, k)[:, HEAD:], mass, model[1]), "lm-vectors")
+    model.vectors = got.filter("word IS NOT NULL").select("word", "c", "v")
+    z = got.filter("class IS NOT NULL").select("class", F.posexplode("z").alias("context", "z")).groupBy("class", "context").agg(F.sum("z").alias("z")).toArrow()
+    model.norm = np.zeros((TAIL, k))
+    model.norm[z["class"].to_numpy(), z["context"].to_numpy()] = np.log10(mass[z["class"].to_numpy()]) - np.log10(z["z"].to_numpy())
+    model.known, model.has = np.zeros((len(words) + 1, SIZE + 1), np.float32), np.zeros(len(words) + 1, bool)
+    near = model.vectors.filter(F.col("c") >= (c[-1] if c else 0)).select("word", "v").toArrow()
+    for w, v in zip(near["word"].to_pylist(), near["v"].to_pylist(), strict=True):
+        if (i := vocabulary.at.get(w)) is not None:
+            model.known[i], model.has[i] = np.frombuffer(v, np.float32), True
+    return counts, n, kinds, vocabulary, model
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -209,12 +407,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     d = bound_batches(docs).select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
     counts, n, kinds, vocabulary, model = learn(d.filter(~F.col("held_out")).select("text"))
     known = durable(score_texts(d, ["doc_id", "held_out"], vocabulary, model), "lm-scores")
-    rare = known.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rare = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
-    all_ = known.drop("words", "times").join(rare, "row", "left")
-    more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
+    rare = known.select("row", F.explode(F.arrays_zip("words", "contexts", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.contexts").alias("context"), F.col("x.times").alias("times"))
+    rare = rare.join(counts, "word")
+    each = F.log10(F.col("c") + 1)
+    by = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * each).alias("logs"), F.sum(F.col("times") * each).alias("own"))
+    if vocabulary.more:
+        rare = rare.join(model.vectors.select("word", "v"), "word", "left").withColumn("class", tail_class_column(F.col("word")))
+        by = learned_logs(rare, model).groupBy("row").agg(F.sum("times").alias("more"), F.sum("base").alias("logs"), F.sum("logs").alias("own"))
+    all_ = known.drop("words", "contexts", "times").join(by, "row", "left")
+    more, logs, own = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0)), F.coalesce("own", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * F.log10(F.lit(float(n + kinds + 1)))
-    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + logs).alias("score"))
+    return all_.select("doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + own).alias("score"))
 
 
 def op7_language_model(spark, sf_dir: str) -> DataFrame:

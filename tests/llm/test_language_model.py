@@ -71,3 +71,40 @@ def test_empty_table(spark):
 
     assert L.score(documents(spark, []), F.lit(False)).count() == 0
     assert L.score(documents(spark, [(1, "a b", "s")]), F.lit(True)).first()["train_tokens"] == 0
+
+
+def _bigrams(spark):
+    """Over 1024 commoner words; pqa and zqa share a tail class and a count, and each follows its own word or stands two words after its own."""
+    rows = [(i, f"f{i % 1040}", "a") for i in range(60 * 1040)]
+    rows += [(70_000 + i, "lefty pqa righty zqa " * 4 + "lefty f1 righty f2 " * 4, "a") for i in range(12)]
+    rows += [(70_100 + i, "onetwo mid third onefour mid fifth " * 12, "a") for i in range(5)]
+    tests = ["lefty pqa", "lefty zqa", "onetwo mid third", "onetwo mid fifth"]
+    return documents(spark, rows + [(80_000 + i, t, "a") for i, t in enumerate(tests)], extra=False)
+
+
+def test_rare_words_and_farther_words_count(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def run():
+        return {r["doc_id"]: r["score"] for r in L.score(_bigrams(spark), F.col("doc_id") >= 80_000).collect()}
+
+    a = run()
+    assert a[80_000] > a[80_001] + 0.1, "a word of a tail class is predicted by the word before"
+    assert a[80_002] > a[80_003] + 0.05, "the word two back counts"
+    monkeypatch.setattr(L, "KNOWN", 1030)
+    b = run()
+    assert all(abs(a[i] - b[i]) < 1e-3 for i in a), "the words that are joined score like those that are broadcast"
+
+
+def test_learned_words_keep_the_mass_of_their_class(spark):
+    d = _bigrams(spark).filter("doc_id < 80000").selectExpr("cast(text as binary) text")
+    _, _, _, vocabulary, model = L.learn(d)
+    at = np.flatnonzero(model.has)
+    assert len(at)
+    for context in (0, 5, L.HEAD + 3):
+        total = Counter()
+        k = vocabulary.classes[at]
+        for x, p in zip(k, 10 ** model.word_log(k, np.full(len(at), context), model.known[at]), strict=True):
+            total[x] += p
+        assert all(abs(p / vocabulary.mass[x - L.HEAD] - 1) < 1e-4 for x, p in total.items())
+    assert np.allclose(model.weights.sum(1), 1)
