@@ -172,8 +172,7 @@ PARTNER_SQL = """SELECT doc_id, upper(source) || '-' || doc_id AS code, doc_id %
 
 
 def stream_thread_state(spark: SparkSession, d: str) -> DataFrame:
-    s = threads.run_once(threads.thread_state(threads.event_stream(spark, d)), "threads", "update")
-    return threads.latest(s, "user_id", "last_id").select("user_id", "n", F.round("total", 4).alias("total"))
+    return threads.thread_state(threads.event_stream(spark, d), "threads").select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 THREAD_SQL = """WITH l AS (SELECT user_id, max(event_id) FILTER (event_type = 'error') AS last FROM events GROUP BY ALL)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +10,9 @@ from ..sources.files import scratch
 
 
 def event_stream(spark: SparkSession, folder: str, table: str = "events", files: int = 1) -> DataFrame:
-    """The events of a folder as a stream, with a time stamp that watermarks accept."""
-    name = f"{table}.parquet"
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).parquet(folder)
+    """The events of a table, a file or a folder of part files, as a stream, with a time stamp that watermarks accept."""
+    path = f"{folder}/{table}.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: a stream takes a plain path for a folder
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -32,31 +29,28 @@ def run_once(stream: DataFrame, name: str, mode: str, partition: str | None = No
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def thread_state(events: DataFrame, deleted: str = "error") -> DataFrame:
-    """Per user: messages and summed value since the last delete event. The state is two numbers and an id, whatever the thread's length.
+def thread_state(events: DataFrame, name: str, deleted: str = "error") -> DataFrame:
+    """user_id, n, total: per user, messages and summed value after the delete event of the largest id, in whatever order events arrive.
 
-    In update mode; the last row of a user (by last_id) is its state.
+    A delete that comes late takes back what has been counted, so the state is a table: of each batch, the deletes and the events after
+    the batch's own last delete. No user's events ever meet in one row.
     """
+    spark = events.sparkSession
+    at = scratch(spark, name)
+    out = f"{at}/out"
+    slim = events.select("user_id", "event_id", "value", F.coalesce(F.col("event_type") == deleted, F.lit(False)).alias("deleted"))
 
-    def step(key: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
+    def after_last(rows: DataFrame) -> DataFrame:
+        last = rows.filter("deleted").groupBy(F.col("user_id").alias("__user")).agg(F.max("event_id").alias("__last"))
+        x = rows.join(last, F.col("user_id").eqNullSafe(F.col("__user")), "left")
+        return x.filter("__last IS NULL OR event_id >= __last").select(rows.columns)  # the last delete itself stays
 
-        n, total, last = state.get if state.exists else (0, 0.0, -1)
-        for b in batches:
-            b = b.sort_values("event_id")
-            at = b.index.get_indexer_for(b.index[b["event_type"] == deleted])
-            if len(at):
-                n, total = 0, 0.0
-                last = max(last, int(b["event_id"].max()))
-                b = b.iloc[at[-1] + 1 :]
-            n += len(b)
-            total += float(b["value"].sum())
-            last = max([last, *b["event_id"].tolist()])
-        state.update((n, total, last))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "last_id": [last]})
+    def store(batch: DataFrame, i: int) -> None:
+        after_last(batch).write.mode("overwrite").parquet(f"{out}/batch={i}")  # a batch that is run again replaces itself
 
-    # Events of a batch must come in order of their id: a batch of one file holds them so.
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double, last_id long", "n long, total double, last_id long", "update", "NoTimeout")
+    slim.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    rows = after_last(spark.read.schema(slim.schema).parquet(out))
+    return rows.groupBy("user_id").agg(F.count_if(~F.col("deleted")).alias("n"), F.coalesce(F.sum(F.when(~F.col("deleted"), F.col("value"))), F.lit(0.0)).alias("total"))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -75,7 +69,7 @@ def first_seen(events: DataFrame) -> DataFrame:
 
 
 def ingest(stream: DataFrame, key: str, order: str, name: str, buckets: int = 8) -> DataFrame:
-    """Upsert each batch's newest row per key into a bucketed table; one run at a time."""
+    """Upsert the newest row per key into a bucketed table, in whatever order rows arrive; one run at a time."""
     spark = stream.sparkSession
     at = scratch(spark, name)
     table = Table(spark, f"{at}/table", key, buckets)
@@ -83,7 +77,10 @@ def ingest(stream: DataFrame, key: str, order: str, name: str, buckets: int = 8)
 
     def store(batch: DataFrame, i: int) -> None:
         batch = batch.persist()
-        (table.upsert if i else table.create)(latest(batch, key, order).select(stream.columns))
+        new = latest(batch, key, order).select(stream.columns)
+        if i:  # a stored row may be the newer one
+            new = latest(table.get(new).select(stream.columns).unionByName(new), key, order).select(stream.columns)
+        (table.upsert if i else table.create)(new)
         batch.unpersist()
 
     stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
