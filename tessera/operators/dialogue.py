@@ -17,11 +17,16 @@ def history(messages: DataFrame, key: str, order: str, n: int, most: int = 1500)
     return messages.withColumn("history", F.array_join(F.collect_list(said).over(w), "\n"))
 
 
+def open_turns(messages: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The messages after their key's last reset as rows, numbered by __i; nothing is gathered, whatever their number."""
+    resets = messages.filter(F.col(value) == RESET).groupBy(F.col(key).alias("__key")).agg(F.max(order).alias("__last"))
+    x = messages.join(resets, F.col(key) == F.col("__key"), "left").filter(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).select(messages.columns)
+    return x.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
 def reduce_turns(messages: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """A per-turn list: a reset empties it, any other value is appended. Only what follows the last reset is ever gathered."""
-    x = messages.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    resets = x.filter(F.col(value) == RESET).groupBy(key).agg(F.max("__i").alias("__last"))
-    x = x.join(resets, key, "left").filter(F.col("__i") > F.coalesce("__last", F.lit(0)))
+    """open_turns as one text per key, which Spark's 2 GB a row bound: a key with more after its last reset needs open_turns itself."""
+    x = open_turns(messages, key, order, value)
     return x.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", value))), lambda s: s[value]), ",").alias("items"), F.count(F.lit(1)).alias("n"))
 
 

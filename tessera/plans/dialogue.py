@@ -143,12 +143,11 @@ CASE WHEN max(event_id) % 5000 < 1000 THEN (max(event_id) % 5000) || ' ms' ELSE
 
 
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user as one stream of frames, cut into frames and parsed again: fields, comments left out, data over several lines."""
+    """Events of a user as numbered frames, each parsed as a row of its own: fields, comments left out, data over several lines."""
     data = F.to_json(F.struct("event_id", "event_type"))
     frame = F.concat(F.lit(": ping\nevent: "), "event_type", F.lit("\ndata: "), data, F.lit("\ndata: x"))
-    s = table(spark, d, "events").select("user_id", F.struct("event_id", frame.alias("f")).alias("x"))
-    s = s.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["f"]), "\n\n").alias("stream"))
-    f = s.select("user_id", F.posexplode(F.split("stream", "\n\n")).alias("at", "frame")).withColumn("lines", F.filter(F.split("frame", "\n"), lambda x: ~x.startswith(":")))
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    f = table(spark, d, "events").select("user_id", at.alias("at"), F.filter(F.split(frame, "\n"), lambda x: ~x.startswith(":")).alias("lines"))
     of = lambda name: F.transform(F.filter("lines", lambda x: x.startswith(name + ":")), lambda x: F.trim(F.substring(x, F.lit(len(name) + 2), F.length(x))))
     return f.select("user_id", "at", F.element_at(of("event"), 1).alias("event"), F.get_json_object(F.element_at(of("data"), 1), "$.event_id").cast("long").alias("event_id"), F.size(of("data")).alias("n_data"))
 
