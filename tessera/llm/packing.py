@@ -6,7 +6,7 @@ per source, one per duplicate cluster): a zero bit says that some bin below lack
 The search begins at the residual that just fits and goes on from successor to successor until the tightest
 bin compatible in both is found; only if there is none, a new bin opens. Bins never share a source or a cluster.
 A document longer than a bin gives full pieces, each a bin of its own, and a last piece that is packed.
-Only ids, sizes and hashes are shuffled, never texts.
+Packing shuffles only ids, sizes and hashes, never texts. op2's clusters are the near-duplicate classes of jaccard_join.
 
 Cases: null or empty text is an item of 0 words (placed by the same rule); null sources are one source; repeated
 rows share a cluster and so never a bin; ties go by key; an empty table gives no rows; other columns are ignored.
@@ -20,7 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, read
+from . import jaccard_join
+from .common import durable, n_words, read
 
 CAPACITY = 2048
 SHARD = 8192
@@ -129,5 +130,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return best_fit(docs, n_words(F.col("text")), F.xxhash64("text"), capacity)
 
 
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Documents packed by words; a near-duplicate class of op8 is one duplicate cluster. Texts without words are clusters by equality."""
+    classes = jaccard_join.classes(docs).filter("n > 0").select(F.col("digest").alias("__digest"), F.xxhash64("class_root").alias("__class"))
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("__words"), F.xxhash64("text").alias("__same"), jaccard_join.digest(F.col("text")).alias("__digest"))
+    d = durable(d.join(classes, "__digest", "left"), "packing-items")
+    return best_fit(d, F.col("__words"), F.coalesce("__class", "__same"), capacity)
+
+
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return pack_apart(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -63,3 +63,12 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert P.pack_documents(documents(spark, [])).count() == 0
+
+
+def test_near_copies_are_never_in_one_bin(spark):
+    text = words(9, 120, 3000).split()
+    near = [" ".join(text), "  ".join(text), " ".join([*text[:-1], "other"])]
+    rows = [(k, t, f"s{k}") for k, t in enumerate(near)] + [(10, None, "a"), (11, words(8, 30), "b")]
+    out = P.pack_apart(documents(spark, rows), 1000).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 1, 2, 10, 11]
+    assert len({r["bin_id"] for r in out if r["doc_id"] < 3}) == 3
