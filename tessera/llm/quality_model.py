@@ -43,9 +43,8 @@ def features(texts: list[str | bytes | None]) -> np.ndarray:
     words = np.maximum(t.n_words, 1)
     count = lambda of: np.bincount(of, minlength=n)
     letters = np.maximum(np.bincount(doc, weights=chars, minlength=n), 1)
-    bytes_of = lambda mask: count(np.searchsorted(t.start, np.flatnonzero(mask), "right") - 1)
-    f = {k: bytes_of(c[t.buf]) / letters for k, c in _CLASSES.items()}
-    f["wide_chars"] = bytes_of(t.buf >= 0xC0) / letters
+    f = {k: t.count_bytes(c) / letters for k, c in _CLASSES.items()}
+    f["wide_chars"] = t.count_bytes(np.arange(256) >= 0xC0) / letters
     f["log_words"] = np.log1p(t.n_words)
     f["word_length"] = letters / words
     h = t.words()
@@ -55,7 +54,7 @@ def features(texts: list[str | bytes | None]) -> np.ndarray:
     begin = np.flatnonzero(inside)
     begin = begin[repeated(mix(g[begin] + doc[begin].astype(np.uint64)))]
     f["repeated_3grams"] = count(doc[covered(begin, 3, len(doc))]) / words
-    b, e, line = t.lines()
+    b, e, line, _, _ = t.lines()
     lines = np.maximum(count(line), 1)
     f["equal_lines"] = count(line[repeated(mix(t.hashes(b, e) + line.astype(np.uint64)))]) / lines
     f["line_words"] = np.log1p(t.n_words / lines)

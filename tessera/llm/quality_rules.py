@@ -36,21 +36,21 @@ def measure(texts: list[str | bytes | None]) -> dict[str, np.ndarray]:
     n, doc, total = t.n, t.wdoc, len(t.wdoc)
     chars = t.word_points()
     out = {"n_words": t.n_words.astype(np.int64), "word_chars": _sum(doc, chars, n)}
-    at = np.flatnonzero(_SYMBOL[t.buf])
-    out["n_symbols"] = np.bincount(np.searchsorted(t.start, at, "right") - 1, minlength=n)
-    b, e, ldoc = t.lines()
+    out["n_symbols"] = t.count_bytes(_SYMBOL)
+    b, e, ldoc, first, last = t.lines()
     key = mix(t.hashes(b, e) + ldoc.astype(np.uint64))
     again = np.flatnonzero(repeated(key))
     if len(again):  # the first of equal lines stays out
         again = np.setdiff1d(again, again[np.unique(key[again], return_index=True)[1]], assume_unique=True)
-    before = np.concatenate([[0], np.cumsum(np.where(t.sep, 0, (t.buf & 0xC0) != 0x80))])
+    before = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
     out["n_dup_lines"] = np.bincount(ldoc[again], minlength=n)
-    out["dup_line_chars"] = _sum(ldoc[again], before[e[again]] - before[b[again]], n)
+    out["dup_line_chars"] = _sum(ldoc[again], before[last[again]] - before[first[again]], n)
     words = t.words()
     for k in (3, *NGRAM_LIMITS):
         h, inside = ngrams(words, doc, k)
+        h += doc[: len(h)].astype(np.uint64)
         begin = np.flatnonzero(inside)
-        begin = begin[repeated(mix(h[begin] + doc[begin].astype(np.uint64)))]
+        begin = begin[repeated(mix(h[begin] if len(begin) < len(h) else h))]
         cov = covered(begin, k, total)
         if k == 3:
             out["n_repeat_words"] = np.bincount(doc[cov], minlength=n)
