@@ -35,12 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again.
 
-    A lost executor then costs the tasks it was running, never the steps before this table.
+    A lost executor then costs the tasks it was running, never the steps before this table. The table goes when the
+    application ends, or earlier by drop().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of durable() that nothing reads any more."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Keys that hold over one PARTS-th of all rows count as hot; there are at most PARTS of them, which bounds their broadcast. SMALL: estimated bytes of a table that is broadcast whole.
+PARTS, SMALL = 5000, 4 << 20
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "inner") -> DataFrame:
+    """left and right by keys without nulls, right having one row per key and in weight the rows that left has of it (rows in all).
+
+    A right side under SMALL is broadcast. Else its hot keys, at most PARTS rows, meet by broadcast where the rows of left lie, and
+    the others by shuffle, where no key is hot any more. how: inner or left.
+    """
+    if int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
+        return left.join(F.broadcast(right), keys, how)
+    most = max(1, rows // PARTS)
+    hot = right.filter(F.col(weight) > most)
+    near = left.join(F.broadcast(hot), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(weight) <= most), keys, how)
+    return near.unionByName(far)
 
 
 #: Most bytes of an Arrow batch on its way to a Python worker; Spark's own default is 64 MB for each task and direction.
@@ -48,7 +79,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df, after lowering its session's Arrow batch size to BATCH_BYTES, unless it is lower already. Rows of long texts make the default batches heavy."""
+    """df, after lowering its session's Arrow batch size to BATCH_BYTES, unless it is lower already. Rows of long texts make the default batches heavy.
+
+    The setting stays, as Spark reads it only when the result is computed, after the operator has returned.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(key, "67108864b").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

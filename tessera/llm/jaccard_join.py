@@ -1,12 +1,14 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-A text's n-grams are runs of N words (a shorter text is one n-gram). Texts with the same words collapse into one first.
-MinHash bands of ROWS values propose candidates: at similarity 0.8 a pair escapes all BANDS bands with
-probability (1 - 0.8^6)^42 < 3e-6. Texts that share a bucket, directly or in a chain, form a candidate component; its n-gram
-sets go to one task, which compares MinHash values by and by, drops a pair as soon as the posterior probability of
-reaching the threshold (uniform prior) is below TOLERANCE, and counts the n-grams of the rest exactly.
-A component over BLOCK texts is worked by its buckets instead, and a bucket over BLOCK in pairs of blocks; a pair then counts
-where its first common band is. Tasks return a link count and one edge to a root per text, never pairs.
+A text's n-grams are runs of N words (a shorter text is one n-gram). Texts with the same words collapse into one first,
+numbered by a long. MinHash bands of ROWS values propose candidates: at similarity 0.8 a pair escapes all BANDS bands with
+probability (1 - 0.8^6)^42 < 3e-6. A pair is a candidate if it shares a bucket, at every size of table and group. Texts joined by
+buckets, directly or in a chain, form a candidate component; its n-gram sets go to one task, which compares the MinHash
+values of candidates by and by, drops a pair as soon as the posterior probability of reaching the threshold (uniform prior) is
+below TOLERANCE, and counts the n-grams of the rest exactly. A component over BLOCK texts is worked by its buckets instead,
+and a bucket over BLOCK in pairs of blocks; a pair then counts where its first common band is. Both ways find the same pairs.
+Tasks return a link count and one edge to a root per text, never pairs. Hot buckets, components, classes and texts
+meet their partners by broadcast (common.join_unique).
 
 Cases: texts without words (null, empty, white space) have no n-grams, no links, and are their own class; copies link to each
 other and share all links of their text; texts of any length are taken whole; repeated rows count as copies; ids may be null
@@ -19,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, groups, read, slices
+from .common import bound_batches, durable, groups, join_unique, read, slices
 from .components import components
 from .ragged import Texts, mix, ngrams
 
@@ -32,39 +34,57 @@ HASHES = BANDS * ROWS
 CHUNK = 36
 TOLERANCE = 1e-7
 BLOCK = 1500
-#: Texts up to which the list of those in candidate components is broadcast (under 100 MB as rows); beyond, Spark joins by shuffle.
-BROADCAST_TEXTS = 500_000
+#: N-grams hashed at once: a few cache blocks.
+AT_ONCE = 1 << 15
 _rng = np.random.default_rng(99)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def digest(text: Column) -> Column:
-    """Names the word sequence of a text, whatever white space is between the words."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))))
+def names(text: Column) -> list[Column]:
+    """x1, x2: two hashes that together name a text byte for byte, cheap enough to be taken again in each scan."""
+    return [F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(7), text).alias("x2")]
 
 
-def shingles(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
+def digests(t: Texts, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that together name the word sequence of each text, whatever white space is between the words: 0, 0 without words."""
+    first = np.cumsum(t.n_words) - t.n_words
+    place = (np.arange(len(words)) - np.repeat(first, t.n_words)).astype(np.uint64)
+    out = []
+    for by in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        x, some = mix(words + place * by), np.flatnonzero(t.n_words)
+        d = np.zeros(t.n, np.uint64)
+        d[some] = np.add.reduceat(x, first[some]) if len(some) else 0
+        out.append(d.view(np.int64))
+    return out[0], out[1]
+
+
+def shingles(t: Texts, words: np.ndarray, n: int = N) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    t = Texts(texts)
-    h, inside = ngrams(t.words(), t.wdoc, n)
+    h, inside = ngrams(words, t.wdoc, n)
     h, doc = h[inside], t.wdoc[: len(h)][inside]
     bounds = np.searchsorted(doc, np.arange(t.n + 1))
     out = [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
     for i in np.flatnonzero((t.n_words > 0) & (t.n_words < n)):
-        words = t.words()[np.searchsorted(t.wdoc, i) :][: t.n_words[i]]
-        out[i] = ngrams(words, np.zeros(len(words)), len(words))[0]
+        own = words[np.searchsorted(t.wdoc, i) :][: t.n_words[i]]
+        out[i] = ngrams(own, np.zeros(len(own)), len(own))[0]
     return out
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """[set, hash] MinHash values; sets must not be empty."""
+    """[set, hash] MinHash values, some n-grams at a time; sets must not be empty."""
     x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    out = np.zeros((len(sets), HASHES), np.uint32)
-    for i in range(HASHES if sets else 0):
-        out[:, i] = np.minimum.reduceat(((x * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32), begin)
-    return out
+    out = np.full((HASHES, len(sets)), (1 << 64) - 1, np.uint64)
+    for a in range(0, len(x), AT_ONCE):
+        part = x[a : a + AT_ONCE]
+        held = slice(max(0, int(np.searchsorted(begin, a, "right")) - 1), int(np.searchsorted(begin, a + len(part), "left")))
+        cut, y = np.maximum(begin[held] - a, 0), np.empty_like(part)
+        for i in range(HASHES):
+            np.multiply(part, _A[i], out=y)
+            y += _B[i]
+            np.minimum(out[i, held], np.minimum.reduceat(y, cut), out=out[i, held])
+    return np.ascontiguousarray((out >> np.uint64(32)).astype(np.uint32).T)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -106,7 +126,7 @@ def similar_pairs(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, thr
     column = np.cumsum(common) - 1
     row, back = row[common[back]], column[back[common[back]]]
     width = int(common.sum())
-    dense = len(sets) * width <= 1 << 26
+    dense = len(sets) * width <= 1 << 25
     if dense:
         x = np.zeros((len(sets), width), np.float32)
         x[row, back] = 1
@@ -134,16 +154,16 @@ def similar_pairs(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, thr
 
 
 def linked(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Root and summed partner weight of each set. band >= 0: pairs count only if it is their first common band."""
+    """Root and summed partner weight of each set. A pair counts if it has a common band; band >= 0: if its first common one is that."""
     n = len(sets)
     root, links = np.arange(n), np.zeros(n, np.int64)
     sig = signatures(sets)
-    key = bands(sig) if band >= 0 else None
+    key = bands(sig)
     for i, j in similar_pairs(sets, sig, side):
-        if key is not None:
-            j = j[(key[j] == key[i]).argmax(1) == band]
-            if not len(j):
-                continue
+        common = key[j] == key[i]
+        j = j[common.any(1) & ((band < 0) | (common.argmax(1) == band))]
+        if not len(j):
+            continue
         links[i] += weight[j].sum()
         links[j] += weight[i]
         roots = np.unique(np.append(root[j], root[i]))
@@ -152,107 +172,110 @@ def linked(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, band: i
     return root, links
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    """Distinct texts: digest, rep (smallest id), m (rows), n (n-grams), bands."""
-    d = docs.select(digest(F.col(text)).alias("digest"), F.col("doc_id"), F.col(text).cast("binary").alias("text"))
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """Each row's doc_id, x1, x2 (its text), d1, d2 (its word sequence), n (n-grams) and bands."""
+    d = docs.select("doc_id", *names(F.col(text)), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, ["digest", "doc_id", "text"], "text"):
-            sets = shingles(part["text"].to_pylist())
+        for part in slices(batches, ["doc_id", "x1", "x2", "text"], "text"):
+            t = Texts(part["text"].to_pylist())
+            words = t.words()
+            sets = shingles(t, words)
             n = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(n)
-            keys = iter(bands(signatures([sets[i] for i in some])))
-            out = part.select(["digest", "doc_id"]).append_column("n", pa.array(n))
-            yield from out.append_column("bands", pa.array([next(keys) if x else [] for x in n], pa.list_(pa.int64()))).combine_chunks().to_batches()
+            key = np.zeros((0, BANDS), np.int64) if not n.any() else bands(signatures([s for s in sets if len(s)]))
+            out = part.select(["doc_id", "x1", "x2"])
+            for name, x in zip(("d1", "d2"), digests(t, words), strict=True):
+                out = out.append_column(name, pa.array(x))
+            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+            out = out.append_column("n", pa.array(n)).append_column("bands", pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel())))
+            yield from out.combine_chunks().to_batches()
 
-    each = d.mapInArrow(run, f"digest binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, bands array<long>")
-    return each.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x1 long, x2 long, d1 long, d2 long, n long, bands array<long>")
 
 
 def _compare(work: DataFrame) -> DataFrame:
-    """work: g, i, j, side, band, digest, m, grams. Returns digest, root, links of texts with a link in their group."""
+    """work: g, i, j, side, band, t, m, grams. Returns t, root, links of texts with a link in their group."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for _, parts in groups(batches, 3):
             rows = pa.Table.from_batches(parts)
-            names = rows["digest"].to_pylist()
-            first = [k for k, x in enumerate(names) if k == 0 or x != names[k - 1]]  # rows of one id and text are one
-            rows = rows.take(first) if len(first) < len(names) else rows
-            names = [names[k] for k in first]
+            t = rows["t"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))  # rows of one id and text are one
+            rows, t = (rows.take(pa.array(first)), t[first]) if len(first) < len(t) else (rows, t)
             sets = [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()]
             root, links = linked(sets, rows["m"].to_numpy(), rows["side"].to_numpy(), rows["band"][0].as_py())
             hit = np.flatnonzero(links)
-            yield pa.record_batch([pa.array([names[k] for k in hit], pa.binary()), pa.array([names[root[k]] for k in hit], pa.binary()), pa.array(links[hit])], names=["digest", "root", "links"])
-
-    parts = work.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "digest")
-    return parts.select("g", "i", "j", "side", "band", "digest", "m", "grams").mapInArrow(run, "digest binary, root binary, links long")
-
-
-def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """For each distinct text: digest, rep, m, n, class_id, class_root, links (linked rows of other texts)."""
-    texts = durable(_texts(bound_batches(docs), text), "jaccard-texts")
-    keys = texts.select("digest", F.posexplode("bands").alias("band", "key"))
-    bucket = Window.partitionBy("key", "band")
-    keys = keys.select("*", F.min("digest").over(bucket).alias("first"), F.count(F.lit(1)).over(bucket).alias("size")).filter("size > 1")
-    keys = durable(keys, "jaccard-buckets")
-    parts = durable(components(keys.select(F.col("digest").alias("a"), F.col("first").alias("b"))), "jaccard-candidates")
+            yield pa.record_batch([pa.array(t[hit]), pa.array(t[root[hit]]), pa.array(links[hit])], names=["t", "root", "links"])
+
+    parts = work.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "t")
+    return parts.select("g", "i", "j", "side", "band", "t", "m", "grams").mapInArrow(run, "t long, root long, links long")
+
+
+def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (see _rows), and for each distinct word sequence: t, d1, d2, rep (doc_id, x1, x2 of the row with the smallest id), m (rows),
+    n, class_id (smallest id of its class), class_name (a long that names the class), links (linked rows of other sequences) and of (sequences in its class)."""
+    rows = durable(_rows(bound_batches(docs), text), "jaccard-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x1", "x2"))
+    texts = rows.groupBy("d1", "d2").agg(least.alias("rep"), F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    texts = durable(texts.withColumn("t", F.monotonically_increasing_id()), "jaccard-texts")
+    n_texts = texts.count()
+    keys = texts.select("t", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    keys = durable(join_unique(keys, durable(buckets, "jaccard-buckets"), ["key"], "size", n_texts * BANDS), "jaccard-keys")
+    parts = durable(components(keys.select(F.col("t").alias("a"), F.col("first").alias("b")), "jaccard-near"), "jaccard-candidates")
     size = parts.groupBy("root").agg(F.count(F.lit(1)).alias("of"))
-    parts = parts.join(size, "root")
-    small = parts.filter(F.col("of") <= BLOCK).select(F.col("node").alias("digest"), F.xxhash64("root").alias("g"), F.lit(-1).alias("band"), "of")
-    large = keys.join(parts.filter(F.col("of") > BLOCK).select(F.col("node").alias("digest")), "digest").select("digest", F.xxhash64("key", "band").alias("g"), "band", F.col("size").alias("of"))
-    work = small.unionByName(large).withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    parts = durable(join_unique(parts, size, ["root"], "of", n_texts), "jaccard-parts")
+    small = parts.filter(F.col("of") <= BLOCK).select(F.col("node").alias("t"), F.xxhash64("root").alias("g"), F.lit(-1).alias("band"), "of")
+    large = keys.join(parts.filter(F.col("of") > BLOCK).select(F.col("node").alias("t")), "t").select("t", F.xxhash64("key", "band").alias("g"), "band", F.col("size").alias("of"))
+    work = small.unionByName(large).withColumn("blocks", F.ceil(F.col("of") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("digest", "g", "band", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    need = texts.join(parts.select(F.col("node").alias("digest")), "digest").select("digest", "rep", "m")
-    near = F.broadcast(need) if need.count() <= BROADCAST_TEXTS else need
-    d = docs.select(digest(F.col(text)).alias("digest"), "doc_id", F.col(text).cast("binary").alias("text")).alias("d")
-    d = d.join(near.alias("r"), (F.col("d.digest") == F.col("r.digest")) & F.col("d.doc_id").eqNullSafe(F.col("r.rep"))).select("d.digest", "m", "text")
+    work = work.select("t", "g", "band", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    need = texts.join(parts.select(F.col("node").alias("t")), "t").select("t", "m", F.col("rep.doc_id").alias("id"), F.col("rep.x1").alias("x1"), F.col("rep.x2").alias("x2"))
+    d = docs.select("doc_id", *names(F.col(text)), F.col(text).cast("binary").alias("text"))
+    d = d.join(durable(need, "jaccard-need"), ["x1", "x2"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("t", "m", "text")
 
     def grams(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, ["digest", "m", "text"], "text"):
-            sets = shingles(part["text"].to_pylist())
-            yield from part.select(["digest", "m"]).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary())).combine_chunks().to_batches()
+        for part in slices(batches, ["t", "m", "text"], "text"):
+            of = Texts(part["text"].to_pylist())
+            sets = shingles(of, of.words())
+            yield from part.select(["t", "m"]).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary())).combine_chunks().to_batches()
 
-    found = durable(_compare(work.join(d.mapInArrow(grams, "digest binary, m long, grams binary"), "digest")), "jaccard-links")
-    roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")), "jaccard-stars")
-    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    out = texts.drop("bands").join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left")
-    out = out.withColumn("class_root", F.coalesce("root", "digest")).drop("root").withColumn("links", F.coalesce("links", F.lit(0)))
-    out = durable(out, "jaccard-classes")
-    named = out.groupBy("class_root").agg(F.min("rep").alias("class_id"))
-    return out.join(named, "class_root")
+    found = durable(_compare(work.join(d.mapInArrow(grams, "t long, m long, grams binary"), "t")), "jaccard-links")
+    roots = components(found.select(F.col("t").alias("a"), F.col("root").alias("b")), "jaccard-stars")
+    links = found.groupBy("t").agg(F.sum("links").alias("links"))
+    out = texts.drop("bands").join(roots.withColumnRenamed("node", "t"), "t", "left").join(links, "t", "left")
+    out = durable(out.withColumn("root", F.coalesce("root", "t")).withColumn("links", F.coalesce("links", F.lit(0))), "jaccard-linked")
+    named = out.groupBy("root").agg(F.min("rep.doc_id").alias("class_id"), F.min(F.xxhash64("d1", "d2")).alias("class_name"), F.count(F.lit(1)).alias("of"))
+    return rows, durable(join_unique(out, named, ["root"], "of", n_texts), "jaccard-classes")
 
 
 def links(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each row's doc_id, class_id (smallest id of its class) and n_links (other rows at or over the threshold)."""
-    c = classes(docs, text).select("digest", "class_id", "m", "n", "links")
-    d = docs.select("doc_id", digest(F.col(text)).alias("digest")).join(c, "digest")
+    rows, c = classes(docs, text)
+    d = join_unique(rows.select("doc_id", "d1", "d2"), c.select("d1", "d2", "class_id", "m", "n", "links"), ["d1", "d2"], "m", rows.count())
     some = F.col("n") > 0
     return d.select("doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("m") - 1 + F.col("links")).otherwise(0).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without all but one row of each class: that of the smallest id. Texts without words all stay."""
-    c = classes(docs, text)
-    best = c.groupBy("class_root").agg(F.min_by("digest", F.struct(F.coalesce(F.col("rep") != F.col("class_id"), F.lit(False)), "digest")).alias("digest"))
-    stay = durable(c.join(best.select("digest"), "digest").select(F.col("digest").alias("__digest"), F.col("rep").alias("__rep"), "n"), "jaccard-stay")
-    name = digest(F.col(f"`{text}`"))
-    hit = (name == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__rep"))
-    some = stay.filter("n > 0")
-    once = some.withColumnRenamed("n", "__n")
-    kept = docs.join(F.broadcast(once) if once.count() <= BROADCAST_TEXTS else once, hit)
-    again = docs.select(name.alias("x"), "doc_id").join(once, (F.col("x") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__rep"))).groupBy("__digest").count().filter("count > 1")
-    if not again.isEmpty():  # rows of one id and text: one of them
-        kept = kept.dropDuplicates(["__digest"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    empty = docs.filter(F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0)
-    return kept.select(*columns).unionByName(empty)
+    rows, c = classes(docs, text)
+    other = F.coalesce(F.col("rep.doc_id") != F.col("class_id"), F.lit(False))
+    best = c.filter("n > 0").groupBy("root").agg(F.min(F.struct(other, "d1", "d2", F.col("rep").alias("rep"))).alias("x"))
+    stay = durable(best.select(F.col("x.rep.x1").alias("__x1"), F.col("x.rep.x2").alias("__x2"), F.col("x.rep.doc_id").alias("__id")), "jaccard-stay")
+    of = lambda a, b, i: (a == F.col("__x1")) & (b == F.col("__x2")) & i.eqNullSafe(F.col("__id"))
+    kept = docs.join(stay, of(*names(F.col(f"`{text}`")), F.col("doc_id")))
+    again = rows.groupBy("x1", "x2", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.join(stay, of(F.col("x1"), F.col("x2"), F.col("doc_id")), "left_semi").isEmpty():  # rows of one id and text: one of them
+        kept = kept.dropDuplicates(["__x1", "__x2", "__id"])
+    empty = docs.filter(~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(empty)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

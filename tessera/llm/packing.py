@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join
-from .common import durable, n_words, read
+from .common import durable, join_unique, n_words, read
 
 CAPACITY = 2048
 SHARD = 8192
@@ -132,9 +132,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents packed by words; a near-duplicate class of op8 is one duplicate cluster. Texts without words are clusters by equality."""
-    classes = jaccard_join.classes(docs).filter("n > 0").select(F.col("digest").alias("__digest"), F.xxhash64("class_root").alias("__class"))
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("__words"), F.xxhash64("text").alias("__same"), jaccard_join.digest(F.col("text")).alias("__digest"))
-    d = durable(d.join(classes, "__digest", "left"), "packing-items")
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("__words"), *jaccard_join.names(F.col("text")))
+    rows, classes = jaccard_join.classes(docs)
+    # Every row has its text's names in rows; equal texts have equal digests, so one row of each name tells the class.
+    named = rows.filter("n > 0").groupBy("x1", "x2").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.count(F.lit(1)).alias("__n"))
+    named = named.join(classes.select("d1", "d2", F.col("class_name").alias("__class")), ["d1", "d2"]).select("x1", "x2", "__n", "__class")
+    some = d.filter("__words > 0")
+    d = join_unique(some, durable(named, "packing-classes"), ["x1", "x2"], "__n", rows.count()).drop("__n").unionByName(d.filter("__words = 0").selectExpr("*", "CAST(NULL AS BIGINT) AS __class"), allowMissingColumns=True)
+    d = durable(d.select("doc_id", "source", "__words", F.col("x1").alias("__same"), "__class"), "packing-items")
     return best_fit(d, F.col("__words"), F.coalesce("__class", "__same"), capacity)
 
 

@@ -4,14 +4,15 @@ Only the first LENGTH bytes of a suffix matter. The first digit is chosen by con
 an anchor, the GRAM-byte string with the least hash, which equal windows share at the same offset. A window belongs to the
 bucket of its anchor, so one row per anchor (a run of consecutive windows) stands for about 85 suffixes.
 Buckets with one row hold unique windows only and are dropped. Rows whose whole context (all bytes of their windows) is
-equal repeat completely. The rest are ordered by further digits of 8, 64 and 128 bytes, most significant first, each
-pass dropping what has become unique; what is equal after the last digit is exactly the repeated windows.
-A bucket with over CROWD different contexts is split by window, one row each, so no task holds an unbounded bucket.
-Equal texts are one text first: all their windows repeat.
-
-Cases: null is empty; texts under LENGTH bytes keep everything, however often they occur; texts are taken whole, and matches stay
-inside a document; repeated rows are equal texts, so their windows repeat; ids may be null or repeat; an empty table gives
-no rows; other columns are carried by remove_repeats() and ignored by the query.
+equal repeat completely; one of them stands for all. What is left is ordered by further digits, most significant first: a bucket over
+CROWD different contexts is split by Spark, pass after pass (WIDTHS), into windows whose anchor lies in the same stretch of places, by the bytes that
+all windows of that stretch have, down to single windows if need be; a smaller bucket goes to one task, which passes
+digits of 8, 64 and 128 bytes. Each pass drops what has become unique; what is equal after the last digit is exactly the repeated windows.
+Hot anchors and contexts meet their counts by broadcast (common.join_unique). Equal texts are one text first: all their windows repeat.
+
+Cases: null is empty; texts under LENGTH bytes keep everything, however often they occur; texts are taken whole (a very long one in
+pieces that overlap by a window), and matches stay inside a document; repeated rows are equal texts, so their windows repeat; ids may be null or
+repeat; an empty table gives no rows; other columns are carried by remove_repeats() and ignored by the query.
 """
 
 from __future__ import annotations
@@ -20,19 +21,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, read, slices
+from .common import bound_batches, durable, join_unique, read, slices
 from .ragged import Texts, mix, repeated
 
 LENGTH, GRAM = 200, 32
 DIGITS = (8, 64, 128)
-CROWD = 20_000
-BATCH_BYTES = 1 << 20
+#: Places of the anchor in a window; contexts of a bucket up to which one task passes the digits; and how many places a stretch has in each pass over larger ones.
+PLACES, CROWD, WIDTHS = LENGTH - GRAM + 1, 256, (64, 16, 4, 1)
+BATCH_BYTES, PIECE = 1 << 20, 1 << 20
 AT_ONCE = 400_000
-#: Texts with copies up to which their list is broadcast (under 40 MB); beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -71,6 +71,12 @@ def anchors(t: Texts) -> tuple[np.ndarray, ...]:
     return doc, gram[at[new]], t.hashes(new, stop + LENGTH), new - t.start[doc], stop - new, at[new] - new
 
 
+def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """A text in pieces whose windows are, one after the other, all its windows: (begin, bytes)."""
+    for begin in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+        yield begin, text[begin : begin + PIECE + LENGTH - 1]
+
+
 def pack(first: np.ndarray, more: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return first << 16 | more << 8 | offset
 
@@ -80,10 +86,9 @@ def windows_repeated(key: np.ndarray, t: Texts, more: np.ndarray, offset: np.nda
 
     Equal windows hold their anchor at the same place, so the places are worked one stretch after the other, at most AT_ONCE windows or one place.
     """
-    places = LENGTH - GRAM + 1
-    step = max(1, min(places, places * AT_ONCE // max(1, int((more + 1).sum()))))
+    step = max(1, min(PLACES, PLACES * AT_ONCE // max(1, int((more + 1).sum()))))
     found = []
-    for place in range(0, places, step):
+    for place in range(0, PLACES, step):
         low = np.maximum(offset - place - step + 1, 0)
         count = np.maximum(np.minimum(offset - place, more) - low + 1, 0)
         row = np.repeat(np.arange(len(count)), count)
@@ -109,94 +114,93 @@ def runs(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[a], number[a], number[b]
 
 
+def split(t: Texts, more: np.ndarray, offset: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Contexts cut by stretches of `width` places. For each stretch: rows, hash of the bytes that all its windows have, first window, windows - 1 and place of the first."""
+    for low in range(0, PLACES, width):
+        high = min(PLACES, low + width) - 1
+        row = np.flatnonzero((offset >= low) & (offset - more <= high))
+        last, first = np.minimum(offset[row], high), np.maximum(offset[row] - more[row], low)
+        anchor = t.start[row] + offset[row]
+        yield row, mix(t.hashes(anchor - low, anchor - high + LENGTH) + np.uint64(width * LENGTH + low)), offset[row] - last, last - first, last
+
+
 def _name(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("").cast("binary"))))
 
 
-def _named(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __text (binary), __name and, where texts are equal, __m (rows) and __rep (smallest id)."""
+def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, int]:
+    """docs with __text (binary) and __name; the texts that occur twice: __name, m (rows) and rep (smallest id); and the number of rows."""
     d = docs.withColumn("__text", F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit("").cast("binary")))
     d = d.withColumn("__name", _name(F.col("__text")))
-    same = docs.select(_name(F.col(f"`{text}`").cast("binary")).alias("__same"), F.col("doc_id").alias("__id")).groupBy("__same").agg(F.count(F.lit(1)).alias("__m"), F.min("__id").alias("__rep"))
-    same = durable(same.filter("__m > 1"), "repeats-copies")
-    same = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
-    return d.join(same, F.col("__name") == F.col("__same"), "left").drop("__same")
+    same = docs.select(_name(F.col(f"`{text}`").cast("binary")).alias("__name"), F.col("doc_id").alias("__id")).groupBy("__name").agg(F.count(F.lit(1)).alias("m"), F.min("__id").alias("rep"))
+    return d, durable(same.filter("m > 1"), "repeats-copies"), docs.count()
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """Rows (h, context, id, pack) of anchors, and rows (id, name) of the texts they belong to."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        at = TaskContext.get().partitionId() << 40
+        names, none = ["h", "context", "id", "pack", "name"], pa.nulls
         for part in slices(batches, ["name", "text"], "text"):
-            doc, h, context, first, more, offset = anchors(Texts(part["text"].to_pylist()))
-            yield pa.record_batch(
-                [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), part["name"].combine_chunks().take(pa.array(doc)), pa.array(pack(first, more, offset))],
-                names=["h", "context", "name", "pack"],
-            )
+            each = part["text"].to_pylist()
+            for begin, some in [(0, each)] if len(each) > 1 else ((b, [x]) for b, x in pieces(each[0])):
+                doc, h, context, first, more, offset = anchors(Texts(some))
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at + doc), pa.array(pack(begin + first, more, offset)), none(len(doc), pa.binary())], names=names)
+            n = len(each)
+            yield pa.record_batch([none(n, pa.int64()), none(n, pa.int64()), pa.array(at + np.arange(n)), none(n, pa.int64()), part["name"].combine_chunks()], names=names)
+            at += n
 
-    return texts.mapInArrow(run, "h long, context long, name binary, pack long")
+    return texts.mapInArrow(run, "h long, context long, id long, pack long, name binary")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """Rows (key, alone, bytes, name, pack): contexts by anchor, or single windows by their own hash where a bucket is crowded."""
+    """texts: id, text, rows. Rows (h, id, pack, bytes) of contexts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def told(key, alone, raw, name, packed):
-            return pa.record_batch([pa.array(key, pa.int64()), pa.array(alone, pa.bool_()), pa.array(raw, pa.binary()), pa.array(name, pa.binary()), pa.array(packed, pa.int64())], names=["key", "alone", "bytes", "name", "pack"])
-
-        for part in slices(batches, ["name", "text", "rows"], "text"):
-            key, alone, raw, name, packed = [], [], [], [], []
-            for who, text, rows in zip(part["name"].to_pylist(), part["text"].to_pylist(), part["rows"].to_pylist(), strict=True):
-                t = None
-                for r in rows:
-                    first, more = r["pack"] >> 16, r["pack"] >> 8 & 255
-                    if not r["crowded"]:
-                        key.append(r["h"])
-                        alone.append(False)
-                        raw.append(text[first : first + more + LENGTH])
-                        name.append(who)
-                        packed.append(r["pack"])
-                        continue
-                    t = t or Texts([text])
-                    at = np.arange(first, first + more + 1)
-                    one = t.hashes(at, at + LENGTH)
-                    two = mix(t.hashes(at, at + LENGTH // 2) * np.uint64(3) + t.hashes(at + LENGTH // 2, at + LENGTH))
-                    key += one.view(np.int64).tolist()
-                    alone += [True] * len(at)
-                    raw += [x.tobytes() for x in two]
-                    name += [who] * len(at)
-                    packed += (at << 16).tolist()
-                if len(key) > 20_000:
-                    yield told(key, alone, raw, name, packed)
-                    key, alone, raw, name, packed = [], [], [], [], []
-            if key:
-                yield told(key, alone, raw, name, packed)
-
-    return texts.mapInArrow(run, "key long, alone boolean, bytes binary, name binary, pack long")
+        for part in slices(batches, ["id", "text", "rows"], "text"):
+            for who, text, rows in zip(part["id"].to_pylist(), part["text"].to_pylist(), part["rows"].to_pylist(), strict=True):
+                for k in range(0, len(rows), 4000):
+                    some = rows[k : k + 4000]
+                    raw = [text[r["pack"] >> 16 :][: (r["pack"] >> 8 & 255) + LENGTH] if len(text) < 4096 else text[r["pack"] >> 16 : (r["pack"] >> 16) + (r["pack"] >> 8 & 255) + LENGTH] for r in some]
+                    yield pa.record_batch([pa.array([r["h"] for r in some]), pa.array([who] * len(some)), pa.array([r["pack"] for r in some]), pa.array(raw, pa.binary())], names=["h", "id", "pack", "bytes"])
+
+    return texts.mapInArrow(run, "h long, id long, pack long, bytes binary")
+
+
+def _split(contexts: DataFrame, width: int) -> DataFrame:
+    """The windows of contexts by stretches of their anchor's place: rows (h, context, id, pack, bytes), h naming stretch and common bytes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in slices(batches, ["id", "pack", "bytes"], "bytes"):
+            raw = part["bytes"].to_pylist()
+            first, more, offset = (part["pack"].to_numpy() >> x & y for x, y in ((16, -1), (8, 255), (0, 255)))
+            t, who = Texts(raw), part["id"].to_numpy()
+            for row, h, begin, windows, place in split(t, more, offset, width):
+                context = t.hashes(t.start[row] + begin, t.start[row] + begin + windows + LENGTH)
+                own = [raw[r][b : b + w + LENGTH] for r, b, w in zip(row.tolist(), begin.tolist(), windows.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(who[row]), pa.array(pack(first[row] + begin, windows, place)), pa.array(own, pa.binary())], names=["h", "context", "id", "pack", "bytes"])
+
+    return contexts.mapInArrow(run, "h long, context long, id long, pack long, bytes binary")
 
 
 def _compare(contexts: DataFrame) -> DataFrame:
-    """Spans (name, b, e) of the windows that repeat, from contexts dealt by key."""
+    """Spans (id, b, e) of the windows that repeat, from contexts dealt by h, none of whose buckets is crowded."""
 
     def work(rows):
         import pyarrow as pa
 
-        key = rows["key"].to_numpy().view(np.uint64)
-        alone = rows["alone"].to_numpy()
         first, more, offset = (rows["pack"].to_numpy() >> x & y for x, y in ((16, -1), (8, 255), (0, 255)))
-        t = Texts(rows["bytes"].to_pylist())
-        one = np.flatnonzero(alone)
-        one = one[repeated(mix(key[one] + t.hashes(t.start[one], t.start[one] + t.size[one])))]
-        many = np.flatnonzero(~alone)
-        row, number = windows_repeated(key[many], t if len(many) == len(key) else Texts(rows["bytes"].take(pa.array(many)).to_pylist()), more[many], offset[many])
+        row, number = windows_repeated(rows["h"].to_numpy().view(np.uint64), Texts(rows["bytes"].to_pylist()), more, offset)
         row, a, b = runs(row, number)
-        row = many[row]
-        begin = np.concatenate([first[row] + a, first[one]])
-        end = np.concatenate([first[row] + b, first[one]]) + LENGTH
-        name = rows["name"].combine_chunks().take(pa.array(np.concatenate([row, one])))
-        return pa.record_batch([name, pa.array(begin), pa.array(end)], names=["name", "b", "e"])
+        return pa.record_batch([pa.array(rows["id"].to_numpy()[row]), pa.array(first[row] + a), pa.array(first[row] + b + LENGTH)], names=["id", "b", "e"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -206,38 +210,60 @@ def _compare(contexts: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            total += batch.column(2).nbytes
+            total += batch.column(3).nbytes
             if total < BATCH_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
-            key = rows["key"].to_numpy()
-            cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
+            h = rows["h"].to_numpy()
+            cut = int(np.argmax(h == h[-1]))  # the last bucket may go on
             if cut:
                 yield work(rows.slice(0, cut))
                 rows = rows.slice(cut)
-            elif rows["alone"][0].as_py():  # one window in very many places: two rows stand for those told
-                yield work(rows)
-                rows = rows.slice(0, 2)
             held, total = rows.combine_chunks().to_batches(), rows["bytes"].nbytes
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "name binary, b long, e long")
+    return contexts.select("h", "id", "pack", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, b long, e long")
 
 
-def repeated_spans(named: DataFrame) -> DataFrame:
-    """name, spans (array of struct(b, e), not merged) for every text of named (see _named) with a repeated window."""
-    texts = named.filter((F.octet_length("__text") >= LENGTH) & (F.col("__m").isNull() | F.col("doc_id").eqNullSafe(F.col("__rep"))))
-    texts = texts.select(F.col("__name").alias("name"), F.col("__text").alias("text"))
-    bucket, same = Window.partitionBy("h"), Window.partitionBy("h", "context")
-    rows = _anchor_rows(texts).withColumn("i", F.row_number().over(same.orderBy("name", "pack"))).withColumn("alike", F.count(F.lit(1)).over(same))
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(bucket)).withColumn("kinds", F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).over(bucket))
-    rows = durable(rows.filter("size > 1").select("h", "name", "pack", (F.col("alike") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.col("i") == 1)).alias("open"), (F.col("kinds") > CROWD).alias("crowded")), "repeats-anchors")
+def _sorted_out(rows: DataFrame, n: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, context, id, pack, carry), n of them, parted: spans of contexts that occur twice, and one row of each context whose bucket holds several, with their number as kinds."""
+    one = [F.min_by(c, "id").alias(c) for c in carry]
+    kinds = durable(rows.groupBy("h", "context").agg(F.count(F.lit(1)).alias("alike"), F.min("id").alias("id"), *one), "repeats-kinds")
+    whole = join_unique(rows.select("h", "context", "id", "pack"), kinds.filter("alike > 1").select("h", "context", "alike"), ["h", "context"], "alike", n)
     first, more = F.shiftright("pack", 16), F.shiftright("pack", 8).bitwiseAND(255)
-    whole = rows.filter("whole").select("name", first.alias("b"), (first + more + LENGTH).alias("e"))
-    open_ = rows.filter("open").groupBy("name").agg(F.collect_list(F.struct("h", "pack", "crowded")).alias("rows"))
-    part = _compare(_contexts(texts.join(open_, "name")))
-    return whole.unionByName(part).groupBy("name").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    spans = whole.select("id", first.alias("b"), (first + more + LENGTH).alias("e"))
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return spans, join_unique(kinds.select("h", "id", *carry), several, ["h"], "kinds", n)
+
+
+def repeated_spans(named: DataFrame, same: DataFrame, n_docs: int) -> DataFrame:
+    """name, spans (array of struct(b, e), not merged) of every text (see _named) that occurs once and has a repeated window."""
+    texts = named.filter(F.octet_length("__text") >= LENGTH).select("__name", "doc_id", F.col("__text").alias("text"))
+    texts = join_unique(texts, same, ["__name"], "m", n_docs, "left").filter(F.col("m").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("__name").alias("name"), "text")
+    all_ = durable(_anchor_rows(texts), "repeats-anchors")
+    ids, rows = all_.filter("h IS NULL").select("id", "name"), all_.filter("h IS NOT NULL").drop("name")
+    twice = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "repeats-buckets")
+    rows = durable(join_unique(rows, twice, ["h"], "size", rows.count()).drop("size"), "repeats-rows")
+    whole, open_ = _sorted_out(rows, rows.count(), ["pack"])
+    open_ = durable(open_, "repeats-open")
+    per_text = open_.groupBy("id").agg(F.collect_list(F.struct("h", "pack")).alias("rows")).join(ids, "id")
+    contexts = durable(_contexts(texts.join(per_text, "name").select("id", "text", "rows")), "repeats-contexts")
+    kinds = open_.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    crowded = kinds.filter(F.col("kinds") > CROWD)
+    n = crowded.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    spans = whole.unionByName(_compare(contexts.join(crowded.select("h"), "h", "left_anti") if n else contexts))
+    left = join_unique(contexts, crowded, ["h"], "kinds", n) if n else contexts
+    for width in WIDTHS if n else ():
+        parts = durable(_split(left, width), "repeats-split")
+        more, left = _sorted_out(parts, parts.count(), ["pack", "bytes"])
+        left = durable(left, "repeats-left")
+        spans = spans.unionByName(more).unionByName(_compare(left.filter(F.col("kinds") <= CROWD)))
+        left = left.filter(F.col("kinds") > CROWD)
+        if left.isEmpty():
+            break
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("b", "e")).alias("spans")).join(ids, "id")
+    return spans.join(same.select(F.col("__name").alias("name")), "name", "left_anti").select("name", "spans")
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,13 +279,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __text (bytes) and __spans: the byte runs to remove, merged by merge() where they are used."""
-    named = _named(bound_batches(docs), text)
-    spans = durable(repeated_spans(named), "repeats-spans")
+    named, same, n = _named(bound_batches(docs), text)
+    spans = repeated_spans(named, same, n).select(F.col("name").alias("__name"), F.lit(1).cast("long").alias("__m"), "spans")
     size = F.octet_length("__text").cast("long")
-    all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e")))
-    copies = named.filter("__m IS NOT NULL").withColumn("__spans", F.when(size >= LENGTH, all_))
-    single = named.filter("__m IS NULL").join(spans.select(F.col("name").alias("__found"), F.col("spans").alias("__spans")), F.col("__name") == F.col("__found"), "left").drop("__found")
-    return single.unionByName(copies).drop("__name", "__m", "__rep")
+    all_ = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e"))))
+    told = durable(spans.unionByName(same.select("__name", F.col("m").alias("__m"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))), "repeats-spans")
+    out = join_unique(named, told, ["__name"], "__m", n, "left").withColumn("__spans", F.when(F.col("__m") > 1, all_).otherwise(F.col("spans")))
+    return out.drop("__name", "__m", "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
