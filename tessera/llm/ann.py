@@ -2,13 +2,13 @@
 
 Rows are dealt by hash into shards of about SHARD vectors; a shard holds TREES sorted arrays of BITS-bit hash
 strings (signs of projections on random orthogonal directions). A query descends in every tree to its longest
-matching prefix and ascends in all trees at once, one bit at a time, until SHARE of the shard's rows, LEAST
-at least, are candidates; these are scored exactly. Every row is indexed, every query visits every shard, and a shard's
+matching prefix and ascends in all trees at once, one bit at a time, until SHARE of the shard's rows are candidates and k
+others are among them, if it has so many; these are scored exactly. Every row is indexed, every query visits every shard, and a shard's
 rows are sorted before its queries, so a task holds one forest and streams the queries past it.
 Vectors without cluster structure leave no other way to a recall of 0.9 than a fixed share of all rows,
 so the work grows with rows times queries; SHARE trades one for the other.
 
-Cases: rows with a null id, or whose vector is null, zero, of another dimension than most, or holds null or non-finite
+Cases: rows with a null id, or whose vector is null, zero, of another dimension than most (the lower one on a tie), or holds null or non-finite
 components, take no part; equal scores go to the smaller id; a repeated id counts once, with its best score, and
 is asked once, with its smallest vector; an empty table gives no rows; extra columns are ignored.
 """
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, read
 
-TREES, BITS, SHARE, LEAST, SHARD, AT_ONCE = 32, 32, 0.4, 256, 16384, 256
+TREES, BITS, SHARE, SHARD, AT_ONCE = 32, 32, 0.4, 16384, 256
 
 
 class Forest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES, share: float = SHARE, seed: int = 5):
         self.ids, self.v = ids, vectors
         self.norm = np.sqrt((vectors * vectors).sum(1))
-        self.least = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
+        self.least = int(np.ceil(share * len(ids)))
         rng, d = np.random.default_rng(seed), vectors.shape[1]
         unit = vectors / self.norm[:, None]
         self.middle = unit.mean(0)
@@ -59,8 +59,8 @@ class Forest:
                 hi[t, x] = np.searchsorted(self.keys[t], begin + (np.uint64(1) << low), "left")
         return lo, hi
 
-    def candidates(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Rows for one query, from its ranges [tree, prefix length]."""
+    def candidates(self, lo: np.ndarray, hi: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows for one query, from its ranges [tree, prefix length]: the share, with k ids that are not its own."""
         total = (hi - lo).sum(0)
         x = int(np.flatnonzero(total >= min(self.least, total[0])).max())
         hit = np.zeros(len(self.ids), bool)
@@ -68,14 +68,16 @@ class Forest:
             for t in np.flatnonzero(hi[:, x] > lo[:, x]):
                 hit[self.order[t][lo[t, x] : hi[t, x]]] = True
             if x == 0 or np.count_nonzero(hit) >= self.least:
-                return np.flatnonzero(hit)
+                rows = np.flatnonzero(hit)
+                if x == 0 or len(np.setdiff1d(self.ids[rows], own)) >= k:
+                    return rows
             x -= 1
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         norm = np.sqrt((queries * queries).sum(1))
         lo, hi = self.ranges(queries)
         for i, q in enumerate(queries):
-            rows = self.candidates(lo[:, :, i], hi[:, :, i])
+            rows = self.candidates(lo[:, :, i], hi[:, :, i], ids[i], k)
             rows = rows[self.ids[rows] != ids[i]]
             score = (self.v[rows] * q).sum(1) / (self.norm[rows] * norm[i])
             best = np.lexsort((self.ids[rows], -score))
@@ -92,7 +94,8 @@ def usable(v: Column, dim: Column | int) -> Column:
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", share: float = SHARE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is a query, among all other rows."""
     d = bound_batches(rows).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND v IS NOT NULL")
-    head = d.agg(F.mode(F.size("v")), F.count(F.lit(1))).first()
+    sizes = d.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    head = sizes.agg(F.max_by("dim", F.struct("n", -F.col("dim"))), F.coalesce(F.sum("n"), F.lit(0))).first()
     dim, n = head[0] or 1, max(1, -(-head[1] // shard))
     d = d.filter(usable(F.col("v"), dim))
     scale = F.array_max(F.transform("v", F.abs))  # a cosine does not change, and no square overflows

@@ -30,17 +30,32 @@ def test_recall_and_scores(spark, sf):
     assert hits >= 0.9 * 5 * len(asked)
 
 
-def test_recall_over_several_shards(spark, sf):
+def test_recall_over_several_shards(spark):
+    """Five shards, none of them searched whole: each query scores a share of every shard."""
     from pyspark.sql import functions as F
 
-    t = pq.read_table(f"{sf}/embeddings.parquet")
-    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
-    out = A.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, shard=100).collect()
-    want = {(q, v) for q, best in brute(ids, x, [int(i) for i in ids if i % 50 == 0]) for v in best}
+    r = np.random.default_rng(2)
+    x = r.standard_normal((40, 32))[r.integers(0, 40, 20_000)] * 0.5 + r.standard_normal((20_000, 32))
+    ids = np.arange(20_000)
+    forest = A.Forest(ids[:4096], x[:4096])
+    lo, hi = forest.ranges(x[4096:4106])
+    seen = [len(forest.candidates(lo[:, :, i], hi[:, :, i], -1, 5)) for i in range(10)]
+    assert max(seen) < 0.7 * 4096
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(8)
+    out = A.nearest(d, F.col("vec_id") % 200 == 0, shard=4000).collect()
+    want = {(q, v) for q, best in brute(ids, x, list(range(0, 20_000, 200))) for v in best}
     assert len(want & {(r["query_id"], r["vec_id"]) for r in out}) >= 0.9 * len(want)
     assert len(out) == len(want)
 
 
+def test_few_rows_are_all_found(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (0, [0.8, 0.1]), (1, [-1.0, 0.0]), (2, [0.0, -1.0]), (3, [-1.0, -1.0])]
+    out = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert {r["vec_id"] for r in out} == {1, 2, 3}
+
+
 def test_hard_rows(spark):
     from pyspark.sql import functions as F
 
