@@ -3,7 +3,7 @@
 Cyclic boosting visits one feature after the other and fits a shallow tree to the gradient on that
 feature's bins, adding it to the feature's lookup table; afterwards the most promising pairs of features get
 two-dimensional tables the same way. A score is a sum of table entries by vectorised bin lookups.
-The tables are fitted on at most SAMPLE labelled rows, chosen by hash; the texts of all documents are scored where they lie.
+The tables are fitted on at most SAMPLE different labelled rows, chosen by hash; the texts of all documents are scored where they lie.
 
 Cases: a null or empty text has all features 0 and is scored like any other; texts are measured whole; null labels
 are not learned from; if the labels hold one class or none, every score is the smoothed rate; repeated rows score
@@ -178,10 +178,13 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", model: Additi
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Additive:
-    """Learn from the labelled rows given, at most `most` of them by hash of doc_id."""
-    chosen = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("__y"))
+    """Learn from the labelled rows given: at most `most` different (doc_id, text, label), the least by hash; so repeated rows count once."""
+    chosen = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("__y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(most)
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["__y"]).limit(2 * most).toPandas()  # doc_id may repeat
+    key = ["doc_id", "__h", "__y"]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__h"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = measured(rows, key).groupBy(*key).agg(F.first("features").alias("features"))  # equal texts have equal features
+    rows = rows.orderBy(F.xxhash64(*key), *key).limit(most).toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["__y"].to_numpy(float)))  # the fit does not depend on the order of arrival
     return Additive(x[order], rows["__y"].to_numpy(float)[order])

@@ -33,6 +33,38 @@ def test_hard_rows_and_few_labels(spark):
     assert set(none.score(Q.features(["", "a b"])).tolist()) == {0.5}
 
 
+def test_repeated_rows_count_once_and_the_bound_holds(spark):
+    """Copies of a labelled row change nothing, under any partitioning; the fit equals one on the rows chosen by hash in plain Python."""
+    rows = [(i, words(i, 40 + i) if i % 2 else "## | $$ " * (20 + i), "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows] * 2, "doc_id long, quality int")
+    probe = Q.features([t for _, t, _ in rows])
+    plain = Q.fit(documents(spark, rows), labels).score(probe)
+    copied = documents(spark, rows + rows[:5] * 50)
+    for n in (1, 3, 8):
+        assert np.array_equal(Q.fit(copied.repartition(n), labels.repartition(n)).score(probe), plain)
+    x, y = probe, np.array([i % 2 for i, _, _ in rows], float)
+    order = np.lexsort((*x.T, y))
+    assert np.array_equal(Q.Additive(x[order], y[order]).score(probe), plain)
+    less = [Q.fit(copied.repartition(n), labels, most=20).score(probe) for n in (1, 4)]
+    assert np.array_equal(*less) and not np.array_equal(less[0], plain)
+
+
+def test_scores_equal_a_plain_sum_of_table_entries(spark, sf):
+    import pyarrow.parquet as pq
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    m = Q.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in Q.measured(docs, ["doc_id"], model=m).collect()}
+    t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    for i, text in list(zip(t["doc_id"], t["text"], strict=True))[:60]:
+        f = Q.features([text])[0]
+        total = m.bias + sum(table[sum(v >= e for e in edges)] for v, edges, table in zip(f, m.edges, m.tables, strict=True))
+        at = [sum(v >= e for e in edges) for v, edges in zip(f, m.pair_edges, strict=True)]
+        total += sum(g[at[a], at[b]] for (a, b), g in zip(m.pairs, m.grids, strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_empty_table(spark):
     m = Q.Additive(np.zeros((0, len(Q.FEATURES))), np.zeros(0))
     assert Q.measured(documents(spark, []), ["doc_id"], model=m).count() == 0
