@@ -1,12 +1,13 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
-Documents are dealt by hash into shards of about SHARD documents, each packed alone, longest first. A shard's
+Documents are dealt by hash into shards of about SHARD documents, each packed alone, longest first; equal rows travel as one with their
+number, ALIKE at most, so that many equal rows spread over many shards. A shard's
 bins are ordered by residual in a segment tree whose nodes hold the AND of the bins' bitmaps (one bit
 per source, one per duplicate cluster): a zero bit says that some bin below lacks that source or cluster.
 The search begins at the residual that just fits and goes on from successor to successor until the tightest
 bin compatible in both is found; only if there is none, a new bin opens. Bins never share a source or a cluster.
 A document longer than a bin gives full pieces, each a bin of its own, and a last piece that is packed.
-Packing shuffles only ids, sizes and hashes, never texts. op2's clusters are the near-duplicate classes of jaccard_join.
+Packing shuffles only ids, sizes and hashes, never texts; pack_documents() adds the text of each piece afterwards. op2's clusters are the near-duplicate classes of jaccard_join.
 
 Cases: null or empty text is an item of 0 words (placed by the same rule); null sources are one source; repeated
 rows share a cluster and so never a bin; ties go by key; an empty table gives no rows; other columns are ignored.
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join
-from .common import durable, join_unique, n_words, read
+from .common import durable, join_unique, n_words, read, slices
+from .ragged import Texts
 
 CAPACITY = 2048
-SHARD = 8192
+SHARD, ALIKE = 8192, 64
 RESULT = "piece long, n_pieces long, start long, piece_size long, bin_id long"
 
 
@@ -100,11 +102,12 @@ def pack(items: Iterable[tuple[int, object, object]], capacity: int = CAPACITY)
 
 
 def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACITY, shard: int = SHARD, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """keep, with RESULT: one row per piece. bin_id holds the shard in its upper half."""
+    """keep (columns that can be grouped by), with RESULT: one row per piece. bin_id holds the shard in its upper half."""
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("source").alias("__source"), size.cast("long").alias("__size"), cluster.cast("long").alias("__cluster"))
     n = max(1, -(-docs.count() // shard))
-    key = F.xxhash64("doc_id", "__cluster")
-    kept = kept.withColumn("__key", key).withColumn("__shard", F.pmod(F.xxhash64("__key", F.lit(2)), F.lit(n)))
+    kept = kept.groupBy(*(f"`{c}`" for c in kept.columns)).agg(F.count(F.lit(1)).alias("__m")).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / ALIKE))))
+    kept = kept.withColumn("__m", F.least(F.lit(ALIKE), F.col("__m") - F.col("__k") * ALIKE)).withColumn("__key", F.xxhash64("doc_id", "__source", "__size", "__cluster", "__k"))
+    kept = kept.withColumn("__shard", F.pmod(F.xxhash64("__key", F.lit(2)), F.lit(n)))
     names = [f.split()[0] for f in RESULT.split(", ")]
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), RESULT])
 
@@ -113,7 +116,7 @@ def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAP
         import pyarrow as pa
 
         order = np.lexsort((shard_rows["__key"].to_numpy(), -shard_rows["__size"].to_numpy()))
-        rows = shard_rows.take(pa.array(order))
+        rows = shard_rows.take(pa.array(np.repeat(order, shard_rows["__m"].to_numpy()[order])))
         placed = pack(zip(*(rows[c].to_pylist() for c in ("__size", "__source", "__cluster")), strict=True), capacity)
         out = rows.select(list(keep)).take(pa.array(np.repeat(np.arange(len(placed)), [len(p) for p in placed])))
         numbers = np.array([x for p in placed for x in p], np.int64).reshape(-1, len(names))
@@ -126,15 +129,37 @@ def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAP
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Documents packed by words; equal texts are one duplicate cluster."""
-    return best_fit(docs, n_words(F.col("text")), F.xxhash64("text"), capacity)
+    """doc_id, source, RESULT and text: documents packed by words, with the text of each piece (all pieces of a document together are its text); equal texts are one duplicate cluster."""
+    d = durable(docs.select("doc_id", "source", "text").withColumn("__row", F.monotonically_increasing_id()), "packing-documents")
+    placed = best_fit(d, n_words(F.col("text")), F.xxhash64("text"), capacity, keep=("__row", "doc_id", "source"))
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    each = placed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__pieces"))
+    d = d.join(each, "__row").select("doc_id", "source", F.col("text").cast("binary").alias("__text"), "__pieces")
+
+    def run(batches: Iterable) -> Iterable:
+        import pyarrow as pa
+
+        for part in slices(batches, ["doc_id", "source", "__text", "__pieces"], "__text"):
+            texts, pieces, of, out = part["__text"].to_pylist(), part["__pieces"].to_pylist(), [], []
+            for i, (raw, own) in enumerate(zip(texts, pieces, strict=True)):
+                begin = Texts([raw]).w0 if len(own) > 1 else []
+                for x in own:
+                    a = int(begin[x["start"]]) if x["piece"] else 0
+                    b = int(begin[x["start"] + x["piece_size"]]) if x["piece"] + 1 < len(own) else None
+                    of.append(i)
+                    out.append((*(x[c] for c in names), None if raw is None else raw[a:b].decode("utf-8", "replace")))
+            rows = part.select(["doc_id", "source"]).take(pa.array(of, pa.int64()))
+            for k, name in enumerate([*names, "text"]):
+                rows = rows.append_column(name, pa.array([x[k] for x in out], pa.string() if name == "text" else pa.int64()))
+            yield from rows.combine_chunks().to_batches()
+
+    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source {docs.schema['source'].dataType.simpleString()}, {RESULT}, text string")
 
 
 def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents packed by words; a near-duplicate class of op8 is one duplicate cluster. Texts without words are clusters by equality."""
     d = docs.select("doc_id", "source", n_words(F.col("text")).alias("__words"), *jaccard_join.names(F.col("text")))
     rows, classes = jaccard_join.classes(docs)
-    # Every row has its text's names in rows; equal texts have equal digests, so one row of each name tells the class.
     named = rows.filter("n > 0").groupBy("x1", "x2").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.count(F.lit(1)).alias("__n"))
     named = named.join(classes.select("d1", "d2", F.col("class_name").alias("__class")), ["d1", "d2"]).select("x1", "x2", "__n", "__class")
     some = d.filter("__words > 0")

@@ -52,6 +52,7 @@ def rows():
     out += [(3000 + i, words(300 + i, 150) + " " + passage, "a") for i in range(40)]
     out += [(4000 + i, words(9, 70), "c") for i in range(25)] + [(5000, "\n".join(words(9, 70).split()), "c")]
     out += [(6000 + i, " ".join(f"x{j}" for j in range(i, i + 30)), "a") for i in range(12)]
+    out += [(7000 + i, " ".join(f"y{j}" for j in range(2 * i, 2 * i + 60)), "a") for i in range(40)]  # a long chain: its ends share nothing
     return out
 
 

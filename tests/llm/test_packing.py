@@ -57,10 +57,25 @@ def test_documents(spark):
     for b in bins.values():
         assert sum(r["piece_size"] for r in b) <= 200
         assert len({r["source"] for r in b}) == len(b)
+    whole = defaultdict(str)
+    for r in sorted(out, key=lambda r: r["piece"]):
+        whole[r["doc_id"], r["source"]] += r["text"] or ""
+    assert all(whole[i, s] == t for i, t, s in rows if i and i not in (7,) and t)
+    assert all(len((r["text"] or "").split()) == r["piece_size"] for r in out if r["doc_id"] != 9)
     long = sorted((r["start"], r["piece_size"]) for r in out if r["doc_id"] == 6)
     assert long == [(k, min(200, text[6, "b"] - k)) for k in range(0, text[6, "b"], 200)]
 
 
+def test_equal_rows_spread_over_shards(spark):
+    rows = [(1, words(1, 20), "a")] * 1000
+    from pyspark.sql import functions as F
+
+    out = P.best_fit(documents(spark, rows), F.lit(20), F.xxhash64("text"), 100, shard=100).collect()
+    assert len(out) == 1000 == len({r["bin_id"] for r in out})
+    shards = [r["bin_id"] >> 32 for r in out]
+    assert len(set(shards)) > 3 and max(map(shards.count, set(shards))) <= 400
+
+
 def test_empty_table(spark):
     assert P.pack_documents(documents(spark, [])).count() == 0
 
