@@ -55,22 +55,20 @@ def drop(table: DataFrame) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-#: Keys that hold over one PARTS-th of all rows count as hot; there are at most PARTS of them, which bounds their broadcast. SMALL: estimated bytes of a table that is broadcast whole.
-PARTS, SMALL = 5000, 4 << 20
+#: Keys that hold over one PARTS-th of all rows count as hot; there are at most PARTS of them, which bounds their broadcast.
+PARTS = 5000
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "inner") -> DataFrame:
     """left and right by keys without nulls, right having one row per key and in weight the rows that left has of it (rows in all).
 
-    A right side under SMALL is broadcast. Else its hot keys, at most PARTS rows, meet by broadcast where the rows of left lie, and
-    the others by shuffle, where no key is hot any more. how: inner or left.
+    Hot keys, at most PARTS rows of right, meet by broadcast where the rows of left lie; the others by shuffle, where no key is
+    hot any more, at every size of the tables. how: inner or left.
     """
-    if int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
-        return left.join(F.broadcast(right), keys, how)
     most = max(1, rows // PARTS)
     hot = right.filter(F.col(weight) > most)
     near = left.join(F.broadcast(hot), keys)
-    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(weight) <= most), keys, how)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(weight) <= most).hint("merge"), keys, how)
     return near.unionByName(far)
 
 

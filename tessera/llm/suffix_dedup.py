@@ -8,7 +8,7 @@ equal repeat completely; one of them stands for all. What is left is ordered by
 CROWD different contexts is split by Spark, pass after pass (WIDTHS), into windows whose anchor lies in the same stretch of places, by the bytes that
 all windows of that stretch have, down to single windows if need be; a smaller bucket goes to one task, which passes
 digits of 8, 64 and 128 bytes. Each pass drops what has become unique; what is equal after the last digit is exactly the repeated windows.
-Hot anchors and contexts meet their counts by broadcast (common.join_unique). Equal texts are one text first: all their windows repeat.
+Hot anchors, contexts and texts meet their partners by broadcast (common.join_unique).
 
 Cases: null is empty; texts under LENGTH bytes keep everything, however often they occur; texts are taken whole (a very long one in
 pieces that overlap by a window), and matches stay inside a document; repeated rows are equal texts, so their windows repeat; ids may be null or
@@ -124,41 +124,35 @@ def split(t: Texts, more: np.ndarray, offset: np.ndarray, width: int) -> Iterato
         yield row, mix(t.hashes(anchor - low, anchor - high + LENGTH) + np.uint64(width * LENGTH + low)), offset[row] - last, last - first, last
 
 
-def _name(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("").cast("binary"))))
-
-
-def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """docs with __text (binary) and __name; the texts that occur twice: __name, m (rows) and rep (smallest id); and the number of rows."""
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __text (binary) and __name (a digest of it)."""
     d = docs.withColumn("__text", F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit("").cast("binary")))
-    d = d.withColumn("__name", _name(F.col("__text")))
-    same = docs.select(_name(F.col(f"`{text}`").cast("binary")).alias("__name"), F.col("doc_id").alias("__id")).groupBy("__name").agg(F.count(F.lit(1)).alias("m"), F.min("__id").alias("rep"))
-    return d, durable(same.filter("m > 1"), "repeats-copies"), docs.count()
+    return d.withColumn("__name", F.unhex(F.md5("__text")))
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """Rows (h, context, id, pack) of anchors, and rows (id, name) of the texts they belong to."""
+    """Rows (h, context, id, pack) of anchors, and rows (id, name, doc_id) of the texts they belong to."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
-        names, none = ["h", "context", "id", "pack", "name"], pa.nulls
-        for part in slices(batches, ["name", "text"], "text"):
-            each = part["text"].to_pylist()
+        names, none = ["h", "context", "id", "pack", "name", "doc_id"], pa.nulls
+        for part in slices(batches, ["name", "doc_id", "text"], "text"):
+            each, kind = part["text"].to_pylist(), part["doc_id"].type
             for begin, some in [(0, each)] if len(each) > 1 else ((b, [x]) for b, x in pieces(each[0])):
                 doc, h, context, first, more, offset = anchors(Texts(some))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at + doc), pa.array(pack(begin + first, more, offset)), none(len(doc), pa.binary())], names=names)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at + doc), pa.array(pack(begin + first, more, offset)), none(len(doc), pa.binary()), none(len(doc), kind)], names=names)
             n = len(each)
-            yield pa.record_batch([none(n, pa.int64()), none(n, pa.int64()), pa.array(at + np.arange(n)), none(n, pa.int64()), part["name"].combine_chunks()], names=names)
+            yield pa.record_batch([none(n, pa.int64()), none(n, pa.int64()), pa.array(at + np.arange(n)), none(n, pa.int64()), part["name"].combine_chunks(), part["doc_id"].combine_chunks()], names=names)
             at += n
 
-    return texts.mapInArrow(run, "h long, context long, id long, pack long, name binary")
+    return texts.mapInArrow(run, f"h long, context long, id long, pack long, name binary, doc_id {texts.schema['doc_id'].dataType.simpleString()}")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """texts: id, text, rows. Rows (h, id, pack, bytes) of contexts."""
+    """texts: id, text, rows. Rows (h, id, pack, kinds, bytes) of contexts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,10 +161,10 @@ def _contexts(texts: DataFrame) -> DataFrame:
             for who, text, rows in zip(part["id"].to_pylist(), part["text"].to_pylist(), part["rows"].to_pylist(), strict=True):
                 for k in range(0, len(rows), 4000):
                     some = rows[k : k + 4000]
-                    raw = [text[r["pack"] >> 16 :][: (r["pack"] >> 8 & 255) + LENGTH] if len(text) < 4096 else text[r["pack"] >> 16 : (r["pack"] >> 16) + (r["pack"] >> 8 & 255) + LENGTH] for r in some]
-                    yield pa.record_batch([pa.array([r["h"] for r in some]), pa.array([who] * len(some)), pa.array([r["pack"] for r in some]), pa.array(raw, pa.binary())], names=["h", "id", "pack", "bytes"])
+                    raw = [text[(b := r["pack"] >> 16) : b + (r["pack"] >> 8 & 255) + LENGTH] for r in some]
+                    yield pa.record_batch([pa.array([r["h"] for r in some]), pa.array([who] * len(some)), pa.array([r["pack"] for r in some]), pa.array([r["kinds"] for r in some]), pa.array(raw, pa.binary())], names=["h", "id", "pack", "kinds", "bytes"])
 
-    return texts.mapInArrow(run, "h long, id long, pack long, bytes binary")
+    return texts.mapInArrow(run, "h long, id long, pack long, kinds long, bytes binary")
 
 
 def _split(contexts: DataFrame, width: int) -> DataFrame:
@@ -197,6 +191,8 @@ def _compare(contexts: DataFrame) -> DataFrame:
     def work(rows):
         import pyarrow as pa
 
+        same = np.unique(np.stack([rows[c].to_numpy() for c in ("h", "id", "pack")]), axis=1, return_index=True)[1]  # rows of one id and text are one
+        rows = rows.take(pa.array(same)) if len(same) < rows.num_rows else rows
         first, more, offset = (rows["pack"].to_numpy() >> x & y for x, y in ((16, -1), (8, 255), (0, 255)))
         row, number = windows_repeated(rows["h"].to_numpy().view(np.uint64), Texts(rows["bytes"].to_pylist()), more, offset)
         row, a, b = runs(row, number)
@@ -237,33 +233,29 @@ def _sorted_out(rows: DataFrame, n: int, carry: list[str]) -> tuple[DataFrame, D
     return spans, join_unique(kinds.select("h", "id", *carry), several, ["h"], "kinds", n)
 
 
-def repeated_spans(named: DataFrame, same: DataFrame, n_docs: int) -> DataFrame:
-    """name, spans (array of struct(b, e), not merged) of every text (see _named) that occurs once and has a repeated window."""
-    texts = named.filter(F.octet_length("__text") >= LENGTH).select("__name", "doc_id", F.col("__text").alias("text"))
-    texts = join_unique(texts, same, ["__name"], "m", n_docs, "left").filter(F.col("m").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("__name").alias("name"), "text")
+def repeated_spans(named: DataFrame) -> DataFrame:
+    """name, m (rows), spans (array of struct(b, e), not merged) of every text (see _named) with a repeated window."""
+    texts = named.filter(F.octet_length("__text") >= LENGTH).select(F.col("__name").alias("name"), "doc_id", F.col("__text").alias("text"))
     all_ = durable(_anchor_rows(texts), "repeats-anchors")
-    ids, rows = all_.filter("h IS NULL").select("id", "name"), all_.filter("h IS NOT NULL").drop("name")
+    ids, rows = all_.filter("h IS NULL").select("id", "name", F.col("doc_id").alias("own")), all_.filter("h IS NOT NULL").select("h", "context", "id", "pack")
     twice = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "repeats-buckets")
     rows = durable(join_unique(rows, twice, ["h"], "size", rows.count()).drop("size"), "repeats-rows")
     whole, open_ = _sorted_out(rows, rows.count(), ["pack"])
-    open_ = durable(open_, "repeats-open")
-    per_text = open_.groupBy("id").agg(F.collect_list(F.struct("h", "pack")).alias("rows")).join(ids, "id")
-    contexts = durable(_contexts(texts.join(per_text, "name").select("id", "text", "rows")), "repeats-contexts")
-    kinds = open_.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    crowded = kinds.filter(F.col("kinds") > CROWD)
-    n = crowded.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    spans = whole.unionByName(_compare(contexts.join(crowded.select("h"), "h", "left_anti") if n else contexts))
-    left = join_unique(contexts, crowded, ["h"], "kinds", n) if n else contexts
-    for width in WIDTHS if n else ():
+    per_text = open_.groupBy("id").agg(F.collect_list(F.struct("h", "pack", "kinds")).alias("rows")).join(ids, "id").withColumnRenamed("name", "of")
+    told = texts.join(per_text.hint("merge"), (F.col("name") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "text", "rows")
+    left = durable(_contexts(told), "repeats-contexts")
+    spans = whole.unionByName(_compare(left.filter(F.col("kinds") <= CROWD)))
+    left = left.filter(F.col("kinds") > CROWD).dropDuplicates(["h", "id", "pack"])
+    for width in WIDTHS:
+        if left.isEmpty():
+            break
         parts = durable(_split(left, width), "repeats-split")
         more, left = _sorted_out(parts, parts.count(), ["pack", "bytes"])
         left = durable(left, "repeats-left")
         spans = spans.unionByName(more).unionByName(_compare(left.filter(F.col("kinds") <= CROWD)))
         left = left.filter(F.col("kinds") > CROWD)
-        if left.isEmpty():
-            break
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("b", "e")).alias("spans")).join(ids, "id")
-    return spans.join(same.select(F.col("__name").alias("name")), "name", "left_anti").select("name", "spans")
+    return spans.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.first("spans").alias("spans"))  # copies repeat from end to end, each of them
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -279,13 +271,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __text (bytes) and __spans: the byte runs to remove, merged by merge() where they are used."""
-    named, same, n = _named(bound_batches(docs), text)
-    spans = repeated_spans(named, same, n).select(F.col("name").alias("__name"), F.lit(1).cast("long").alias("__m"), "spans")
-    size = F.octet_length("__text").cast("long")
-    all_ = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("b"), size.alias("e"))))
-    told = durable(spans.unionByName(same.select("__name", F.col("m").alias("__m"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))), "repeats-spans")
-    out = join_unique(named, told, ["__name"], "__m", n, "left").withColumn("__spans", F.when(F.col("__m") > 1, all_).otherwise(F.col("spans")))
-    return out.drop("__name", "__m", "spans")
+    named = _named(bound_batches(docs), text)
+    told = durable(repeated_spans(named).select(F.col("name").alias("__name"), F.col("m").alias("__m"), F.col("spans").alias("__spans")), "repeats-spans")
+    return join_unique(named, told, ["__name"], "__m", docs.count(), "left").drop("__name", "__m")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
