@@ -6,7 +6,8 @@ r(class) . q(context) + b(class), so one matrix product gives all scores and the
 the places are mixed with weights that depend on the class just before. Then the word inside its tail class: every word that
 occurs LEAST times in training, however many there are, has a vector of its own over the same q(context), with a softmax
 inside the class. All that is learned comes from counts over all training texts, made on the executors; numpy maximises the
-noise-contrastive objective over them with unigram noise, whose expectation is summed exactly. Rarer words share
+noise-contrastive objective over them with unigram noise, its expectation summed exactly for classes and over sampled contexts for
+words inside their class. Rarer words share
 what the learned ones leave of their class, each with (c + 1) / (words + kinds + 1) of it, the rest being for unseen words, so the
 probabilities of all words sum to 1.
 
@@ -39,7 +40,9 @@ HELD = 300_000
 POSITIONS = 3
 MIXES = np.array([(1, 0, 0), (0.9, 0.07, 0.03), (0.8, 0.13, 0.07), (0.7, 0.2, 0.1), (0.6, 0.25, 0.15), (0.5, 0.3, 0.2), (0.4, 0.35, 0.25), (0.34, 0.33, 0.33)])
 #: Occurrences in training from which a word outside the head has a vector; how these are fitted, and words in one matrix.
-LEAST, WORD_STEPS, WORD_LEARN, AT_ONCE = 10, 24, 0.15, 2048
+LEAST, WORD_STEPS, WORD_LEARN, AT_ONCE = 10, 24, 0.15, 4096
+#: Contexts that stand for all in the noise of words inside their class.
+CONTEXTS = 192
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -164,8 +167,8 @@ def count_contexts(texts: DataFrame, vocabulary: Vocabulary, models: list[tuple]
 
         for part in slices(batches, ["text"], "text"):
             _, words, rows, c, before = read_tokens(part, vocabulary)
-            p = np.stack([t[b, c] for t, b in zip(tables, before, strict=True)]).astype(np.float64)
-            for g, mix in enumerate(MIXES):
+            p = np.stack([t[b, c] for t, b in zip(tables, before, strict=True)])
+            for g, mix in enumerate(MIXES.astype(np.float32)):
                 likely[g] += np.bincount(before[0], np.log(mix @ p), k)
             at = np.flatnonzero((rows >= 0) & learned[rows])
             keys.append(rows[at] * k + before[0, at])
@@ -218,28 +221,34 @@ def log_table(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
 
 
-def fit_words(data: np.ndarray, c: np.ndarray, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and biases of words (columns of data [context, word]) inside their classes, by noise-contrastive estimation with the
-    classes' unigram noise. follow: how often each word's class follows each context; mass: of its class."""
-    share = ((c + 1) / mass).astype(np.float32)
-    data = data + PRIOR * share
-    scale = 1 / data.sum(0)
-    data *= scale
-    weight = (follow + np.float32(PRIOR)) * (NOISE * share * scale)
+def sampled_contexts(follow: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """CONTEXTS contexts, half by frequency and half at large, and weights that make sums over them estimates of sums over all."""
+    often = follow.sum(1) + 1.0
+    chance = 0.5 * often / often.sum() + 0.5 / len(often)
+    pick = np.random.default_rng(seed).choice(len(often), CONTEXTS, p=chance)
+    return pick, (1 / (CONTEXTS * chance[pick])).astype(np.float32)
+
+
+def fit_words(own: np.ndarray, c: np.ndarray, begin: np.ndarray, contexts: np.ndarray, times: np.ndarray, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and biases of words inside their classes (own), by noise-contrastive estimation: word w was seen times[i] after contexts[i], i from begin[w] on;
+    its noise are its class's unigrams after sampled contexts. follow: how often each class follows each context; mass: of the classes."""
+    share = ((c + 1) / mass[own]).astype(np.float32)
+    scale = (1 / (c + PRIOR * len(q) * share)).astype(np.float32)
+    pick, weight = sampled_contexts(follow)
+    near, prior = q[pick], weight[:, None] * (PRIOR * share * scale)
+    both = weight[:, None] * (follow[pick][:, own] + np.float32(PRIOR)) * (NOISE * share * scale) + prior  # the gradient is noise * p - data * (1 - p)
+    word = np.repeat(np.arange(len(c)), np.diff(np.append(begin, len(contexts))))
+    seen, there = times * scale[word], q[contexts]
     shift = np.log(NOISE * share)
     r, b = np.zeros((len(c), q.shape[1]), np.float32), np.log(share)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (r, b)]
-    both = weight + data  # the gradient is weight * p - data * (1 - p)
+    chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, WORD_STEPS + 1):
-        p = q @ r.T
-        p += b - shift
-        np.clip(p, -30, 30, out=p)
-        np.negative(p, out=p)
-        np.exp(p, out=p)
-        p += 1
-        np.divide(both, p, out=p)
-        p -= data
-        for x, dx, (m, v) in zip((r, b), (p.T @ q, p.sum(0)), state, strict=True):
+        lift = b - shift
+        g = both * chance(near @ r.T + lift) - prior
+        s = seen * (chance(np.einsum("ij,ij->i", there, r[word]) + lift[word]) - 1)
+        dr = g.T @ near + np.add.reduceat(s[:, None] * there, begin)
+        for x, dx, (m, v) in zip((r, b), (dr, g.sum(0) + np.add.reduceat(s, begin)), state, strict=True):
             m += 0.1 * (dx - m)
             v += 0.01 * (dx * dx - v)
             x -= WORD_LEARN * min(1.0, 2 * (1 - t / (WORD_STEPS + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -258,13 +267,12 @@ def word_vectors(words: DataFrame, follow: np.ndarray, mass: np.ndarray, q: np.n
             for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
                 c = part["c"].to_numpy(zero_copy_only=False)
                 own = np.array([tail_class(w) - HEAD for w in part["word"].to_pylist()])
-                size = np.diff(part["contexts"].offsets.to_numpy())
-                data = np.zeros((k, len(c)), np.float32)
-                data[part["contexts"].flatten().to_numpy(), np.repeat(np.arange(len(c)), size)] = part["times"].flatten().to_numpy()
-                r, b = fit_words(data, c, follow[:, own], mass[own], q)
-                e = np.exp(q @ r.T + b)
-                for x in np.unique(own):
-                    z[x] += e[:, own == x].sum(1, dtype=np.float64)
+                begin = part["contexts"].offsets.to_numpy()
+                r, b = fit_words(own, c, begin[:-1] - begin[0], part["contexts"].flatten().to_numpy(), part["times"].flatten().to_numpy(), follow, mass, q)
+                order = np.argsort(own, kind="stable")
+                kinds, first = np.unique(own[order], return_index=True)
+                for x, rows in zip(kinds, np.split(order, first[1:]), strict=True):
+                    z[x] += np.exp(q @ r[rows].T + b[rows]).sum(1, dtype=np.float64)
                 v = np.column_stack([r, b]).astype(np.float32)
                 yield pa.record_batch([part["word"], part["c"], pa.array([x.tobytes() for x in v], pa.binary()), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
         some = np.flatnonzero(z.any(1))

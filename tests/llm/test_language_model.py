@@ -108,3 +108,35 @@ def test_learned_words_keep_the_mass_of_their_class(spark):
             total[x] += p
         assert all(abs(p / vocabulary.mass[x - L.HEAD] - 1) < 1e-4 for x, p in total.items())
     assert np.allclose(model.weights.sum(1), 1)
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Each text's score from the model's parts, word by word in plain Python."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, words(i, 60, 1500), "a") for i in range(150)] + hard_rows()
+    docs = documents(spark, rows, extra=False)
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == 0
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in L.score(docs, held).collect())
+    _, _, _, vocabulary, model = L.learn(docs.filter(~held).selectExpr("cast(text as binary) text"))
+    tables = [10 ** L.log_table(m) for m in model.positions]
+    end = vocabulary.classes_of([L.END])[1][0]
+
+    def plain(text):
+        total, before = 0.0, [end] * L.POSITIONS
+        for w in L.tokens((text or "").encode()):
+            (row,), (c,) = vocabulary.classes_of([w])
+            p = sum(model.weights[before[0], j] * tables[j][before[j], c] for j in range(L.POSITIONS))
+            if c >= L.HEAD:
+                own = math.log10(vocabulary.counts[row] + 1) if row >= 0 else 0.0
+                if row >= 0 and model.has[row]:
+                    v = model.known[row]
+                    own = (float(model[1][before[0]] @ v[:-1]) + float(v[-1])) / math.log(10) + model.norm[c - L.HEAD, before[0]]
+                total += own - vocabulary.tail_log[c]
+            total += math.log10(p)
+            before = [c, *before[:-1]]
+        return total
+
+    want = Counter((i, round(plain(t), 3)) for i, t, _ in rows)
+    by = lambda x: sorted(((i is None, i or 0, s) for i, s in x.elements()))
+    assert all(p[:2] == q[:2] and abs(p[2] - q[2]) < 0.02 for p, q in zip(by(got), by(want), strict=True))
