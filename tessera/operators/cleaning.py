@@ -1,170 +1,10 @@
-"""Sequential cleaners of scraped texts, one Arrow pass per document: page streams, repeats, links, residues."""
+"""Facts of partner sheets as columns."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def per_text(rows: DataFrame, key: str, text: Column, clean: Callable[[str], str], name: str = "clean") -> DataFrame:
-    """key and the cleaned text; null stays null."""
-    r = rows.select(key, text.alias("t"))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            out = [None if t is None else clean(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=[key, name])
-
-    return r.mapInArrow(run, f"{key} {r.schema[key].dataType.simpleString()}, {name} string")
-
-
-def collapse_repeats(text: str, least: int = 6, gap: int = 600) -> str:
-    """Remove a run of `least` or more words that repeats one not over `gap` characters before it.
-
-    Words are looked up by their next `least` words; a match is taken as far as it goes, but not into itself.
-    """
-    words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", text)]
-    seen: dict[tuple[str, ...], int] = {}
-    drop: list[tuple[int, int]] = []
-    i = 0
-    while i < len(words):
-        key = tuple(w for _, _, w in words[i : i + least])
-        at = seen.get(key) if len(key) == least else None
-        if at is not None and words[i][0] - words[at][1] <= gap and at + least <= i:
-            n = least
-            while i + n < len(words) and at + n < i and words[at + n][2] == words[i + n][2]:
-                n += 1
-            drop.append((words[i][0], words[i + n - 1][1]))
-            i += n
-            continue
-        if len(key) == least:
-            seen[key] = i
-        i += 1
-    out, last = [], 0
-    for a, b in drop:
-        out.append(text[last:a])
-        last = b
-    out.append(text[last:])
-    return re.sub(r"[ \t]{2,}", " ", "".join(out)).strip()
-
-
-def strip_links(text: str) -> tuple[str, list[str]]:
-    """Text without inline links (their words stay) and the URLs in order; a word that a repeated link cuts in two is joined."""
-    urls: list[str] = []
-
-    def told(m: re.Match) -> str:
-        if m.group(2) not in urls:
-            urls.append(m.group(2))
-        return m.group(1)
-
-    text = re.sub(r"\[([^\]\[]*)\]\((https?://[^)\s]+)\)(?=\[\1\]\(\2\))", "", text)
-    return re.sub(r"\[([^\]\[]*)\]\((https?://[^)\s]+)\)", told, text), urls
-
-
-def unwrap_pages(text: str) -> str:
-    """A page stream as plain lines: fences that wrap a whole page go, those inside a page stay; page marks stay, rules go."""
-    out: list[str] = []
-    lines = text.split("\n")
-    wrapped = False
-    start = True
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        if re.fullmatch(r"<!--\s*[Pp]age\s+\d+\s*-->", bare):
-            wrapped, start = False, True
-            out.append(bare)
-            continue
-        if bare.startswith("```"):
-            if start and not wrapped:
-                wrapped, start = True, False
-                continue
-            after = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-            if wrapped and (not after or re.match(r"<!--\s*[Pp]age", after)):
-                wrapped = False
-                continue
-        if bare in ("---", "***", "___"):
-            continue
-        start = start and not bare
-        out.append(line.rstrip())
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip() + "\n"
-
-
-def relevel(text: str) -> str:
-    """Headings of a converted manual: chapters become level 1, numbered titles level 2 (deeper numbers deeper), other titles level 3; code stays."""
-    out, code = [], False
-    for line in text.split("\n"):
-        if line.lstrip().startswith(("```", "~~~")):
-            code = not code
-        m = None if code else re.match(r"^#{1,6}\s+(.*?)\s*$", line)
-        if m:
-            title = m.group(1)
-            number = re.match(r"^(\d+(?:\.\d+)*)\.?\s", title)
-            level = 1 if re.match(r"(?i)chap(itre|ter)\b", title) else 1 + len(number.group(1).split(".")) if number else 3
-            line = "#" * min(level, 6) + " " + title
-        out.append(line)
-    return "\n".join(out)
-
-
-def endpoints_first(text: str) -> str:
-    """API reference: the first level-1 heading goes, later ones become bold; a method line under a path heading moves into the heading."""
-    out: list[str] = []
-    first = True
-    for line in text.split("\n"):
-        h1 = re.match(r"^#\s+(.*)$", line)
-        if h1:
-            if not first:
-                out.append(f"**{h1.group(1)}**")
-            first = False
-            continue
-        m = re.match(r"^\s*\**(GET|POST|PUT|PATCH|DELETE)\**\s*$", line)
-        last = next((i for i in range(len(out) - 1, -1, -1) if out[i].strip()), None)
-        if m and last is not None and re.match(r"^#{2,6}\s+/", out[last]):
-            marks, path = out[last].split(None, 1)
-            out[last] = f"{marks} {m.group(1)} {path}"
-            continue
-        out.append(line)
-    return "\n".join(out)
-
-
-def normalise(text: str, form: str) -> str:
-    return relevel(unwrap_pages(text)) if form == "pdf" else endpoints_first(text) if form == "openapi" else text
-
-
-def cover(seen: set[tuple[str, ...]], words: list[str], known: set[str], n: int = 4) -> bool:
-    """Whether a paragraph is told already: four fifths of its shingles are seen, or two fifths and no word is new."""
-    grams = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-    if not grams:
-        return bool(words) and all(w in known for w in words)
-    share = len(grams & seen) / len(grams)
-    return share >= 0.8 or (share >= 0.4 and all(w in known for w in words))
-
-
-def clean_article(text: str) -> str:
-    """A scraped article: links to words, repeats collapsed, paragraphs already told left out, long ones cut at sentences near 700 characters."""
-    text, _ = strip_links(text)
-    seen: set[tuple[str, ...]] = set()
-    known: set[str] = set()
-    out: list[str] = []
-    for line in collapse_repeats(text).split("\n"):
-        words = re.findall(r"\w+", line.lower())
-        if not words or cover(seen, words, known):
-            continue
-        seen.update(tuple(words[i : i + 4]) for i in range(len(words) - 3))
-        known.update(words)
-        part = ""
-        for s in re.split(r"(?<=[.!?])\s+", line.strip()):
-            if part and len(part) + len(s) > 700:
-                out.append(part)
-                part = ""
-            part = f"{part} {s}".strip()
-        out.append(part)
-    return "\n\n".join(out) + "\n" if out else ""
-
-
 #: Fact patterns of a partner sheet.
 FACTS = {
     "code": r"(?i)code apporteur\s*:?\s*([A-Z0-9-]{3,})",

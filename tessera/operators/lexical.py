@@ -6,25 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.files import scratch
 
 #: Constants of the published BM25 formula.
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf, dl. Counted per row before the shuffle, so a term's group never meets in one task."""
-    words = docs.select(F.col(key).alias(key), tokens(text).alias("ws"))
-    each = words.select(key, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def words(docs: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carry, dl and ws (the tokens of the text): what an index stores, so that each text is read and cut once."""
+    ws = docs.select(key, *carry, text.alias("__text")).withColumn("ws", tokens(F.col("__text")))
+    return ws.select(key, *carry, F.size("ws").alias("dl"), "ws")
+
+
+def store(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder; a table of few splits is spread over all cores before."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "words")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in as many parts as there are cores, if they come in fewer: heavy work on a row should not wait for one task."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
+
+
+def postings(of: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, dl from words(), of the given terms only, if any. Counted per row before the shuffle, so a term's group never meets in one task."""
+    each = of.select(key, "dl", F.explode("ws").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(index: DataFrame, key: str, queries: DataFrame, query: str, totals: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query, key, score. queries: (query, term) distinct; totals: one row (n, avgdl).
+    """query, key, score. index: words(); queries: (query, term) distinct; totals: one row (n, avgdl).
 
-    The query terms prune the postings first; only the survivors are joined and summed.
+    The query terms prune the tokens first; only the survivors are counted, joined and summed.
     """
-    terms = queries.select("term").distinct()
-    hit = index.join(terms, "term", "left_semi")
+    hit = postings(index, key, queries)
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     d = F.lit(1.0)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + d)
@@ -33,8 +53,8 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, query: str, totals: Dat
     return hit.join(scored, "term").withColumn("s", F.col("idf") * weight).groupBy(query, key).agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def totals(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
+def totals(index: DataFrame) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def top_k(hits: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import same_url
+
 KS = (1, 3, 5, 10)
 
 
@@ -118,3 +120,11 @@ def paths(events: DataFrame, key: str, order: str, step: str, least: int = 1) ->
 
 def first_in(order: Column, *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(order))
+
+
+def matches_target(doc_id: Column, url: Column, breadcrumb: Column, target_doc: Column, target_url: Column, section: Column) -> Column:
+    """Whether a hit is what a target asks for: its document, or, for a target without one, its page by compared URL; and then, of a target with a document or neither, the section in the breadcrumb."""
+    none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    here = none(section) | F.contains(F.lower(F.coalesce(breadcrumb, F.lit(""))), F.lower(F.trim(section)))
+    page = F.coalesce(same_url(url) == same_url(target_url), F.lit(False)) & ~none(url)
+    return F.when(~none(target_doc), F.coalesce(doc_id == target_doc, F.lit(False)) & here).when(~none(target_url), page).otherwise(here)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+
+#: Letters and digits from which a name is compared without its spaces too: a fixed value.
+LONG = 8
+
 
 def overlay(*sources: tuple[Column, Column]) -> Column:
     """Sources from lowest to highest as (present, value): the highest present one decides, even if its value is null or empty."""
@@ -35,8 +40,17 @@ def section_rules(targets: DataFrame, key: list[str], rules: DataFrame) -> DataF
 
 
 def longest_matches(rows: DataFrame, key: str, text: Column, names: DataFrame) -> DataFrame:
-    """key, entity: names (entity, alias) that occur in a text, without those inside a longer match of the same text."""
-    hit = rows.withColumn("__t", text).join(F.broadcast(names), F.expr("contains(__t, alias)")).select(key, "entity", "alias")
+    """key, entity: names (entity, alias) whose whole words occur in a text, without those inside a longer match of the same text.
+
+    Text and aliases meet without case, accents and marks; an alias of LONG letters and digits is also found where white space stands elsewhere.
+    names is a written list, a few thousand rows long.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(fold(c), r"[^a-z0-9]+", " "))
+    solid = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    n = names.select("entity", plain(F.col("alias")).alias("alias")).filter("alias <> ''")
+    t = rows.select(key, F.concat(F.lit(" "), plain(text), F.lit(" ")).alias("__t"))
+    word = F.contains("__t", F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
+    hit = t.join(F.broadcast(n), word | ((F.length(solid(F.col("alias"))) >= LONG) & F.contains(solid(F.col("__t")), solid(F.col("alias"))))).select(key, "entity", solid(F.col("alias")).alias("alias"))
     longer = hit.select(F.col(key).alias("__k"), F.col("alias").alias("longer"))
     inside = (F.col(key) == F.col("__k")) & (F.length("longer") > F.length("alias")) & F.expr("contains(longer, alias)")
     return hit.join(longer, inside, "left_anti").select(key, "entity").distinct()

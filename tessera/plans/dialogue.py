@@ -13,11 +13,11 @@ from .evaluation import SQL_PAIRS, _answers
 
 
 def history_window(spark: SparkSession, d: str) -> DataFrame:
-    h = dialogue.history(table(spark, d, "conversations"), "conv_id", "turn", 4, 200)
+    h = dialogue.history(table(spark, d, "conversations"), "conv_id", "turn", 4)
     return h.select("conv_id", "turn", F.md5("history").alias("history_md5"), F.length("history").alias("n_chars"))
 
 
-HISTORY_SQL = """WITH h AS (SELECT conv_id, turn, array_to_string(list(role || ': ' || left(coalesce(text, ''), 200)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), chr(10)) AS h FROM conversations)
+HISTORY_SQL = """WITH h AS (SELECT conv_id, turn, array_to_string(list(role || ': ' || left(coalesce(text, ''), 1500)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), chr(10)) AS h FROM conversations)
 SELECT conv_id, turn, md5(h) AS history_md5, length(h)::INT AS n_chars FROM h"""
 
 
@@ -105,11 +105,11 @@ SELECT item_id, k::INT AS "at", 'general' AS scope, 10 AS top_k, md5(query) AS q
 def corrective_loop(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items in at most three passes. A pass looks for the item's words in one tier of documents (by language); the grade is the best share of words found; a rewrite drops the last third of the words."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.array_distinct(T.tokens(F.col("text"))).alias("dw"))
-    tiers = ("fr", "de", "en")
+    tiers = (("fr", "es"), ("de",), ("en",))
     ask = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
 
     def search(open_: DataFrame, i: int) -> DataFrame:
-        own = docs.filter(F.col("lang") == tiers[i]).select("doc_id", F.explode("dw").alias("w"))
+        own = docs.filter(F.col("lang").isin(*tiers[i])).select("doc_id", F.explode("dw").alias("w"))
         hit = open_.select("item_id", F.explode("words").alias("w")).join(own, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("item_id").agg(F.max("n").alias("n"))
         return open_.join(hit, "item_id", "left").withColumn("share", F.round(F.coalesce("n", F.lit(0)) / F.size("words"), 6)).drop("n")
 
@@ -123,8 +123,8 @@ def corrective_loop(spark: SparkSession, d: str) -> DataFrame:
 def _loop_sql() -> str:
     first = f"list_transform(list_sort(list_transform(list_distinct(w), lambda x: {{'i': list_position(w, x), 'x': x}})), lambda s: s.x)"
     ctes = [f"dw AS (SELECT DISTINCT doc_id, lang, unnest({SQL_TOKENS.format('text')}) AS w FROM documents)", f"r0 AS (SELECT item_id, {first} AS words FROM (SELECT item_id, {SQL_TOKENS.format('text')} AS w FROM benchmark))"]
-    for i, lang in enumerate(("fr", "de", "en")):
-        ctes.append(f"s{i} AS (SELECT item_id, max(n) AS n FROM (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(words) AS w FROM r{i}) JOIN dw USING (w) WHERE lang = '{lang}' GROUP BY ALL) GROUP BY ALL)")
+    for i, lang in enumerate(("'fr', 'es'", "'de'", "'en'")):
+        ctes.append(f"s{i} AS (SELECT item_id, max(n) AS n FROM (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(words) AS w FROM r{i}) JOIN dw USING (w) WHERE lang IN ({lang}) GROUP BY ALL) GROUP BY ALL)")
         ctes.append(f"f{i} AS (SELECT item_id, words, {i + 1} AS attempts, round(coalesce(n, 0) / len(words), 6) AS share FROM r{i} LEFT JOIN s{i} USING (item_id))")
         ctes.append(f"r{i + 1} AS (SELECT item_id, words[1:ceil(len(words) * 2 / 3)::INT] AS words FROM f{i} WHERE share < 0.5)")
     last = "SELECT item_id, attempts, share >= 0.5 AS sufficient, share, len(words)::INT AS n_words FROM "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics
+from ..operators import features, metrics
 from . import retrieval as R
 from . import texts
 from .common import SQL_FOLD, SQL_TOKENS, table
@@ -190,11 +190,20 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_PAIRS = """pa AS (SELECT conv_id || '-' || turn AS pair, conv_id, turn, coalesce(text, '') AS question, coalesce(nt, '') AS answer FROM
   (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"""
-SQL_PAIR_TOKENS = f"pt AS (SELECT pair, list_filter({SQL_TOKENS.format('question')}, lambda x: length(x) > 2) AS q, list_filter({SQL_TOKENS.format('answer')}, lambda x: length(x) > 2) AS a FROM pa)"
+
+
+def _sql_overlap(text: str) -> str:
+    for cut in features.OVERLAP_CUTS:
+        text = f"regexp_replace({text}, '{cut.replace(QUOTE, QUOTE + QUOTE)}', ' ', 'g')"
+    return f"list_filter(regexp_extract_all({SQL_FOLD.format(text)}, '{features.OVERLAP_WORD}'), lambda w: w NOT IN ({', '.join(map(repr, features.STOP))}))"
+
+
+QUOTE = "'"
+SQL_PAIR_TOKENS = f"pt AS (SELECT pair, {_sql_overlap('question')} AS q, {_sql_overlap('answer')} AS a FROM pa)"
 
 
 def _words(c: str):
-    return F.filter(T.tokens(F.col(c)), lambda w: F.length(w) > 2)
+    return features.overlap_words(F.col(c))
 
 
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +287,36 @@ def throughput_and_causes(spark: SparkSession, d: str) -> DataFrame:
 THROUGHPUT_SQL = """SELECT event_type, round(count(*) / (date_sub('second', min(ts), max(ts)) / 60), 6) AS per_minute, count(*) FILTER (value < 1) AS errors,
 floor(sum(least((props->>'$.k')::BIGINT, 24000)) / 3.6::DOUBLE + 1200 * count(*))::BIGINT AS tokens FROM events GROUP BY ALL"""
 
+def cause_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """How often each cause of a lost target occurs, and its share of all items, commonest first."""
+    c = loss_funnel(spark, d).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("of"))
+    return c.crossJoin(F.broadcast(n)).select("cause", "n", F.round(F.col("n") / F.col("of"), 6).alias("share"))  # one row
+
+
+HISTOGRAM_SQL = f"SELECT cause, count(*) AS n, round(count(*) / (SELECT count(*) FROM benchmark), 6) AS share FROM ({FUNNEL_SQL}) GROUP BY cause"
+
+
+def generation_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means over answered questions, by the language heuristic of the question: lexical F1, key words covered, French answers, answers over a line long."""
+    a = _answers(spark, d).select("pair", features.is_french(F.col("question")).alias("french"), features.is_french(F.col("answer")).cast("int").alias("fr"), F.col("answer").contains("\n").cast("int").alias("lines"))
+    x = a.join(token_f1(spark, d), "pair", "left").join(keyword_coverage(spark, d), "pair", "left")
+    mean = lambda c: F.round(F.avg(c), 6)
+    return x.groupBy("french").agg(F.count(F.lit(1)).alias("n"), mean("token_f1").alias("token_f1"), mean("coverage").alias("coverage"), mean("fr").alias("french_rate"), mean("lines").alias("lines_rate"))
+
+
+def _sql_french(c: str) -> str:
+    words = f"regexp_extract_all(lower(regexp_replace({c}, '(?s)```.*?```', ' ', 'g')), '{features.LETTERS}')"
+    return " >= ".join(f"len(list_filter({words}, lambda w: w IN ({', '.join(map(repr, of))})))" for of in (features.FRENCH, features.ENGLISH))
+
+
+MEANS_SQL = f"""WITH {SQL_PAIRS}, x AS (SELECT pair, {_sql_french("question")} AS french, ({_sql_french("answer")})::INT AS fr, contains(answer, chr(10))::INT AS lines FROM pa)
+SELECT french, count(*) AS n, round(avg(token_f1), 6) AS token_f1, round(avg(coverage), 6) AS coverage, round(avg(fr), 6) AS french_rate, round(avg(lines), 6) AS lines_rate
+FROM x LEFT JOIN ({F1_SQL}) USING (pair) LEFT JOIN ({KEYWORD_SQL}) USING (pair) GROUP BY french"""
+
 QUERIES = {
+    "cause_histogram": (cause_histogram, HISTOGRAM_SQL),
+    "generation_means": (generation_means, MEANS_SQL),
     "retrieval_metrics": (retrieval_metrics, METRICS_SQL),
     "metric_breakdown": (metric_breakdown, BREAKDOWN_SQL),
     "worst_questions": (worst_questions, WORST_SQL),

@@ -12,11 +12,16 @@ from .common import SQL_KEY, SQL_TOKENS, table
 POOL, TOP = 30, 10
 
 
-def _lexical_hits(spark: SparkSession, d: str, k: int, docs: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, d, "documents") if docs is None else docs
+def _lexical_hits(spark: SparkSession, d: str, k: int, langs: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each item, in some languages or all, from a stored index with the statistics of the whole collection."""
+    index = _index(spark, d) if index is None else index
     asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    totals = lexical.totals(table(spark, d, "documents"), F.col("text"))
-    return lexical.top_k(lexical.bm25(lexical.postings(docs, "doc_id", F.col("text")), "doc_id", asked, "item_id", totals), "item_id", "doc_id", k)
+    among = index.filter(F.col("lang").isin(*langs)) if langs else index
+    return lexical.top_k(lexical.bm25(among, "doc_id", asked, "item_id", lexical.totals(index)), "item_id", "doc_id", k)
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.store(lexical.words(lexical.spread(table(spark, d, "documents").select("doc_id", "lang", "text")), "doc_id", F.col("text"), ("lang",)))
 
 
 SQL_HITS = f"""tok AS (SELECT doc_id, unnest({SQL_TOKENS.format("text")}) AS term FROM documents),
@@ -40,8 +45,7 @@ BM25_SQL = f"WITH {SQL_HITS} SELECT item_id, rank, doc_id, score FROM hits WHERE
 
 def filtered_bm25(spark: SparkSession, d: str) -> DataFrame:
     """The filter is below the top-k: only documents in French or Spanish are candidates, with statistics of the whole collection's length."""
-    docs = table(spark, d, "documents").filter(F.col("lang").isin("fr", "es"))
-    return _lexical_hits(spark, d, TOP, docs).select("item_id", "rank", "doc_id", "score")
+    return _lexical_hits(spark, d, TOP, ("fr", "es")).select("item_id", "rank", "doc_id", "score")
 
 
 def _where(condition: str) -> str:
@@ -124,8 +128,9 @@ DEDUPE_SQL = f"WITH {SQL_POOL} SELECT item_id, rank, doc_id, text_key FROM ph QU
 
 def keep_max_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two lists of each item (all documents; one language only) merged by the best score, first seen on ties."""
-    both = _lexical_hits(spark, d, POOL).select("item_id", "doc_id", "score", "rank", F.lit(0).alias("list"))
-    own = _lexical_hits(spark, d, POOL, table(spark, d, "documents").filter("lang = 'en'")).select("item_id", "doc_id", "score", "rank", F.lit(1).alias("list"))
+    index = _index(spark, d)
+    both = _lexical_hits(spark, d, POOL, index=index).select("item_id", "doc_id", "score", "rank", F.lit(0).alias("list"))
+    own = _lexical_hits(spark, d, POOL, ("en",), index).select("item_id", "doc_id", "score", "rank", F.lit(1).alias("list"))
     hits = both.unionByName(own).withColumn("position", F.col("list") * 1000 + F.col("rank"))
     out = ranking.keep_max(hits, "item_id", "doc_id")
     return out.select("item_id", "doc_id", "score", "list", "rank")

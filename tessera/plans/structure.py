@@ -11,17 +11,18 @@ from .common import SQL_FOLD, table
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as Markdown: some lines become headings, fences and page marks, by their number."""
+    """Documents as Markdown: their whole lines, before some of which headings, fences and page marks are put in, by the line's number."""
     mark = lambda x, i: (
         F.when(i % 13 == 0, F.concat(F.lit("# "), F.left(x, F.lit(20)))).when(i % 5 == 0, F.concat(F.lit("## "), F.left(x, F.lit(12)))).when(i % 7 == 0, F.concat(F.lit("### "), F.left(x, F.lit(8))))
-        .when(i % 11 == 0, F.lit("```")).when(i % 17 == 0, F.concat(F.lit("<!-- Page "), i.cast("string"), F.lit(" -->"))).otherwise(x)
+        .when(i % 11 == 0, F.lit("```")).when(i % 17 == 0, F.concat(F.lit("<!-- Page "), i.cast("string"), F.lit(" -->")))
     )
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("md"))
+    lines = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.filter(F.array(mark(x, i), x), lambda y: y.isNotNull())))
+    return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("md"))
 
 
-SQL_LINES = """md AS (SELECT doc_id, i - 1 AS pos, CASE WHEN (i - 1) % 13 = 0 THEN '# ' || left(x, 20) WHEN (i - 1) % 5 = 0 THEN '## ' || left(x, 12) WHEN (i - 1) % 7 = 0 THEN '### ' || left(x, 8)
-  WHEN (i - 1) % 11 = 0 THEN '```' WHEN (i - 1) % 17 = 0 THEN '<!-- Page ' || (i - 1) || ' -->' ELSE x END AS line
-  FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+SQL_LINES = """md AS (SELECT doc_id, i - 1 AS pos, x AS line FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS i, unnest(l) AS x FROM
+  (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x, i: list_filter([CASE WHEN (i - 1) % 13 = 0 THEN '# ' || left(x, 20) WHEN (i - 1) % 5 = 0 THEN '## ' || left(x, 12)
+    WHEN (i - 1) % 7 = 0 THEN '### ' || left(x, 8) WHEN (i - 1) % 11 = 0 THEN '```' WHEN (i - 1) % 17 = 0 THEN '<!-- Page ' || (i - 1) || ' -->' END, x], lambda y: y IS NOT NULL))) AS l FROM documents))),
 fe AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM md),
 co AS (SELECT *, sum(fence::INT) OVER w % 2 = 1 OR fence AS in_code FROM fe WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 le AS (SELECT *, CASE WHEN NOT in_code AND regexp_matches(line, '^#{1,6}\\s+\\S') THEN length(regexp_extract(line, '^(#{1,6})', 1)) END AS level,
@@ -140,15 +141,20 @@ PRECEDENCE_SQL = """SELECT d.doc_id, CASE WHEN lang = 'de' THEN '' WHEN l.doc_id
 WHEN source = 'src1' THEN 'one' WHEN source LIKE 'src1%' THEN 'tens' WHEN source LIKE 'src%' THEN 'any' ELSE 'default' END AS theme FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 
+#: Fixed values of the example names: (entity, alias).
+NAMES = (("licence", "License"), ("apache", "Apache License"), ("apache two", "Apache License, Version 2.0"), ("contact", "contact"), ("mail", "e-mail"), ("article", "the"), ("conjunction", "and"), ("german", "und"), ("spanish", "que"), ("rights", "Allrights reserved"))
+
+
 def entity_match(spark: SparkSession, d: str) -> DataFrame:
-    """Names in the texts, longest first: one inside a longer match of the same text does not count."""
-    names = [("thing", "thing"), ("tion", "tion"), ("ing", "ing"), ("ering", "ering"), ("cion", "ción"), ("mente", "mente"), ("cion mente", "ciónmente"), ("ung", "ung"), ("lich", "lich")]
-    n = spark.createDataFrame(names, "entity string, alias string")
-    return rules.longest_matches(table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id", F.col("t"), n)
+    """Whole-word names in the texts, longest first: one inside a longer match of the same text does not count."""
+    n = spark.createDataFrame(NAMES, "entity string, alias string")
+    return rules.longest_matches(table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"), n)
 
 
-ENTITY_SQL = """WITH n(entity, alias) AS (VALUES ('thing', 'thing'), ('tion', 'tion'), ('ing', 'ing'), ('ering', 'ering'), ('cion', 'ción'), ('mente', 'mente'), ('cion mente', 'ciónmente'), ('ung', 'ung'), ('lich', 'lich')),
-h AS (SELECT doc_id, entity, alias FROM documents JOIN n ON contains(lower(text), alias))
+_plain = "trim(regexp_replace(" + SQL_FOLD + ", '[^a-z0-9]+', ' ', 'g'))"
+_names = ", ".join(f"('{a}', '{b}')" for a, b in NAMES)
+ENTITY_SQL = f"""WITH n AS (SELECT entity, {_plain.format("alias")} AS alias FROM (VALUES {_names}) v(entity, alias)), t AS (SELECT doc_id, ' ' || {_plain.format("text")} || ' ' AS t FROM documents),
+h AS (SELECT doc_id, entity, replace(alias, ' ', '') AS alias FROM t JOIN n ON contains(t, ' ' || alias || ' ') OR (length(replace(alias, ' ', '')) >= {rules.LONG} AND contains(replace(t, ' ', ''), replace(alias, ' ', ''))))
 SELECT DISTINCT doc_id, entity FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND length(g.alias) > length(h.alias) AND contains(g.alias, h.alias))"""
 
 

@@ -74,17 +74,21 @@ def structural_features(spark: SparkSession, d: str) -> DataFrame:
     return both.select("kind", "id", *(c.alias(k) if k.startswith("has") else F.array_join(c, ",").alias(k) for k, c in f.items()))
 
 
-def _found_sql(pattern: str, group: int, most: int = 0, minus: str = "") -> str:
-    out = f"list_filter(regexp_extract_all(text, '{pattern}', {group}), lambda x: x <> ''{minus})"
+def _found_sql(*patterns: tuple[str, int] | str, most: int = 0, minus: str = "", each: str = "x") -> str:
+    parts = [p if isinstance(p, str) else f"regexp_extract_all(text, '{p[0].replace(Q, Q + Q)}', {p[1]})" for p in patterns]
+    out = f"list_transform(list_filter({' || '.join(parts)}, lambda x: x <> ''{minus}), lambda x: {each})"
     out = f"list_sort(list_transform(list_distinct({out}), lambda x: {{'p': list_position({out}, x), 'x': x}}))"
     return f"coalesce(array_to_string(list_transform({out}{f'[1:{most}]' if most else ''}, lambda s: s.x), ','), '')"
 
 
-_not = f" AND regexp_matches(x, '{features.CONSTANT}') AND x NOT IN (" + ", ".join(f"'{x}'" for x in features.NOT_CONSTANTS) + ")"
+_not = " AND x NOT IN (" + ", ".join(f"'{x}'" for x in features.NOT_CONSTANTS) + ")"
+_constant = f"list_filter(regexp_extract_all(text, '{T.TOKEN}'), lambda x: regexp_matches(x, '{features.CONSTANT}'))"
+_cell = f"regexp_extract_all(replace(text, '|', '||'), '{features.CELL}', 1)"
 FEATURES_SQL = f"""WITH t AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)
-SELECT kind, id, {_found_sql(features.ENDPOINT, 1)} AS methods, {_found_sql(features.ENDPOINT, 2, 20)} AS endpoints, {_found_sql("https?://[A-Za-z0-9./_-]+", 0, 10)} AS urls,
-{_found_sql(features.PARAMETER, 1, 30)} AS parameters, {_found_sql(T.TOKEN, 0, 40, _not)} AS constants,
-len(regexp_extract_all(text, '{features.TABLE_ROW}')) >= 2 AS has_table, regexp_matches(text, '{features.LIST_ROW}') AS has_list, contains(text, '```') AS has_code FROM t"""
+SELECT kind, id, {_found_sql((features.ENDPOINT, 1), (features.METHOD_HEADING, 1), (features.METHOD_FIELD, 1), each="upper(x)")} AS methods, {_found_sql((features.ENDPOINT, 2), (features.CODE_PATH, 1), most=20)} AS endpoints,
+{_found_sql((features.URL, 0), most=10)} AS urls, {_found_sql((features.CODE_NAME, 1), most=30)} AS parameters, {_found_sql(_constant, (features.QUOTED, 1), _cell, most=40, minus=_not)} AS constants,
+{_found_sql((features.CODE_LANGUAGE, 1), each="lower(x)")} AS code_languages,
+len(regexp_extract_all(text, '{features.TABLE_ROW}')) >= 2 AS has_table, regexp_matches(text, '{features.LIST_ROW}') AS has_list, regexp_matches(text, '{features.FENCE}') AS has_code FROM t"""
 
 
 def status_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +100,8 @@ def status_codes(spark: SparkSession, d: str) -> DataFrame:
 
 _codes = ", ".join(f"'{x}'" for x in features.STATUS_CODES)
 STATUS_SQL = rf"""WITH t AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
-l AS (SELECT kind, id, unnest(string_split(text, chr(10))) AS line FROM t), n AS (SELECT kind, id, unnest(regexp_extract_all(line, '[\d.,]+')) AS x FROM l WHERE regexp_matches(lower(line), 'http|status|error|code')),
-c AS (SELECT DISTINCT kind, id, regexp_extract(x, '^(\d{{3}})[.,]*$', 1) AS code FROM n WHERE regexp_matches(x, '^\d{{3}}[.,]*$'))
+l AS (SELECT kind, id, unnest(string_split(text, chr(10))) AS line FROM t), n AS (SELECT kind, id, unnest(regexp_extract_all(line, '[\d.]+')) AS x FROM l WHERE regexp_matches(line, '{features.STATUS_LINE}')),
+c AS (SELECT DISTINCT kind, id, x AS code FROM n WHERE regexp_matches(x, '^[1-5]\d{{2}}$'))
 SELECT kind, id, coalesce(string_agg(code, ',' ORDER BY code) FILTER (code IN ({_codes})), '') AS codes, count(code) FILTER (code IN ({_codes}))::INT AS n_codes FROM t LEFT JOIN c USING (kind, id) GROUP BY kind, id"""
 
 
@@ -125,13 +129,12 @@ FROM (SELECT doc_id, {_sha} AS h FROM documents)"""
 
 
 def language_guess(spark: SparkSession, d: str) -> DataFrame:
-    w = T.tokens(F.regexp_replace("text", "(?s)```.*?```", " "))
-    return table(spark, d, "documents").select("doc_id", "lang", features.is_french(w).alias("french"))
+    return table(spark, d, "documents").select("doc_id", "lang", features.is_french(F.col("text")).alias("french"))
 
 
 _fr, _en = (", ".join(f"'{x}'" for x in of) for of in (features.FRENCH, features.ENGLISH))
 LANGUAGE_SQL = f"""SELECT doc_id, lang, len(list_filter(w, lambda x: x IN ({_fr}))) >= len(list_filter(w, lambda x: x IN ({_en}))) AS french
-FROM (SELECT doc_id, lang, {SQL_TOKENS.format("regexp_replace(text, '(?s)```.*?```', ' ', 'g')")} AS w FROM documents)"""
+FROM (SELECT doc_id, lang, regexp_extract_all(lower(regexp_replace(text, '(?s)```.*?```', ' ', 'g')), '{features.LETTERS}') AS w FROM documents)"""
 
 #: A small vocabulary of products with their spellings; marked ones match their exact case only.
 ALIASES = (("licence", "license", False), ("licence", "apache", False), ("contact", "email", False), ("contact", "@", False), ("pipe", "|", False), ("conjunction", "And", True), ("article", "The", True), ("german", "und", False), ("spanish", "ción", False))
@@ -257,7 +260,21 @@ DIAGNOSTIC_SQL = r"""WITH l AS (SELECT doc_id, (list_transform(string_split(text
 t AS (SELECT doc_id, coalesce(array_to_string(list_transform(l, lambda x: regexp_replace(x, '^\s*\d+[.)]\s+(.+)$', '## \1')), chr(10)), '') AS t FROM l)
 SELECT doc_id, md5(t) AS sheet, len(regexp_extract_all(t, '(?m)^## '))::INT AS n_headings FROM t"""
 
+def frequent_menus(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty commonest menu paths by source, of texts that have some put in."""
+    text = F.concat(F.lit("Open the "), "lang", F.lit(" settings > "), "source", F.lit(" > rights, "), "text")
+    x = table(spark, d, "documents").select("source", F.explode(features.menu_paths(text)).alias("menu")).groupBy("source", "menu").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source").orderBy(F.desc("n"), "menu")
+    return x.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
+
+
+MENUS_SQL = rf"""WITH t AS (SELECT doc_id, source, 'Open the ' || lang || ' settings > ' || source || ' > rights, ' || text AS t FROM documents),
+m AS (SELECT source, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(t, '{features.MENU}'), lambda p: array_to_string(list_filter(list_transform(string_split(p, ' > '), lambda s, i: CASE WHEN i = 1
+  THEN array_to_string(({_seg})[-7:], ' ') ELSE array_to_string((list_filter(string_split(s, ' '), lambda w: w <> ''))[1:7], ' ') END), lambda s: s <> ''), ' > ')), lambda p: contains(p, ' > ')))) AS menu FROM t)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, menu) AS rank FROM (SELECT source, menu, count(*) AS n FROM m GROUP BY ALL)) WHERE rank <= 20"""
+
 QUERIES = {
+    "frequent_menus": (frequent_menus, MENUS_SQL),
     "path_features": (path_features, PATHS_SQL),
     "diagnostic_headings": (diagnostic_headings, DIAGNOSTIC_SQL),
     "url_normalise": (url_normalise, URL_SQL),

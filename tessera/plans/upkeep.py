@@ -133,30 +133,6 @@ ENRICHMENT_SQL = """WITH p AS (SELECT page_id, html, regexp_extract(html, '<titl
 SELECT page_id, CASE WHEN lower(title) LIKE 'the%' THEN 'forced' WHEN page_id % 3 = 0 THEN 'model' WHEN page_id % 5 = 0 THEN 'hinted' WHEN page_id IN (SELECT id FROM s) THEN 'errors' WHEN contains(html, '<code') THEN 'code' WHEN contains(html, 'href=') THEN 'links' ELSE 'text' END AS kind FROM p"""
 
 
-def repeat_collapse(spark: SparkSession, d: str) -> DataFrame:
-    x = cleaning.per_text(table(spark, d, "documents"), "doc_id", F.col("text"), cleaning.collapse_repeats)
-    return x.select("doc_id", F.length("clean").alias("n_chars"), F.md5("clean").alias("clean_md5"))
-
-
-def article_clean(spark: SparkSession, d: str) -> DataFrame:
-    x = cleaning.per_text(table(spark, d, "documents"), "doc_id", F.col("text"), cleaning.clean_article)
-    return x.select("doc_id", F.length("clean").alias("n_chars"), F.md5("clean").alias("clean_md5"))
-
-
-def format_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by form: page streams re-levelled, API references restructured, the rest as it is."""
-    docs = table(spark, d, "documents")
-    stream = F.concat(F.lit("<!-- Page 1 -->\n```\n# Chapitre "), "lang", F.lit("\n## 1.2 "), "source", F.lit("\n"), "text", F.lit("\n```\n<!-- Page 2 -->\n---\n"))
-    api = F.concat(F.lit("# API\n## /"), "source", F.lit("\nGET\n"), "text", F.lit("\n# End\n"))
-    parts = [
-        cleaning.per_text(docs.filter("doc_id % 3 = 0"), "doc_id", stream, lambda t: cleaning.normalise(t, "pdf")).withColumn("form", F.lit("pdf")),
-        cleaning.per_text(docs.filter("doc_id % 3 = 1"), "doc_id", api, lambda t: cleaning.normalise(t, "openapi")).withColumn("form", F.lit("openapi")),
-        docs.filter("doc_id % 3 = 2").select("doc_id", F.col("text").alias("clean")).withColumn("form", F.lit("markdown")),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("doc_id", "form", F.length("clean").alias("n_chars"), F.array_join(F.regexp_extract_all("clean", F.lit(r"(?m)^(#+ (?:Chapitre|1\.2|GET)[^\n]*|\*\*End\*\*)"), F.lit(1)), "|").alias("marks"))
-
-
 def partner_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of partner sheets made of each document's fields."""
     sheet = F.concat(
@@ -207,9 +183,6 @@ QUERIES = {
     "front_matter": (front_matter, FRONT_SQL),
     "heuristic_profile": (heuristic_profile, HEURISTIC_SQL),
     "heuristic_enrichment": (heuristic_enrichment, ENRICHMENT_SQL.replace("STATUS", STATUS_SQL)),
-    "repeat_collapse": (repeat_collapse, None),
-    "article_clean": (article_clean, None),
-    "format_dispatch": (format_dispatch, None),
     "partner_facts": (partner_facts, PARTNER_SQL),
     "stream_thread_state": (stream_thread_state, THREAD_SQL),
     "stream_daily_counts": (stream_daily_counts, DAILY_SQL),

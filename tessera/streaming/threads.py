@@ -23,10 +23,10 @@ def run_once(stream: DataFrame, name: str, mode: str, partition: str | None = No
     out = f"{at}/out"
 
     def store(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")  # a batch that is run again replaces itself
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def thread_state(events: DataFrame, name: str, deleted: str = "error") -> DataFrame:

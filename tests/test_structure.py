@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, cleaning, rules
+from tessera.operators import chunking, features, metrics, rules
 
 DOC = """intro line
 
@@ -66,22 +66,41 @@ def test_precedence_distinguishes_absent_null_and_empty(spark):
 
 def test_longest_names_win(spark):
     names = spark.createDataFrame([("a", "credit"), ("b", "credit mutuel"), ("c", "mutuel plus")], "entity string, alias string")
-    rows = spark.createDataFrame([(1, "le credit mutuel"), (2, "le credit"), (3, "rien")], "id long, t string")
+    rows = spark.createDataFrame([(1, "le Crédit Mutuel"), (2, "le credit"), (3, "credits")], "id long, t string")
     assert sorted(map(tuple, rules.longest_matches(rows, "id", F.col("t"), names).collect())) == [(1, "b"), (2, "a")]
 
 
-def test_cleaners():
-    run = "one two three four five six seven"
-    assert cleaning.collapse_repeats(f"{run} then {run} end") == f"{run} then end"
-    assert cleaning.collapse_repeats("a b c a b c") == "a b c a b c"
-    assert cleaning.collapse_repeats(f"{run} {'x ' * 400}{run}").count("seven") == 2, "too far apart"
-    assert cleaning.strip_links("see [ab](http://x.y)[ab](http://x.y) and [c](http://z)") == ("see ab and c", ["http://x.y", "http://z"])
-    page = "<!-- Page 1 -->\n```\n# Chapitre 1\n## 1.2 Title\ntext\n```\n<!-- Page 2 -->\n---\nmore\n```\ncode\n```\nend"
-    out = cleaning.normalise(page, "pdf")
-    assert "# Chapitre 1\n### 1.2 Title" in out and "```\ncode\n```" in out and "---" not in out and out.count("```") == 2
-    assert cleaning.normalise("# API\n## /users\nGET\nx\n# Other\n", "openapi").split("\n")[:3] == ["## GET /users", "x", "**Other**"]
-    text = "First line tells one thing here.\n" * 3 + "Another line adds something else entirely."
-    clean = cleaning.clean_article(text)
-    assert clean.count("First line") == 1 and "Another" in clean and cleaning.clean_article(clean) == clean
-    assert set(re.findall(r"\w+", clean)) <= set(re.findall(r"\w+", text))
-    assert cleaning.clean_article("") == ""
+def _one(spark, text, f):
+    return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
+
+
+def test_names_are_whole_words_or_long(spark):
+    names = spark.createDataFrame([("swiss", "SwissLife Banque"), ("ax", "Ax")], "entity string, alias string")
+    rows = spark.createDataFrame([(1, "avec Swiss Life Banque."), (2, "taxes"), (3, "AX, voilà")], "id long, t string")
+    assert sorted(map(tuple, rules.longest_matches(rows, "id", F.col("t"), names).collect())) == [(1, "swiss"), (3, "ax")]
+
+
+def test_features_of_a_reference_page(spark):
+    text = "#### HEAD\n#### GET\n- **POST**: x\nMéthode : **put**\nOPTIONS /v1/users/{id} and `/v1/x` with `page_size`\n```Python\nA_B\n```\n| FAMILLE | PARENT (PP) | GET |\n| x | « CLOS » |\n- PASSEPORT\nHTTP 404, 3.500 and 2000; code 204"
+    f = {k: _one(spark, text, lambda c, k=k: features.structural(c)[k]) for k in features.structural(F.col("t"))}
+    assert f["methods"] == ["OPTIONS", "GET", "POST", "PUT"] and f["endpoints"] == ["/v1/users/{id}", "/v1/x"]
+    assert f["parameters"] == ["page_size"] and f["code_languages"] == ["python"]
+    assert f["constants"] == ["A_B", "CLOS", "FAMILLE", "PARENT", "PASSEPORT"]
+    assert (f["has_table"], f["has_list"], f["has_code"]) == (True, True, True)
+    assert _one(spark, text, features.status_codes) == ["404", "204"]
+
+
+def test_overlap_words_and_key_terms(spark):
+    text = "Le **Menu Été** : voir https://a.b/c [S1]\nSource : guide\nla `valeur` de $X_1$ et **note**, **menu ete**"
+    assert _one(spark, text, features.overlap_words) == ["menu", "ete", "voir", "valeur", "$x_1$", "note", "menu", "ete"]
+    assert _one(spark, text, features.key_terms) == ["Menu Été", "valeur", "$X_1$"]
+
+
+def test_targets_by_document_page_and_section(spark):
+    cases = [
+        (("d", "u", "A > Droits"), ("d", None, None), True), (("d", "u", "A > Droits"), ("d", None, " droits "), True), (("d", "u", "A > B"), ("d", None, "droits"), False), (("e", "u", "A"), ("d", "u", None), False),
+        (("e", "http://X.y/p/", None), (None, "https://x.y/p", "none"), True), (("e", None, None), (None, "https://x.y/p", None), False), (("e", None, "Zone"), (None, None, "zone"), True), ((None, None, None), (None, None, None), True),
+    ]
+    d = spark.createDataFrame([(*h, *t, w) for h, t, w in cases], "a string, b string, c string, x string, y string, z string, want boolean")
+    got = d.select(metrics.matches_target(*(F.col(c) for c in "abcxyz")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
