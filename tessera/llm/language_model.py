@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, durable, read, slices
 
-HEAD, TAIL, KNOWN = 1024, 128, 65_536
+HEAD, TAIL, KNOWN = 1024, 128, 262_144
 SIZE, NOISE, STEPS, LEARN = 32, 10, 240, 0.05
 #: Unigram tokens that each context is taken to have been followed by besides its own: a prior for rare contexts.
 PRIOR = 50.0
@@ -43,6 +43,8 @@ MIXES = np.array([(1, 0, 0), (0.9, 0.07, 0.03), (0.8, 0.13, 0.07), (0.7, 0.2, 0.
 LEAST, WORD_STEPS, WORD_LEARN, AT_ONCE = 10, 24, 0.15, 4096
 #: Contexts that stand for all in the noise of words inside their class.
 CONTEXTS = 192
+#: Rows of partial counts that are summed at once, at least.
+ROWS_AT_ONCE = 200_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -256,25 +258,61 @@ def fit_words(own: np.ndarray, c: np.ndarray, begin: np.ndarray, contexts: np.nd
 
 
 def word_vectors(words: DataFrame, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> DataFrame:
-    """words: word, c, contexts, times. Returns word, c, v (vector and bias as float32); and rows of class, z (partial sums of its normaliser after each context)."""
+    """words: word, context, n (partial counts). Returns word, c, v (vector and bias as float32) of words that occur LEAST times; and rows of class, z (partial sums of its normaliser after each context).
+
+    Dealt and sorted by word, so that counts are summed here, at most a row for each context and task of count_contexts a word.
+    """
     k = HEAD + TAIL
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         z = np.zeros((TAIL, k))
-        for batch in batches:
-            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
-                c = part["c"].to_numpy(zero_copy_only=False)
-                own = np.array([tail_class(w) - HEAD for w in part["word"].to_pylist()])
-                begin = part["contexts"].offsets.to_numpy()
-                r, b = fit_words(own, c, begin[:-1] - begin[0], part["contexts"].flatten().to_numpy(), part["times"].flatten().to_numpy(), follow, mass, q)
+
+        def summed() -> Iterator:
+            """Words (in order, each whole), with their counts by context: AT_ONCE learned ones at a time."""
+            held: list = []
+            rows, few = 0, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= (few := max(few, ROWS_AT_ONCE)):
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    last = t["word"][-1].as_py()
+                    cut = rows
+                    while cut and t["word"][cut - 1].as_py() == last:  # the last word may go on
+                        cut -= 1
+                    if cut:
+                        yield t.slice(0, cut)
+                    held = t.slice(cut).to_batches()
+                    rows -= cut
+                    few = 2 * rows
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+
+        for t in summed():
+            code = t["word"].combine_chunks().dictionary_encode()  # sorted, so codes ascend
+            at = code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * k + t["context"].to_numpy()
+            key, where = np.unique(at, return_inverse=True)
+            n = np.bincount(where, t["n"].to_numpy())
+            of = key // k
+            c_all = np.rint(np.bincount(of, n)).astype(np.int64)
+            learned = np.flatnonzero(c_all >= LEAST)
+            first, stop = np.searchsorted(of, np.arange(len(c_all))), np.searchsorted(of, np.arange(len(c_all)), "right")
+            for some in (learned[i : i + AT_ONCE] for i in range(0, len(learned), AT_ONCE)):
+                take = np.concatenate([np.arange(a, b) for a, b in zip(first[some], stop[some], strict=True)])
+                size = stop[some] - first[some]
+                word, c = code.dictionary.take(pa.array(some)), c_all[some]
+                own = np.array([tail_class(w) - HEAD for w in word.to_pylist()])
+                r, b = fit_words(own, c, np.cumsum(size) - size, key[take] % k, n[take].astype(np.float32), follow, mass, q)
                 order = np.argsort(own, kind="stable")
-                kinds, first = np.unique(own[order], return_index=True)
-                for x, rows in zip(kinds, np.split(order, first[1:]), strict=True):
+                kinds, begin = np.unique(own[order], return_index=True)
+                for x, rows in zip(kinds, np.split(order, begin[1:]), strict=True):
                     z[x] += np.exp(q @ r[rows].T + b[rows]).sum(1, dtype=np.float64)
                 v = np.column_stack([r, b]).astype(np.float32)
-                yield pa.record_batch([part["word"], part["c"], pa.array([x.tobytes() for x in v], pa.binary()), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
+                yield pa.record_batch([word, pa.array(c), pa.array([x.tobytes() for x in v], pa.binary()), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
         some = np.flatnonzero(z.any(1))
         yield pa.record_batch([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(list(z[some]), pa.list_(pa.float64()))], names=["word", "c", "v", "class", "z"])
 
@@ -396,8 +434,7 @@ def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, Model]:
     follow = np.zeros(k * k, np.float32)
     follow[pair[place == 0]] = times[place == 0]
     each = found.filter("word IS NOT NULL").select("word", "context", "n").repartition(max(8, n_learned // 8192), "word")
-    each = each.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").cast("long").alias("c"), F.collect_list("context").alias("contexts"), F.collect_list(F.col("n").cast("float")).alias("times"))
-    got = durable(word_vectors(each.filter(F.col("c") >= LEAST), follow.reshape(k, k)[:, HEAD:], mass, model[1]), "lm-vectors")
+    got = durable(word_vectors(each.sortWithinPartitions("word"), follow.reshape(k, k)[:, HEAD:], mass, model[1]), "lm-vectors")
     model.vectors = got.filter("word IS NOT NULL").select("word", "c", "v")
     z = got.filter("class IS NOT NULL").select("class", F.posexplode("z").alias("context", "z")).groupBy("class", "context").agg(F.sum("z").alias("z")).toArrow()
     model.norm = np.zeros((TAIL, k))
