@@ -12,6 +12,8 @@ what the learned ones leave of their class, each with (c + 1) / (words + kinds +
 probabilities of all words sum to 1.
 
 Counts and vectors of all words stay distributed: the commonest KNOWN are broadcast (a fixed bound), the others are joined.
+Texts are looked up in that table once and stored as numbers, which the later passes read. What tasks have counted travels as one
+row for each word (or place and context) with all its counts, not as a row for each count.
 
 Cases: a null or empty text is its end token alone; texts are scored whole; repeated rows score equally, row by row;
 with no training rows every count is 0 and the model uniform; an empty table gives no rows; only doc_id and text are read.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -43,8 +46,12 @@ MIXES = np.array([(1, 0, 0), (0.9, 0.07, 0.03), (0.8, 0.13, 0.07), (0.7, 0.2, 0.
 LEAST, WORD_STEPS, WORD_LEARN, AT_ONCE = 10, 24, 0.15, 4096
 #: Contexts that stand for all in the noise of words inside their class.
 CONTEXTS = 192
-#: Rows of partial counts that are summed at once, at least.
-ROWS_AT_ONCE = 200_000
+#: From this many contexts a word on, a table of all contexts is cheaper than a list of those seen; both give the same.
+DENSE = 24
+#: Bytes of partial counts that are summed at once.
+BYTES_AT_ONCE = 16 << 20
+#: Slots (a power of two) of the filter that spares learned words outside the table from the company of words too rare to be learned. A full filter lets all pass.
+SLOTS = 1 << 23
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -94,14 +101,24 @@ class Vocabulary:
         self.tail_log = np.zeros(HEAD + TAIL)
         self.tail_log[HEAD:] = np.log10(tail_words + tail_kinds + 1)
 
-    def classes_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Row in the table of each token; -1 - i if it is not there and in tail class i."""
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+        other = np.flatnonzero(out < 0)
+        out[other] = [HEAD - 1 - tail_class(words[i]) for i in other.tolist()]
+        return out
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row in the table (-1: not there) and class of each token."""
-        rows = np.fromiter(map(self.at.get, words, [-1] * len(words)), np.int64, len(words))
+        rows = np.maximum(ids, -1)
         classes = self.classes[rows]
-        other = np.flatnonzero(rows < 0)
-        classes[other] = [tail_class(words[i]) for i in other]
+        other = np.flatnonzero(ids < 0)
+        classes[other] = HEAD - 1 - ids[other]
         return rows, classes
 
+    def classes_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.decode(self.ids(words))
+
 
 def contexts(classes: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
     """[position, token] class at each place before a token of its text; before a text's begin stands the end."""
@@ -113,79 +130,133 @@ def contexts(classes: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def encode(docs: DataFrame, keep: list[str], vocabulary: Vocabulary) -> DataFrame:
+    """keep with ids (Vocabulary.ids of a text's tokens, as int32) and lacks (its words that are not in the table, in order, with a space between)."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "ids binary, lacks binary"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in slices(batches, [*keep, "text"], "text"):
+            ids, lacks = [], []
+            for t in part["text"].to_pylist():
+                words = tokens(t)
+                own = vocabulary.ids(words)
+                ids.append(own.tobytes())
+                lacks.append(b" ".join([words[i] for i in np.flatnonzero(own < 0).tolist()]))
+            yield from part.select(keep).append_column("ids", pa.array(ids, pa.binary())).append_column("lacks", pa.array(lacks, pa.binary())).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, schema)
+
+
 def read_tokens(part, vocabulary: Vocabulary) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text; then of each token: itself, its row, its class and the classes before it."""
-    each = [tokens(t) for t in part["text"].to_pylist()]
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    words = [w for x in each for w in x]
-    rows, c = vocabulary.classes_of(words)
-    return size, words, rows, c, contexts(c, size, int(vocabulary.classes_of([END])[1][0]))
+    """Tokens of each text; all words that the table lacks; then of each token: its row, its class and the classes before it."""
+    raw = part["ids"].to_pylist()
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    rows, c = vocabulary.decode(np.frombuffer(b"".join(raw), np.int32))
+    lacks = b" ".join(filter(None, part["lacks"].to_pylist()))
+    return size, lacks.split(b" ") if lacks else [], rows, c, contexts(c, size, int(vocabulary.classes_of([END])[1][0]))
 
 
-def count_pairs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """pair int ((position * classes + context) * classes + class), n long: each task sends what it has counted once."""
+def count_pairs(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """[position, context, class]: how often a class follows a context at a place. Each task sends what it has counted once, a row for each place and context."""
     k = HEAD + TAIL
 
-    def run(batches: Iterator) -> Iterator:
+    def told(which, rows) -> Iterator:
         import pyarrow as pa
 
+        for i in range(0, len(which), 256):
+            seen = [np.stack([at := np.flatnonzero(x), x[at]]).tobytes() for x in rows[i : i + 256]]
+            yield pa.record_batch([pa.array(which[i : i + 256], pa.int32()), pa.array(seen, pa.binary())], names=["part", "seen"])
+
+    def run(batches: Iterator) -> Iterator:
         seen = np.zeros((POSITIONS, k * k), np.int64)
-        for part in slices(batches, ["text"], "text"):
+        for part in slices(batches, ["ids", "lacks"], "ids"):
             _, _, _, c, before = read_tokens(part, vocabulary)
             for j in range(POSITIONS):
                 np.add.at(seen[j], before[j] * k + c, 1)
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(seen.ravel()[at[i : i + 100_000]])], names=["pair", "n"])
-
-    return texts.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
+        seen = seen.reshape(POSITIONS * k, k)
+        which = np.flatnonzero(seen.any(1))
+        for i in range(0, len(which), 256):
+            yield from told(which[i : i + 256], seen[which[i : i + 256]])
 
-def count_contexts(texts: DataFrame, vocabulary: Vocabulary, models: list[tuple]) -> DataFrame:
-    """word binary, context int, mix int, n double: how often a word outside the head follows a class; with word null, the log likelihood of each mix after a class."""
+    def total(batches: Iterator) -> Iterator:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch["part"].to_pylist(), batch["seen"].to_pylist(), strict=True):
+                at, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+                sums.setdefault(part, np.zeros(k, np.int64))[at] += n
+        yield from told(list(sums), list(sums.values()))
+
+    found = encoded.mapInArrow(run, "part int, seen binary").repartition("part").mapInArrow(total, "part int, seen binary").toArrow()
+    out = np.zeros((POSITIONS * k, k), np.int64)
+    for part, raw in zip(found["part"].to_pylist(), found["seen"].to_pylist(), strict=True):
+        at, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+        out[part, at] = n
+    return out.reshape(POSITIONS, k, k)
+
+
+def slots_of(counts: DataFrame, below: int) -> np.ndarray:
+    """For each slot: whether some word that occurs LEAST times, and no more than below, has its crc32 there. A filter of SLOTS bits, whatever the number of words."""
+    at = F.pmod(F.crc32("word"), F.lit(SLOTS))
+    bits = counts.filter(F.col("c").between(LEAST, below)).select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros((SLOTS // 32768, 4096), np.uint8)
+    for r in bits.collect():
+        out[r["b"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def count_contexts(encoded: DataFrame, vocabulary: Vocabulary, models: list[tuple], slots: np.ndarray) -> DataFrame:
+    """word binary, seen binary: of a word outside the head, how often it follows which class (int64, times * classes + class). With word null, context int, mix int, n double: the log likelihood of each mix after a class."""
     k = HEAD + TAIL
     learned = (vocabulary.counts >= LEAST) & (vocabulary.classes >= HEAD)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = pa.array(list(vocabulary.at), pa.binary())
+        schema = pa.schema([("word", pa.binary()), ("seen", pa.binary()), ("context", pa.int32()), ("mix", pa.int32()), ("n", pa.float64())])
+        table = pa.array(list(vocabulary.at), pa.binary())
         tables = [(10 ** log_table(m)).astype(np.float32) for m in models]
         likely = np.zeros((len(MIXES), k))
-        keys, held, other = [], 0, Counter()
-
-        def batch(words, context, mix, n):
-            return pa.record_batch([words, pa.array(context, pa.int32()), pa.array(mix, pa.int32()), pa.array(n, pa.float64())], names=["word", "context", "mix", "n"])
-
-        def told() -> Iterator:
-            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0))
-            for i in range(0, len(key), 50_000):
-                x = key[i : i + 50_000]
-                yield batch(names.take(pa.array(x // k)), x % k, np.zeros(len(x), np.int32), n[i : i + 50_000].astype(float))
-            rare = list(other.items())
-            for i in range(0, len(rare), 50_000):
-                x = rare[i : i + 50_000]
-                yield batch(pa.array([w for (w, _), _ in x], pa.binary()), [c for (_, c), _ in x], np.zeros(len(x), np.int32), [float(n) for _, n in x])
-
-        for part in slices(batches, ["text"], "text"):
-            _, words, rows, c, before = read_tokens(part, vocabulary)
+        keys, more, held, other = [], [], 0, {}
+
+        def told(names, keys: list) -> Iterator:
+            if not keys:
+                return
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            word, context = key // k, key % k
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            offsets, seen = np.append(begin, len(key)).astype(np.int32), n * k + context
+            for i in range(0, len(begin), 4096):
+                at = offsets[i : i + 4097]
+                raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at - at[0]) * np.int32(8)), pa.py_buffer(seen[at[0] : at[-1]])])
+                none = [pa.nulls(len(raw), f.type) for f in list(schema)[2:]]
+                yield pa.record_batch([names.take(pa.array(word[at[:-1]])), raw, *none], schema=schema)
+
+        for part in slices(batches, ["ids", "lacks"], "ids"):
+            _, lacks, rows, c, before = read_tokens(part, vocabulary)
             p = np.stack([t[b, c] for t, b in zip(tables, before, strict=True)])
             for g, mix in enumerate(MIXES.astype(np.float32)):
                 likely[g] += np.bincount(before[0], np.log(mix @ p), k)
             at = np.flatnonzero((rows >= 0) & learned[rows])
-            keys.append(rows[at] * k + before[0, at])
+            keys.append(rows[at].astype(np.int64) * k + before[0, at])
             held += len(at)
             if vocabulary.more:
-                lacks = np.flatnonzero(rows < 0)
-                other.update(zip((words[i] for i in lacks.tolist()), before[0, lacks].tolist(), strict=True))
-            if held > 2_000_000 or len(other) > HELD:
-                yield from told()
-                keys, held = [], 0
-                other.clear()
-        yield from told()
-        yield batch(pa.nulls(likely.size, pa.binary()), np.tile(np.arange(k), len(MIXES)), np.repeat(np.arange(len(MIXES)), k), likely.ravel())
-
-    return texts.mapInArrow(run, "word binary, context int, mix int, n double")
+                slot = np.fromiter(map(zlib.crc32, lacks), np.int64, len(lacks)) % SLOTS
+                may = np.flatnonzero((slots[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                number = np.fromiter((other.setdefault(lacks[i], len(other)) for i in may.tolist()), np.int64, len(may))
+                more.append(number * k + before[0, np.flatnonzero(rows < 0)[may]])
+                held += len(may)
+            if held > 2_000_000:
+                yield from told(table, keys)
+                yield from told(pa.array(list(other), pa.binary()), more)
+                keys, more, held, other = [], [], 0, {}
+        yield from told(table, keys)
+        yield from told(pa.array(list(other), pa.binary()), more)
+        size = likely.size
+        yield pa.record_batch([pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), pa.array(np.tile(np.arange(k), len(MIXES)), pa.int32()), pa.array(np.repeat(np.arange(len(MIXES)), k), pa.int32()), pa.array(likely.ravel())], schema=schema)
+
+    return encoded.mapInArrow(run, "word binary, seen binary, context int, mix int, n double")
 
 
 def train(pairs: np.ndarray, n: np.ndarray, classes: int = HEAD + TAIL, size: int = SIZE, steps: int = STEPS, prior: float = PRIOR, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +311,11 @@ def fit_words(own: np.ndarray, c: np.ndarray, begin: np.ndarray, contexts: np.nd
     near, prior = q[pick], weight[:, None] * (PRIOR * share * scale)
     both = weight[:, None] * (follow[pick][:, own] + np.float32(PRIOR)) * (NOISE * share * scale) + prior  # the gradient is noise * p - data * (1 - p)
     word = np.repeat(np.arange(len(c)), np.diff(np.append(begin, len(contexts))))
-    seen, there = times * scale[word], q[contexts]
+    seen, at = times * scale[word], word * len(q) + contexts
+    if dense := len(contexts) >= DENSE * len(c):
+        pulls = np.zeros((len(c), len(q)), np.float32)
+    else:
+        there = q[contexts]
     shift = np.log(NOISE * share)
     r, b = np.zeros((len(c), q.shape[1]), np.float32), np.log(share)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (r, b)]
@@ -248,8 +323,10 @@ def fit_words(own: np.ndarray, c: np.ndarray, begin: np.ndarray, contexts: np.nd
     for t in range(1, WORD_STEPS + 1):
         lift = b - shift
         g = both * chance(near @ r.T + lift) - prior
-        s = seen * (chance(np.einsum("ij,ij->i", there, r[word]) + lift[word]) - 1)
-        dr = g.T @ near + np.add.reduceat(s[:, None] * there, begin)
+        s = seen * (chance(((r @ q.T).ravel()[at] if dense else np.einsum("ij,ij->i", there, r[word])) + lift[word]) - 1)
+        if dense:
+            pulls.ravel()[at] = s
+        dr = g.T @ near + (pulls @ q if dense else np.add.reduceat(s[:, None] * there, begin))
         for x, dx, (m, v) in zip((r, b), (dr, g.sum(0) + np.add.reduceat(s, begin)), state, strict=True):
             m += 0.1 * (dx - m)
             v += 0.01 * (dx * dx - v)
@@ -258,49 +335,53 @@ def fit_words(own: np.ndarray, c: np.ndarray, begin: np.ndarray, contexts: np.nd
 
 
 def word_vectors(words: DataFrame, follow: np.ndarray, mass: np.ndarray, q: np.ndarray) -> DataFrame:
-    """words: word, context, n (partial counts). Returns word, c, v (vector and bias as float32) of words that occur LEAST times; and rows of class, z (partial sums of its normaliser after each context).
+    """words: word, seen (partial counts, see count_contexts). Returns word, c, v (vector and bias as float32) of words that occur LEAST times; and rows of class, z (partial sums of its normaliser after each context).
 
-    Dealt and sorted by word, so that counts are summed here, at most a row for each context and task of count_contexts a word.
+    Dealt and sorted by word, so that counts are summed here, BYTES_AT_ONCE at a time; a word with more partial counts than that is summed on the way.
     """
     k = HEAD + TAIL
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         z = np.zeros((TAIL, k))
 
         def summed() -> Iterator:
-            """Words (in order, each whole), with their counts by context: AT_ONCE learned ones at a time."""
+            """Words (in order, each whole) with their partial counts."""
             held: list = []
-            rows, few = 0, 0
+            size = 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 held.append(batch)
-                rows += batch.num_rows
-                if rows >= (few := max(few, ROWS_AT_ONCE)):
-                    t = pa.Table.from_batches(held).combine_chunks()
-                    last = t["word"][-1].as_py()
-                    cut = rows
-                    while cut and t["word"][cut - 1].as_py() == last:  # the last word may go on
-                        cut -= 1
+                size += batch.nbytes
+                if size >= BYTES_AT_ONCE:
+                    t = pa.Table.from_batches(held)
+                    last = t["word"][-1]
+                    cut = t.num_rows - pc.sum(pc.equal(t["word"], last)).as_py()
                     if cut:
                         yield t.slice(0, cut)
-                    held = t.slice(cut).to_batches()
-                    rows -= cut
-                    few = 2 * rows
+                    x = np.frombuffer(b"".join(t["seen"].slice(cut).to_pylist()), np.int64)  # the last word may go on
+                    n = np.rint(np.bincount(x % k, x // k)).astype(np.int64)
+                    at = np.flatnonzero(n)
+                    held = [pa.record_batch([pa.array([last.as_py()], pa.binary()), pa.array([(n[at] * k + at).tobytes()], pa.binary())], names=["word", "seen"])]
+                    size = held[0].nbytes
             if held:
-                yield pa.Table.from_batches(held).combine_chunks()
+                yield pa.Table.from_batches(held)
 
         for t in summed():
             code = t["word"].combine_chunks().dictionary_encode()  # sorted, so codes ascend
-            at = code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * k + t["context"].to_numpy()
+            raw = t["seen"].to_pylist()
+            x = np.frombuffer(b"".join(raw), np.int64)
+            at = np.repeat(code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * k, np.fromiter(map(len, raw), np.int64, len(raw)) // 8) + x % k
             key, where = np.unique(at, return_inverse=True)
-            n = np.bincount(where, t["n"].to_numpy())
+            n = np.bincount(where, x // k)
             of = key // k
             c_all = np.rint(np.bincount(of, n)).astype(np.int64)
             learned = np.flatnonzero(c_all >= LEAST)
             first, stop = np.searchsorted(of, np.arange(len(c_all))), np.searchsorted(of, np.arange(len(c_all)), "right")
+            learned = learned[np.argsort(stop[learned] - first[learned], kind="stable")]  # words of like many contexts together
             for some in (learned[i : i + AT_ONCE] for i in range(0, len(learned), AT_ONCE)):
                 take = np.concatenate([np.arange(a, b) for a, b in zip(first[some], stop[some], strict=True)])
                 size = stop[some] - first[some]
@@ -345,7 +426,7 @@ class Model(tuple):
 
 
 def score_texts(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, model: Model) -> DataFrame:
-    """keep with n_tokens, what the table knows (known, base, score), and the words it lacks with the class before and their counts."""
+    """docs: keep, ids, lacks (see encode). keep with n_tokens, what the table knows (known, base, score), and the words it lacks with the class before and their counts."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "row long, n_tokens long, known long, base double, score double, words array<binary>, contexts array<int>, times array<int>"])
     model = model.without_table()
 
@@ -356,7 +437,7 @@ def score_texts(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, model:
         class_log, log_c = model.class_logs(), np.log10(vocabulary.counts + 1)
         row = TaskContext.get().partitionId() << 40
         in_tail = np.where(vocabulary.classes >= HEAD, log_c, 0)  # head words need no count inside their class
-        for part in slices(batches, [*keep, "text"], "text"):
+        for part in slices(batches, [*keep, "ids", "lacks"], "ids"):
             size, words, rows, c, before = read_tokens(part, vocabulary)
             begin = np.cumsum(size) - size
             there = rows >= 0
@@ -365,8 +446,8 @@ def score_texts(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, model:
             score[at] += model.word_log(c[at], before[0, at], model.known[rows[at]]) - in_tail[rows[at]]
             lacks = np.flatnonzero(~there)
             other: list[Counter] = [Counter() for _ in size]
-            for i, d, x in zip(lacks.tolist(), (np.searchsorted(begin, lacks, "right") - 1).tolist(), (before[0, lacks] if vocabulary.more else 0 * lacks).tolist(), strict=True):
-                other[d][words[i], x] += 1
+            for w, d, x in zip(words, (np.searchsorted(begin, lacks, "right") - 1).tolist(), (before[0, lacks] if vocabulary.more else 0 * lacks).tolist(), strict=True):
+                other[d][w, x] += 1
             out = part.select(keep)
             for name, x in (
                 ("row", pa.array(row + np.arange(len(size)))),
@@ -405,8 +486,8 @@ def learned_logs(rare: DataFrame, model: Model) -> DataFrame:
     return rare.select("row", "times", "c", "class", "context", "v").mapInArrow(run, "row long, times int, base double, logs double")
 
 
-def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, Model]:
-    """counts (word, c), all tokens, kinds of tokens, and the vocabulary and model for score_texts."""
+def learn_words(texts: DataFrame) -> tuple[DataFrame, int, int, int, Vocabulary]:
+    """counts (word, c), all tokens, kinds of tokens, kinds that occur LEAST times, and the vocabulary."""
     counts = durable(count_words(texts), "lm-counts")
     n, kinds, n_learned = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") >= LEAST)).first()
     top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
@@ -420,38 +501,50 @@ def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, Model]:
         tail_kinds[tail_class(w) - HEAD] -= 1
         mass[tail_class(w) - HEAD] -= x + 1 if x >= LEAST else 0
     vocabulary = Vocabulary(words, c, tail_words, tail_kinds, mass)
-    pairs = count_pairs(texts, vocabulary).toArrow()
-    pair, times, k = pairs["pair"].to_numpy(), pairs["n"].to_numpy(), HEAD + TAIL
-    place = pair // (k * k)
-    positions = [train(pair[place == j] % (k * k), times[place == j]) for j in range(POSITIONS)]
+    return counts, n, kinds, n_learned, vocabulary
+
+
+def learn_model(encoded: DataFrame, counts: DataFrame, n_learned: int, vocabulary: Vocabulary) -> Model:
+    """The model of the training texts (see encode)."""
+    pairs, k = count_pairs(encoded, vocabulary), HEAD + TAIL
+    positions = [train(at := np.flatnonzero(x), x.ravel()[at]) for x in pairs]
     model = Model(positions[0])
     model.positions = positions
-    found = durable(count_contexts(texts, vocabulary, positions), "lm-contexts")
+    slots = slots_of(counts, int(vocabulary.counts[-2])) if vocabulary.more else np.zeros(0, np.uint8)
+    found = durable(count_contexts(encoded, vocabulary, positions, slots), "lm-contexts")
     likely = np.zeros((k, len(MIXES)))
     mixes = found.filter("word IS NULL").groupBy("context", "mix").agg(F.sum("n").alias("n")).toArrow()
     likely[mixes["context"].to_numpy(), mixes["mix"].to_numpy()] = mixes["n"].to_numpy()
     model.weights = MIXES[likely.argmax(1)]
-    follow = np.zeros(k * k, np.float32)
-    follow[pair[place == 0]] = times[place == 0]
-    each = found.filter("word IS NOT NULL").select("word", "context", "n").repartition(max(8, n_learned // 8192), "word")
-    got = durable(word_vectors(each.sortWithinPartitions("word"), follow.reshape(k, k)[:, HEAD:], mass, model[1]), "lm-vectors")
+    follow, mass = pairs[0, :, HEAD:].astype(np.float32), vocabulary.mass
+    each = found.filter("word IS NOT NULL").select("word", "seen").repartition(max(8, n_learned // 8192), "word")
+    got = durable(word_vectors(each.sortWithinPartitions("word"), follow, mass, model[1]), "lm-vectors")
     model.vectors = got.filter("word IS NOT NULL").select("word", "c", "v")
     z = got.filter("class IS NOT NULL").select("class", F.posexplode("z").alias("context", "z")).groupBy("class", "context").agg(F.sum("z").alias("z")).toArrow()
     model.norm = np.zeros((TAIL, k))
     model.norm[z["class"].to_numpy(), z["context"].to_numpy()] = np.log10(mass[z["class"].to_numpy()]) - np.log10(z["z"].to_numpy())
-    model.known, model.has = np.zeros((len(words) + 1, SIZE + 1), np.float32), np.zeros(len(words) + 1, bool)
-    near = model.vectors.filter(F.col("c") >= (c[-1] if c else 0)).select("word", "v").toArrow()
+    rows = len(vocabulary.counts)
+    model.known, model.has = np.zeros((rows, SIZE + 1), np.float32), np.zeros(rows, bool)
+    near = model.vectors.filter(F.col("c") >= (int(vocabulary.counts[-2]) if rows > 1 else 0)).select("word", "v").toArrow()
     for w, v in zip(near["word"].to_pylist(), near["v"].to_pylist(), strict=True):
         if (i := vocabulary.at.get(w)) is not None:
             model.known[i], model.has[i] = np.frombuffer(v, np.float32), True
-    return counts, n, kinds, vocabulary, model
+    return model
+
+
+def learn(texts: DataFrame) -> tuple[DataFrame, int, int, Vocabulary, Model]:
+    """counts (word, c), all tokens, kinds of tokens, and the vocabulary and model for score_texts."""
+    counts, n, kinds, n_learned, vocabulary = learn_words(texts)
+    return counts, n, kinds, vocabulary, learn_model(durable(encode(texts, [], vocabulary), "lm-texts"), counts, n_learned, vocabulary)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
     d = bound_batches(docs).select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    counts, n, kinds, vocabulary, model = learn(d.filter(~F.col("held_out")).select("text"))
-    known = durable(score_texts(d, ["doc_id", "held_out"], vocabulary, model), "lm-scores")
+    counts, n, kinds, n_learned, vocabulary = learn_words(d.filter(~F.col("held_out")).select("text"))
+    encoded = durable(encode(d, ["doc_id", "held_out"], vocabulary), "lm-texts")
+    model = learn_model(encoded.filter(~F.col("held_out")), counts, n_learned, vocabulary)
+    known = durable(score_texts(encoded, ["doc_id", "held_out"], vocabulary, model), "lm-scores")
     rare = known.select("row", F.explode(F.arrays_zip("words", "contexts", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.contexts").alias("context"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "word")
     each = F.log10(F.col("c") + 1)
