@@ -158,7 +158,7 @@ def read_tokens(part, vocabulary: Vocabulary) -> tuple[np.ndarray, list[bytes],
     return size, lacks.split(b" ") if lacks else [], rows, c, contexts(c, size, int(vocabulary.classes_of([END])[1][0]))
 
 
-def count_pairs(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+def count_pairs(encoded: DataFrame, vocabulary: Vocabulary, n_learned: int) -> np.ndarray:
     """[position, context, class]: how often a class follows a context at a place. Each task sends what it has counted once, a row for each place and context."""
     k = HEAD + TAIL
 
@@ -188,7 +188,7 @@ def count_pairs(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 sums.setdefault(part, np.zeros(k, np.int64))[at] += n
         yield from told(list(sums), list(sums.values()))
 
-    found = encoded.mapInArrow(run, "part int, seen binary").repartition("part").mapInArrow(total, "part int, seen binary").toArrow()
+    found = encoded.mapInArrow(run, "part int, seen binary").repartition(min(POSITIONS * k, max(8, n_learned // 4096)), "part").mapInArrow(total, "part int, seen binary").toArrow()
     out = np.zeros((POSITIONS * k, k), np.int64)
     for part, raw in zip(found["part"].to_pylist(), found["seen"].to_pylist(), strict=True):
         at, n = np.frombuffer(raw, np.int64).reshape(2, -1)
@@ -506,7 +506,7 @@ def learn_words(texts: DataFrame) -> tuple[DataFrame, int, int, int, Vocabulary]
 
 def learn_model(encoded: DataFrame, counts: DataFrame, n_learned: int, vocabulary: Vocabulary) -> Model:
     """The model of the training texts (see encode)."""
-    pairs, k = count_pairs(encoded, vocabulary), HEAD + TAIL
+    pairs, k = count_pairs(encoded, vocabulary, n_learned), HEAD + TAIL
     positions = [train(at := np.flatnonzero(x), x.ravel()[at]) for x in pairs]
     model = Model(positions[0])
     model.positions = positions
