@@ -172,27 +172,28 @@ def linked(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, band: i
     return root, links
 
 
-def _rows(docs: DataFrame, text: str) -> DataFrame:
-    """Each row's doc_id, x1, x2 (its text), d1, d2 (its word sequence), n (n-grams) and bands."""
-    d = docs.select("doc_id", *names(F.col(text)), F.col(text).cast("binary").alias("text"))
+def _rows(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Each row's doc_id, keep, x1, x2 (its text), d1, d2 (its word sequence), n (n-grams), words (their number) and bands."""
+    d = docs.select("doc_id", *keep, *names(F.col(text)), F.col(text).cast("binary").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in slices(batches, ["doc_id", "x1", "x2", "text"], "text"):
+        for part in slices(batches, ["doc_id", *keep, "x1", "x2", "text"], "text"):
             t = Texts(part["text"].to_pylist())
             words = t.words()
             sets = shingles(t, words)
             n = np.array([len(s) for s in sets], np.int64)
             key = np.zeros((0, BANDS), np.int64) if not n.any() else bands(signatures([s for s in sets if len(s)]))
-            out = part.select(["doc_id", "x1", "x2"])
+            out = part.select(["doc_id", *keep, "x1", "x2"])
             for name, x in zip(("d1", "d2"), digests(t, words), strict=True):
                 out = out.append_column(name, pa.array(x))
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            out = out.append_column("n", pa.array(n)).append_column("bands", pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel())))
+            out = out.append_column("n", pa.array(n)).append_column("words", pa.array(t.n_words, pa.int64())).append_column("bands", pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel())))
             yield from out.combine_chunks().to_batches()
 
-    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x1 long, x2 long, d1 long, d2 long, n long, bands array<long>")
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return d.mapInArrow(run, f"{kept}, x1 long, x2 long, d1 long, d2 long, n long, words long, bands array<long>")
 
 
 def _compare(work: DataFrame) -> DataFrame:
@@ -215,10 +216,10 @@ def _compare(work: DataFrame) -> DataFrame:
     return parts.select("g", "i", "j", "side", "band", "t", "m", "grams").mapInArrow(run, "t long, root long, links long")
 
 
-def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows (see _rows), and for each distinct word sequence: t, d1, d2, rep (doc_id, x1, x2 of the row with the smallest id), m (rows),
     n, class_id (smallest id of its class), class_name (a long that names the class), links (linked rows of other sequences) and of (sequences in its class)."""
-    rows = durable(_rows(bound_batches(docs), text), "jaccard-rows")
+    rows = durable(_rows(bound_batches(docs), text, keep), "jaccard-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x1", "x2"))
     texts = rows.groupBy("d1", "d2").agg(least.alias("rep"), F.count(F.lit(1)).alias("m"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     texts = durable(texts.withColumn("t", F.monotonically_increasing_id()), "jaccard-texts")

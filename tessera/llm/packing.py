@@ -158,14 +158,11 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents packed by words; a near-duplicate class of op8 is one duplicate cluster. Texts without words are clusters by equality."""
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("__words"), *jaccard_join.names(F.col("text")))
-    rows, classes = jaccard_join.classes(docs)
-    named = rows.filter("n > 0").groupBy("x1", "x2").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"), F.count(F.lit(1)).alias("__n"))
-    named = named.join(classes.select("d1", "d2", F.col("class_name").alias("__class")), ["d1", "d2"]).select("x1", "x2", "__n", "__class")
-    some = d.filter("__words > 0")
-    d = join_unique(some, durable(named, "packing-classes"), ["x1", "x2"], "__n", rows.count()).drop("__n").unionByName(d.filter("__words = 0").selectExpr("*", "CAST(NULL AS BIGINT) AS __class"), allowMissingColumns=True)
-    d = durable(d.select("doc_id", "source", "__words", F.col("x1").alias("__same"), "__class"), "packing-items")
-    return best_fit(d, F.col("__words"), F.coalesce("__class", "__same"), capacity)
+    rows, classes = jaccard_join.classes(docs, keep=("source",))
+    d = join_unique(rows.select("doc_id", "source", "words", "n", "x1", "d1", "d2"), classes.select("d1", "d2", "m", "class_name"), ["d1", "d2"], "m", rows.count())
+    cluster = F.when(F.col("n") > 0, F.col("class_name")).otherwise(F.col("x1"))
+    d = durable(d.select("doc_id", "source", F.col("words").alias("__words"), cluster.alias("__cluster")), "packing-items")
+    return best_fit(d, F.col("__words"), F.col("__cluster"), capacity)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
