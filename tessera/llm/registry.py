@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, jaccard_join, language_model, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts
+from . import ann, chat_format, jaccard_join, language_model, merkle, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.oracle(), "op3_quality_rules": quality_rules.oracle(), "op8_jaccard_join": jaccard_join.oracle(), "op10_suffix_dedup": suffix_dedup.oracle()}
+    return {
+        "op1_chat_format": chat_format.oracle(),
+        "op3_quality_rules": quality_rules.oracle(),
+        "op8_jaccard_join": jaccard_join.oracle(),
+        "op10_suffix_dedup": suffix_dedup.oracle(),
+        "op13_merkle_manifest": merkle.oracle(),
+    }
