@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, jaccard_join, language_model, merkle, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, whitening
+from . import ann, chat_format, jaccard_join, language_model, merkle, mixing, packing, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality_model": quality_model.op9_quality_model,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_whitening": whitening.op12_whitening,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
