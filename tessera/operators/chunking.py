@@ -1,4 +1,4 @@
-"""Markdown as tables: lines with fence, page and heading state, sections, blocks, packed chunks and the node tree."""
+"""Markdown as tables: lines with fence, page and heading state, packed chunks and the node tree."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hard_split, n_tokens, token_tail, uuid5
+from .markdown import LEVELS, cut, render, sections
 
-LEVELS = 6
 #: The namespace of node ids: a fixed value of this library.
 NAMESPACE = "5b0f1a52-6c1e-4f0c-9d8e-2b7f3c9a1d40"
 SEPARATOR = "\x1f"
@@ -26,7 +26,7 @@ def lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
     x = x.withColumn("level", F.when(~F.col("in_code") & (marks != ""), F.length(marks)))
     x = x.withColumn("title", F.when(F.col("level").isNotNull(), F.regexp_replace("line", r"^#{1,6}\s+|\s+$", "")))
     page = F.regexp_extract("line", r"^<!--\s*[Pp]age\s+(\d+)\s*-->\s*$", 1)
-    x = x.withColumn("page", F.last(F.when(page != "", page.cast("int")), ignorenulls=True).over(w))
+    x = x.withColumn("page", F.last(F.when((page != "") & ~F.col("in_code"), page.cast("int")), ignorenulls=True).over(w))
     for k in range(1, LEVELS + 1):
         x = x.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(w))
     newest = F.lit(-1)
@@ -38,50 +38,63 @@ def lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return x.select(key, "pos", "line", "in_code", "level", "title", "page", newest.alias("section"), path.alias("path"))
 
 
-def sections(of: DataFrame, key: str) -> DataFrame:
-    """One row per section with a heading or text: key, section, depth, path, ordinal (nth section of this path), body, pages, parent (section or null)."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    s = of.groupBy(key, "section").agg(F.first("path").alias("path"), body.alias("body"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("n_lines"))
-    s = s.withColumn("depth", F.size("path")).withColumn("name", F.array_join("path", SEPARATOR))
-    s = s.withColumn("ordinal", F.row_number().over(Window.partitionBy(key, "name").orderBy("section")))
-    w = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    for k in range(1, LEVELS):
-        s = s.withColumn(f"p{k}", F.last(F.when(F.col("depth") == k, F.col("section")), ignorenulls=True).over(w))
-    parent = F.lit(None).cast("int")
-    for k in range(1, LEVELS):
-        parent = F.when(F.col("depth") == k + 1, F.col(f"p{k}")).otherwise(parent)
-    return s.select(key, "section", "depth", "path", "ordinal", "body", "first_page", "last_page", "n_lines", parent.alias("parent"))
+def cut_block(text: Column, most: int) -> Column:
+    """A block over `most` tokens as runs of whole lines; a line over `most` in pieces of its own."""
+    small = lambda t: n_tokens(t) <= most
+    empty = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("out"))
+    flushed = lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"]))
+
+    def step(acc: Column, line: Column) -> Column:
+        joined = F.concat(acc["now"], F.lit("\n"), line)
+        grows = acc["now"].isNotNull() & small(joined)
+        return F.when(~small(line), F.struct(F.lit(None).cast("string").alias("now"), F.concat(flushed(acc), hard_split(line, most)).alias("out"))).otherwise(
+            F.struct(F.when(grows, joined).otherwise(line).alias("now"), F.when(grows, acc["out"]).otherwise(flushed(acc)).alias("out"))
+        )
+
+    return F.when(small(text), F.array(text)).otherwise(F.filter(F.aggregate(F.split(text, "\n"), empty, step, flushed), lambda t: F.trim(t) != ""))
 
 
-def blocks(body: Column, most: int) -> Column:
-    """Blocks between blank lines; one over `most` tokens is cut at lines, a line over `most` by characters."""
-    parts = F.filter(F.split(body, r"\n\s*\n|\n(?:---|\*\*\*|___|<!-- chunk -->)\n"), lambda b: F.trim(b) != "")
-    small = lambda b: n_tokens(b) <= most
-    rows = lambda b: F.flatten(F.transform(F.split(b, "\n"), lambda r: F.when(small(r), F.array(r)).otherwise(hard_split(r, most))))
-    return F.flatten(F.transform(parts, lambda b: F.when(small(b), F.array(b)).otherwise(rows(b))))
+def cut_blocks(blocks: Column, most: int) -> Column:
+    """Blocks (kind, page, text) none of which is over `most` tokens."""
+    return F.flatten(F.transform(blocks, lambda b: F.transform(cut_block(b["text"], most), lambda t: F.struct(b["kind"].alias("kind"), b["page"].alias("page"), t.alias("text")))))
 
 
-def pack(parts: Column, most: int, overlap: int) -> Column:
-    """Blocks put together up to `most` tokens; the next chunk repeats the last block, or its tail of `overlap` tokens, if that still leaves room.
+def pack(blocks: Column, most: int, overlap: int) -> Column:
+    """Chunks (text, first_page, last_page) of blocks put together up to `most` tokens, a blank line between them.
 
-    One row-local fold; parts is the array of a section.
+    A full chunk hands on as many of its last blocks as have `overlap` tokens, or that much of the end of its last block, unless that leaves no room for the next
+    block; a `break` hands on nothing. A chunk that is a heading alone is left out. One row-local fold: its state is the queue of the blocks now open; chunks are copied only when one is added.
     """
-    empty = F.struct(F.lit("").alias("now"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
+    piece = "struct<page:int,text:string>"
+    chunk = lambda q: F.struct(_joined(q).alias("text"), F.array_min(_pages(q)).alias("first_page"), F.array_max(_pages(q)).alias("last_page"))
+    none = F.array().cast(f"array<{piece}>")
+    empty = F.struct(none.alias("now"), F.array().cast("array<struct<text:string,first_page:int,last_page:int>>").alias("out"))
+    flushed = lambda acc: F.when(F.size(acc["now"]) == 0, acc["out"]).otherwise(F.array_append(acc["out"], chunk(acc["now"])))
+
+    def carried(q: Column) -> Column:
+        n = F.size(F.filter(F.sequence(F.lit(1), F.size(q)), lambda k: F.floor(F.length(_joined(F.slice(q, -k, k))) / 4) <= overlap))
+        last = F.element_at(q, -1)
+        tail = F.array(F.struct(last["page"].alias("page"), token_tail(last["text"], overlap).alias("text")))
+        return F.when(n > 0, F.slice(q, -n, n)).otherwise(tail) if overlap else none
 
     def step(acc: Column, b: Column) -> Column:
-        joined = F.when(acc["now"] == "", b).otherwise(F.concat(acc["now"], F.lit("\n\n"), b))
-        fits = n_tokens(joined) <= most
-        carried = F.when(n_tokens(acc["last"]) <= overlap, acc["last"]).otherwise(token_tail(acc["last"], overlap))
-        started = F.concat(carried, F.lit("\n\n"), b)
-        fresh = F.when(n_tokens(started) <= most, started).otherwise(b)
-        return F.struct(
-            F.when((acc["now"] == "") | fits, joined).otherwise(fresh).alias("now"),
-            b.alias("last"),
-            F.when((acc["now"] == "") | fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"]))).alias("out"),
+        own = F.array(F.struct(b["page"].alias("page"), b["text"].alias("text")))
+        fits = lambda q: n_tokens(_joined(F.concat(q, own))) <= most
+        fresh = F.when(fits(carried(acc["now"])), F.concat(carried(acc["now"]), own)).otherwise(own)
+        grows = (F.size(acc["now"]) == 0) | fits(acc["now"])
+        return F.when(b["kind"] == "break", F.struct(none.alias("now"), flushed(acc).alias("out"))).otherwise(
+            F.struct(F.when(grows, F.concat(acc["now"], own)).otherwise(fresh).alias("now"), F.when(grows, acc["out"]).otherwise(flushed(acc)).alias("out"))
         )
 
-    done = lambda acc: F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
-    return F.filter(F.aggregate(parts, empty, step, done), lambda c: ~c.rlike(r"^\s*#{1,6}\s+[^\n]*\s*$"))
+    return F.filter(F.aggregate(blocks, empty, step, flushed), lambda c: ~c["text"].rlike(r"\A\s*#{1,6}\s+[^\n]*\s*\z"))
+
+
+def _joined(q: Column) -> Column:
+    return F.array_join(F.transform(q, lambda b: b["text"]), "\n\n")
+
+
+def _pages(q: Column) -> Column:
+    return F.transform(q, lambda b: b["page"])
 
 
 def chain(leaves: DataFrame, key: str, order: list[str], node: str = "node_id") -> DataFrame:
@@ -98,21 +111,31 @@ def node_id(key: Column, level: str, path: Column, *ordinals: Column) -> Column:
     return uuid5(F.concat_ws(SEPARATOR, key.cast("string"), F.lit(level), F.array_join(path, SEPARATOR), *(o.cast("string") for o in ordinals)), NAMESPACE)
 
 
-def tree(docs: DataFrame, key: str, text: Column, most: int = 200, overlap: int = 20) -> DataFrame:
-    """document, section and chunk nodes: node_id, level, parent_id, root_id, prev_id, next_id, position, path, text, token_count."""
-    s = sections(lines(docs, key, text), key)
+def tree(docs: DataFrame, key: str, text: Column, most: int = 200, overlap: int = 20, show: int = 700) -> DataFrame:
+    """document, section and chunk nodes: node_id, level, parent_id, root_id, prev_id, next_id, position, path, text, token_count, first_page, last_page.
+
+    A section's text is its whole subtree, a document's its introduction and outline, both cut at `show` tokens. A text without
+    headings is one section without a title.
+    """
+    s = render(sections(docs, key, text), key, show)
     root = node_id(F.col(key), "document", F.array().cast("array<string>"))
     own = node_id(F.col(key), "section", F.col("path"), F.col("ordinal"))
-    s = s.withColumn("root_id", root).withColumn("own_id", F.when(F.col("depth") > 0, own).otherwise(root))
+    ids = F.when(F.col("depth") > 0, own).otherwise(root)
+    s = s.withColumn("root_id", root).withColumn("own_id", ids)
     up = s.select(F.col(key).alias("__k"), F.col("section").alias("__s"), F.col("own_id").alias("up_id"))
     s = s.join(up, F.col(key).eqNullSafe(F.col("__k")) & (F.col("parent") == F.col("__s")), "left").drop("__k", "__s")
-    leaves = s.select(key, "section", "path", "ordinal", "root_id", F.col("own_id").alias("parent_id"), F.posexplode(pack(blocks(F.col("body"), most), most, overlap)).alias("at", "text"))
-    leaves = leaves.withColumn("node_id", node_id(F.col(key), "chunk", F.col("path"), F.col("ordinal"), F.col("at")))
-    leaves = chain(leaves, key, ["section", "at"]).select(key, "node_id", F.lit("chunk").alias("level"), "parent_id", "root_id", "prev_id", "next_id", "position", "path", "text")
+    leaves = s.select(key, "section", "path", "ordinal", "root_id", F.col("own_id").alias("parent_id"), F.posexplode(pack(cut_blocks(F.col("blocks"), most), most, overlap)).alias("at", "c"))
+    leaves = leaves.select("*", "c.*").withColumn("node_id", node_id(F.col(key), "chunk", F.col("path"), F.col("ordinal"), F.col("at")))
+    pages = ["first_page", "last_page"]
+    leaves = chain(leaves, key, ["section", "at"]).select(key, "node_id", F.lit("chunk").alias("level"), "parent_id", "root_id", "prev_id", "next_id", "position", "path", "text", *pages)
     none = F.lit(None).cast("string")
-    inner = s.filter("depth > 0").select(key, F.col("own_id").alias("node_id"), F.lit("section").alias("level"), F.coalesce("up_id", "root_id").alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.col("section").alias("position"), "path", F.col("body").alias("text"))
-    outline = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("section", "depth", F.element_at("path", -1).alias("t"))))), lambda x: F.concat(F.repeat(F.lit("  "), x["depth"] - 1), F.lit("- "), x["t"])), "\n")
-    roots = s.groupBy(key, "root_id").agg(outline.alias("text")).select(key, F.col("root_id").alias("node_id"), F.lit("document").alias("level"), none.alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.lit(0).alias("position"), F.array().cast("array<string>").alias("path"), "text")
+    inner = s.filter("depth > 0").select(key, F.col("own_id").alias("node_id"), F.lit("section").alias("level"), F.coalesce("up_id", "root_id").alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.col("section").alias("position"), "path", F.col("rendered").alias("text"), *pages)
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.element_at("path", -1))
+    plan = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("section", line.alias("t"))))), lambda x: x["t"]), "\n")
+    intro = F.max(F.when((F.col("depth") == 0) & (F.col("rendered") != ""), F.col("rendered")))
+    roots = s.groupBy(key, "root_id").agg(intro.alias("intro"), plan.alias("plan"), *(f(c).alias(c) for f, c in ((F.min, pages[0]), (F.max, pages[1]))))
+    whole = cut(F.concat_ws("\n\n", "intro", F.when(F.col("plan") != "", F.col("plan"))), show)
+    roots = roots.select(key, F.col("root_id").alias("node_id"), F.lit("document").alias("level"), none.alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.lit(0).alias("position"), F.array().cast("array<string>").alias("path"), whole.alias("text"), *pages)
     return leaves.unionByName(inner).unionByName(roots).withColumn("token_count", n_tokens(F.col("text")))
 
 

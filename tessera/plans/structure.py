@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, rules
+from ..operators import chunking, markdown, rules
 from .common import SQL_FOLD, table
 
 
@@ -26,7 +26,7 @@ SQL_LINES = """md AS (SELECT doc_id, i - 1 AS pos, x AS line FROM (SELECT doc_id
 fe AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM md),
 co AS (SELECT *, sum(fence::INT) OVER w % 2 = 1 OR fence AS in_code FROM fe WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 le AS (SELECT *, CASE WHEN NOT in_code AND regexp_matches(line, '^#{1,6}\\s+\\S') THEN length(regexp_extract(line, '^(#{1,6})', 1)) END AS level,
-  TRY_CAST(nullif(regexp_extract(line, '^<!--\\s*[Pp]age\\s+(\\d+)\\s*-->\\s*$', 1), '') AS INT) AS mark FROM co),
+  CASE WHEN NOT in_code THEN TRY_CAST(nullif(regexp_extract(line, '^<!--\\s*[Pp]age\\s+(\\d+)\\s*-->\\s*$', 1), '') AS INT) END AS mark FROM co),
 st AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS page, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level = 2 THEN pos END) OVER w AS p2, max(CASE WHEN level = 3 THEN pos END) OVER w AS p3
   FROM le WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ln AS (SELECT doc_id, pos, line, in_code, level, page, p1, CASE WHEN p2 > coalesce(p1, -1) THEN p2 END AS p2, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN p3 END AS p3 FROM st)"""
@@ -43,7 +43,7 @@ FROM ln LEFT JOIN ti a ON a.doc_id = ln.doc_id AND a.pos = p1 LEFT JOIN ti b ON
 
 
 def section_sizes(spark: SparkSession, d: str) -> DataFrame:
-    s = chunking.sections(chunking.lines(_markdown(spark, d), "doc_id", F.col("md")), "doc_id")
+    s = markdown.sections(_markdown(spark, d), "doc_id", F.col("md"))
     return s.select("doc_id", "section", "depth", "n_lines", "first_page", "last_page", F.md5("body").alias("body_md5"))
 
 
@@ -64,26 +64,156 @@ SELECT doc_id, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS
 count(*) OVER (PARTITION BY doc_id, k // 4) AS of_section FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY k)"""
 
 
+def _guide(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown with every kind of block: each line is turned, by its number, into headings, fences, lists, tables, page marks or separators that hold it."""
+
+    def turned(x: Column, i: Column) -> Column:
+        w = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+        page = w("<!-- Page ", i.cast("string"), " -->")
+        forms = {
+            0: [w("# ", F.left(x, F.lit(20))), x], 2: [w("## ", F.left(x, F.lit(12))), x], 3: [F.lit("```"), x, F.lit(""), w("# ", F.left(x, F.lit(9))), F.lit("```")],
+            4: [w("- ", x), F.lit(""), w("  ", x), w("* ", F.left(x, F.lit(30)))], 5: [w("| ", F.left(x, F.lit(30)), " |"), page, F.lit("|---|"), w("| ", x, " |")],
+            6: [w("### GET /", F.replace(F.left(x, F.lit(8)), F.lit(" "), F.lit("/"))), x], 7: [x, F.lit("---")], 8: [page, x], 9: [w("#### ", F.left(x, F.lit(10))), x],
+            10: [w("1. ", x), w("next ", F.left(x, F.lit(40)))], 11: [x, F.lit("")],
+        }
+        out = F.array(x)
+        for k, lines in forms.items():
+            out = F.when((i + F.col("doc_id")) % 12 == k, F.array(*lines)).otherwise(out)
+        return out
+
+    lines = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), turned))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.array_join(lines, "\n").alias("md"))
+
+
+def _guide_sql(levels: int) -> str:
+    """gl: doc_id, pos, line, kind, page, section of every line; gs: one row a section with its title, level and last descendant."""
+    x = r"""CASE (i - 1 + doc_id) % 12 WHEN 0 THEN ['# ' || left(x, 20), x] WHEN 2 THEN ['## ' || left(x, 12), x] WHEN 3 THEN ['```', x, '', '# ' || left(x, 9), '```']
+      WHEN 4 THEN ['- ' || x, '', '  ' || x, '* ' || left(x, 30)] WHEN 5 THEN ['| ' || left(x, 30) || ' |', '<!-- Page ' || (i - 1) || ' -->', '|---|', '| ' || x || ' |']
+      WHEN 6 THEN ['### GET /' || replace(left(x, 8), ' ', '/'), x] WHEN 7 THEN [x, '---'] WHEN 8 THEN ['<!-- Page ' || (i - 1) || ' -->', x] WHEN 9 THEN ['#### ' || left(x, 10), x]
+      WHEN 10 THEN ['1. ' || x, 'next ' || left(x, 40)] WHEN 11 THEN [x, ''] ELSE [x] END"""
+    return rf"""g0 AS (SELECT doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {x})) AS l FROM documents),
+g1 AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS line FROM g0),
+g2 AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS odd FROM g1),
+g3 AS (SELECT *, CASE WHEN odd OR fence THEN 'code' WHEN regexp_matches(line, '^<!--\s*[Pp]age\s+\d+\s*-->\s*$') THEN 'page' WHEN regexp_matches(line, '^#{{1,6}}\s+\S') THEN 'heading'
+  WHEN regexp_matches(line, '^(---+|\*\*\*+|___+|<!-- chunk -->)\s*$') THEN 'break' WHEN regexp_matches(line, '^\s*$') THEN 'blank' WHEN regexp_matches(line, '^\s*\|') THEN 'table'
+  WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s') THEN 'list' ELSE 'text' END AS kind FROM g2),
+g4 AS (SELECT *, CASE WHEN kind = 'heading' AND length(regexp_extract(line, '^(#+)', 1)) <= {levels} THEN length(regexp_extract(line, '^(#+)', 1)) END AS level FROM g3),
+gl AS (SELECT *, coalesce(max(CASE WHEN level IS NOT NULL THEN pos END) OVER w, -1) AS section,
+  last_value(CASE WHEN kind = 'page' THEN regexp_extract(line, '(\d+)', 1)::INT END IGNORE NULLS) OVER w AS page FROM g4 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+gh AS (SELECT doc_id, section, coalesce(max(level), 0) AS level, regexp_replace(any_value(CASE WHEN level IS NOT NULL THEN line END), '^#{{1,6}}\s+|\s+$', '', 'g') AS title FROM gl GROUP BY ALL),
+gn AS (SELECT a.doc_id, a.section, min(b.section) AS stop FROM gh a JOIN gh b ON a.doc_id = b.doc_id AND b.section > a.section AND b.level <= a.level GROUP BY ALL),
+gs AS (SELECT h.*, (SELECT max(k.section) FROM gh k WHERE k.doc_id = h.doc_id AND k.section >= h.section AND (n.stop IS NULL OR k.section < n.stop) AND (h.level > 0 OR k.section = h.section)) AS "last"
+  FROM gh h LEFT JOIN gn n USING (doc_id, section))"""
+
+
+def chunk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Typed blocks of every section; headings of the fourth level and below are blocks."""
+    x = markdown.sections(_guide(spark, d), "doc_id", F.col("md"), 3)
+    return x.select("doc_id", "section", F.posexplode("blocks").alias("at", "b")).select("doc_id", "section", "at", "b.kind", "b.page", F.length("b.text").alias("n_chars"), F.md5("b.text").alias("text_md5"))
+
+
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
+def _blocks_sql(levels: int) -> str:
+    return f"""{_guide_sql(levels)},
+b1 AS (SELECT *, sum((kind = 'page')::INT) OVER (PARTITION BY doc_id, section ORDER BY pos) AS np FROM gl WHERE level IS NULL),
+b2 AS (SELECT *, kind = 'blank' OR (kind IN ('table', 'text') AND left(line, 1) IN (' ', chr(9))) AS soft FROM b1 WHERE kind <> 'page'),
+b3 AS (SELECT *, CASE WHEN soft AND last_value(CASE WHEN NOT soft THEN kind END IGNORE NULLS) OVER w = 'list' THEN 'list' ELSE kind END AS r FROM b2 WINDOW w AS (PARTITION BY doc_id, section ORDER BY pos)),
+b4 AS (SELECT *, lag(r) OVER w AS before, lag(np) OVER w AS np0 FROM b3 WINDOW w AS (PARTITION BY doc_id, section ORDER BY pos)),
+b5 AS (SELECT *, sum((CASE WHEN r = 'code' THEN (fence AND odd) OR before IS NULL WHEN r IN ('heading', 'break') THEN true WHEN r = 'text' THEN before IS DISTINCT FROM r OR np > np0 ELSE before IS DISTINCT FROM r END)::INT)
+  OVER (PARTITION BY doc_id, section ORDER BY pos) AS blk FROM b4 WHERE r <> 'blank'),
+b6 AS (SELECT doc_id, section, blk, any_value(r) AS kind, arg_min(page, pos) FILTER (page IS NOT NULL) AS p1, min(pos) AS pos, trim(string_agg(line, chr(10) ORDER BY pos), {_TRIM}) AS text FROM b5 GROUP BY doc_id, section, blk),
+b7 AS (SELECT b6.doc_id, b6.section, blk, b6.kind, gl.page, text FROM b6 JOIN gl USING (doc_id, pos) WHERE text <> '')"""
+
+
+BLOCKS_SQL = f"""WITH {_blocks_sql(3)}
+SELECT doc_id, section::INT AS section, (row_number() OVER (PARTITION BY doc_id, section ORDER BY blk) - 1)::INT AS "at", kind, page, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM b7"""
+
+
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    packed = chunking.pack(chunking.blocks(F.regexp_replace("text", "\n", "\n\n"), 200), 200, 20)
-    x = table(spark, d, "documents").select("doc_id", F.posexplode(packed).alias("at", "text"))
-    return x.select("doc_id", "at", T.n_tokens(F.col("text")).alias("n_tokens"), F.md5("text").alias("text_md5"))
+    """Blocks of every section packed into chunks of 60 tokens, of which 15 go on into the next."""
+    x = markdown.sections(_guide(spark, d), "doc_id", F.col("md"), 3)
+    x = x.select("doc_id", "section", F.posexplode(chunking.pack(chunking.cut_blocks(F.col("blocks"), 60), 60, 15)).alias("at", "c"))
+    return x.select("doc_id", "section", "at", "c.first_page", "c.last_page", T.n_tokens(F.col("c.text")).alias("n_tokens"), F.md5("c.text").alias("text_md5"))
 
 
 def _n(x: str) -> str:
     return f"greatest(1, length({x}) // 4)"
 
 
-PACK_SQL = rf"""WITH b AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '\n', chr(10) || chr(10), 'g'), '\n\s*\n|\n(?:---|\*\*\*|___|<!-- chunk -->)\n'), lambda x: trim(x) <> '') AS b FROM documents),
-p AS (SELECT doc_id, flatten(list_transform(b, lambda x: CASE WHEN {_n("x")} <= 200 THEN [x] ELSE list_transform(generate_series(0, (ceil(length(x) / 800) - 1)::INT), lambda i: substr(x, (i * 800 + 1)::BIGINT, 800)) END)) AS p FROM b),
-f AS (SELECT doc_id, list_reduce(p, lambda acc, x: CASE WHEN acc.now = '' OR {_n("acc.now || chr(10) || chr(10) || x")} <= 200
-  THEN {{'now': CASE WHEN acc.now = '' THEN x ELSE acc.now || chr(10) || chr(10) || x END, 'last': x, 'out': acc.out}}
-  ELSE {{'now': CASE WHEN {_n(f"(CASE WHEN {_n('acc.last')} <= 20 THEN acc.last ELSE right(acc.last, 80) END) || chr(10) || chr(10) || x")} <= 200
-    THEN (CASE WHEN {_n("acc.last")} <= 20 THEN acc.last ELSE right(acc.last, 80) END) || chr(10) || chr(10) || x ELSE x END, 'last': x, 'out': list_append(acc.out, acc.now)}} END,
-  {{'now': '', 'last': '', 'out': []::VARCHAR[]}}) AS s FROM p),
-c AS (SELECT doc_id, list_filter(CASE WHEN s.now = '' THEN s.out ELSE list_append(s.out, s.now) END, lambda x: NOT regexp_matches(x, '^\s*#{{1,6}}\s+[^\n]*\s*$')) AS c FROM f),
-u AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS k, unnest(c) AS x FROM c)
-SELECT doc_id, k::INT AS "at", {_n("x")}::INT AS n_tokens, md5(x) AS text_md5 FROM u"""
+def _pack_sql(most: int, overlap: int) -> str:
+    join = lambda q: f"array_to_string(list_transform({q}, lambda b: b.text), chr(10) || chr(10))"
+    flush = "CASE WHEN acc.now IS NULL THEN acc.out ELSE list_append(acc.out, acc.now) END"
+    hard = f"list_transform(generate_series(0, ((length(l) + {4 * most - 1}) // {4 * most} - 1)::INT), lambda i: substr(l, (i * {4 * most} + 1)::BIGINT, {4 * most}))"
+    cut = f"""list_filter(list_transform([list_reduce(string_split(text, chr(10)), lambda acc, l: CASE WHEN {_n("l")} > {most} THEN {{'now': NULL::VARCHAR, 'out': list_concat({flush}, {hard})}}
+      WHEN acc.now IS NOT NULL AND {_n("acc.now || chr(10) || l")} <= {most} THEN {{'now': acc.now || chr(10) || l, 'out': acc.out}} ELSE {{'now': l, 'out': {flush}}} END, {{'now': NULL::VARCHAR, 'out': []::VARCHAR[]}})],
+      lambda acc: {flush})[1], lambda t: trim(t) <> '')"""
+    chunk = f"{{'text': {join('acc.now')}, 'fp': list_min(list_transform(acc.now, lambda b: b.page)), 'lp': list_max(list_transform(acc.now, lambda b: b.page))}}"
+    out = f"CASE WHEN len(acc.now) = 0 THEN acc.out ELSE list_append(acc.out, {chunk}) END"
+    own = "[{'page': b.page, 'text': b.text}]"
+    n = f"len(list_filter(generate_series(1, len(acc.now)), lambda k: length({join('acc.now[-k:]')}) // 4 <= {overlap}))"
+    carried = f"CASE WHEN {n} > 0 THEN acc.now[-{n}:] ELSE [{{'page': acc.now[-1].page, 'text': right(acc.now[-1].text, {4 * overlap})}}] END"
+    fits = lambda q: f"{_n(join(f'list_concat({q}, {own})'))} <= {most}"
+    step = f"""CASE WHEN b.kind = 'break' THEN {{'now': acc.now[1:0], 'out': {out}}} WHEN len(acc.now) = 0 OR {fits("acc.now")} THEN {{'now': list_concat(acc.now, {own}), 'out': acc.out}}
+      ELSE {{'now': CASE WHEN {fits(carried)} THEN list_concat({carried}, {own}) ELSE {own} END, 'out': {out}}} END"""
+    return f"""k1 AS (SELECT doc_id, section, blk, kind, page, CASE WHEN {_n("text")} <= {most} THEN [text] ELSE {cut} END AS ts FROM b7),
+k2 AS (SELECT doc_id, section, flatten(list(list_transform(ts, lambda t: {{'kind': kind, 'page': page, 'text': t}}) ORDER BY blk)) AS bs FROM k1 GROUP BY ALL),
+k3 AS (SELECT doc_id, section, list_reduce(bs, lambda acc, b: {step}, {{'now': []::STRUCT(page INT, text VARCHAR)[], 'out': []::STRUCT(text VARCHAR, fp INT, lp INT)[]}}) AS acc FROM k2),
+k4 AS (SELECT doc_id, section, list_filter({out}, lambda c: NOT regexp_matches(c.text, '^\\s*#{{1,6}}\\s+[^\\n]*\\s*$')) AS c FROM k3),
+k5 AS (SELECT doc_id, section, generate_subscripts(c, 1) - 1 AS k, unnest(c) AS c FROM k4)"""
+
+
+PACK_SQL = f"""WITH {_blocks_sql(3)}, {_pack_sql(60, 15)}
+SELECT doc_id, section::INT AS section, k::INT AS "at", c.fp AS first_page, c.lp AS last_page, {_n("c.text")}::INT AS n_tokens, md5(c.text) AS text_md5 FROM k5"""
+
+
+def section_render(spark: SparkSession, d: str) -> DataFrame:
+    """Sections with the text of their subtrees, cut at 150 tokens."""
+    x = markdown.render(markdown.sections(_guide(spark, d), "doc_id", F.col("md")), "doc_id", 150)
+    return x.select("doc_id", "section", "last", "depth", F.length("rendered").alias("n_chars"), F.md5("rendered").alias("text_md5"))
+
+
+SQL_RENDERED = rf"""rb AS (SELECT doc_id, section, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL AND NOT regexp_matches(line, '^<!--\s*[Pp]age\s+\d+\s*-->\s*$')), ''), '\A\s+|\s+\z', '', 'g') AS body FROM gl GROUP BY ALL),
+ro AS (SELECT gs.*, concat_ws(chr(10) || chr(10), repeat('#', level) || ' ' || title, nullif(body, '')) AS own FROM gs JOIN rb USING (doc_id, section)),
+rt AS (SELECT a.doc_id, a.section, any_value(a."last") AS "last", string_agg(b.own, chr(10) || chr(10) ORDER BY b.section) AS t FROM ro a JOIN ro b ON a.doc_id = b.doc_id AND b.section BETWEEN a.section AND a."last" GROUP BY ALL),
+rd AS (SELECT a.doc_id, a.section, count(b.section) AS depth FROM gs a LEFT JOIN gs b ON a.doc_id = b.doc_id AND b.level > 0 AND a.section BETWEEN b.section AND b."last" GROUP BY ALL),
+rx AS (SELECT *, CASE WHEN greatest(1, length(t) // 4) <= 150 THEN t ELSE left(t, 600) || chr(10) || '[…]' END AS x FROM rt JOIN rd USING (doc_id, section))"""
+RENDER_SQL = f"""WITH {_guide_sql(6)}, {SQL_RENDERED}
+SELECT doc_id, section::INT AS section, "last"::INT AS "last", depth::INT AS depth, length(x)::INT AS n_chars, md5(x) AS text_md5 FROM rx"""
+
+#: Fixed values of the example rules (position, pattern, corpus, slot, value), resources (kind, name, resource) and themes.
+GUIDE_RULES = ((0, "^Th", "en", "theme", "articles"), (1, " > GET /", None, "kind", "call"), (2, "(?i)tion", None, "shared", "true"), (3, "^[DE]", None, "theme_hint", "short"), (4, "(?i)[aeiou]$", "fr", "kind", "vowel"))
+GUIDE_RESOURCES = (("path", "/The", "the"), ("path", "/Of", "of"), ("path", "/Of/the", "of the"), ("path", "/De", "de"), ("path", "/En", "en"), ("chapter", "La", "la"), ("chapter", "The", "the"), ("chapter", "De", "de"))
+GUIDE_THEMES = ("the", "of the", "de", "la")
+
+
+def section_annotate(spark: SparkSession, d: str) -> DataFrame:
+    """Sections with endpoint, resource, chapter, kind, shared flag and theme; the default theme is the document's source."""
+    docs = _guide(spark, d)
+    x = markdown.sections(docs, "doc_id", F.col("md")).select("doc_id", "section", "path").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    r = spark.createDataFrame(GUIDE_RULES, "rule_pos int, pattern string, corpus string, slot string, value string")
+    x = markdown.annotate(x, ["doc_id", "section"], r, GUIDE_RESOURCES, list(GUIDE_THEMES), F.col("source"), F.col("lang"))
+    return x.drop("path", "lang", "source")
+
+
+def _values(rows: tuple) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
+ANNOTATE_SQL = rf"""WITH {_guide_sql(6)},
+pa AS (SELECT a.doc_id, a.section, coalesce(list(b.title ORDER BY b.section) FILTER (b.title IS NOT NULL), []) AS path FROM gs a LEFT JOIN gs b ON a.doc_id = b.doc_id AND b.level > 0 AND a.section BETWEEN b.section AND b."last" GROUP BY ALL),
+an AS (SELECT pa.*, lang, source, list_filter(path, lambda h: regexp_matches(trim(h), '^(GET|HEAD|POST|PUT|PATCH|DELETE|OPTIONS)\s+/\S*$'))[-1] AS e FROM pa JOIN documents USING (doc_id)),
+ae AS (SELECT *, regexp_extract(e, '^\s*(\S+)', 1) AS method, regexp_extract(e, '(/\S*)\s*$', 1) AS ep FROM an),
+ta AS (SELECT doc_id, section, lang, unnest([0, 1]) AS tp, unnest([path[-1], array_to_string(path, ' > ')]) AS target FROM ae WHERE len(path) > 0),
+hits AS (SELECT doc_id, section, regexp_replace(slot, '_hint$', '') AS slot, value, ends_with(slot, '_hint') AS hint FROM ta JOIN {_values(GUIDE_RULES)} r(rp, pattern, scope, slot, value) ON regexp_matches(target, pattern) AND (scope IS NULL OR scope = lang)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, section, regexp_replace(slot, '_hint$', '') ORDER BY tp, rp) = 1),
+res AS (SELECT * FROM {_values(GUIDE_RESOURCES)} v(kind, name, resource)),
+ar AS (SELECT ae.*, (SELECT arg_max(resource, length(name)) FROM res WHERE res.kind = 'path' AND (ep = name OR starts_with(ep, name || '/'))) AS p, (SELECT any_value(resource) FROM res WHERE res.kind = 'chapter' AND name = path[1]) AS c FROM ae)
+SELECT ar.doc_id, ar.section::INT AS section, CASE WHEN e IS NOT NULL THEN method END AS method, CASE WHEN e IS NOT NULL THEN ep END AS endpoint, coalesce(p, c) AS resource, CASE WHEN len(path) > 0 THEN array_to_string(path[1:2], ' > ') END AS chapter,
+coalesce(k.value, CASE WHEN e IS NOT NULL THEN 'endpoint' END, CASE WHEN len(path) = 0 THEN 'document' END, 'content') AS kind, coalesce(s.value = 'true', false) AS shared,
+CASE WHEN t.value IS NOT NULL THEN t.value WHEN p IN {GUIDE_THEMES} THEN p WHEN c IN {GUIDE_THEMES} THEN c ELSE source END AS theme, CASE WHEN t.value IS NOT NULL THEN NOT t.hint ELSE coalesce(p IN {GUIDE_THEMES}, false) END AS theme_forced
+FROM ar LEFT JOIN hits k ON k.doc_id = ar.doc_id AND k.section = ar.section AND k.slot = 'kind' LEFT JOIN hits s ON s.doc_id = ar.doc_id AND s.section = ar.section AND s.slot = 'shared' LEFT JOIN hits t ON t.doc_id = ar.doc_id AND t.section = ar.section AND t.slot = 'theme'"""
 
 
 def chunk_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +222,26 @@ def chunk_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, and sections with a heading, of the tree."""
-    t = chunking.tree(_markdown(spark, d), "doc_id", F.col("md"))
-    return t.filter("level <> 'chunk'").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_id").alias("n_ids"))
+    """Documents, sections with a heading, and chunks of the tree."""
+    t = chunking.tree(_guide(spark, d), "doc_id", F.col("md"))
+    return t.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_id").alias("n_ids"))
+
+
+COUNTS_SQL = f"""WITH {_blocks_sql(6)}, {_pack_sql(200, 20)}
+SELECT 'document' AS level, count(*) AS n, count(*) AS n_ids FROM documents UNION ALL SELECT 'section', count(*), count(*) FROM gs WHERE level > 0 UNION ALL SELECT 'chunk', count(*), count(*) FROM k5"""
+
+
+def parent_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 60 tokens and whether both of their ends are in their parent's text as it is shown, cut at 150 tokens."""
+    x = markdown.render(markdown.sections(_guide(spark, d), "doc_id", F.col("md")), "doc_id", 150)
+    x = x.select("doc_id", "section", "rendered", F.posexplode(chunking.pack(chunking.cut_blocks(F.col("blocks"), 60), 60, 15)).alias("at", "c"))
+    return x.select("doc_id", "section", "at", chunking.within_parent(F.col("c.text"), F.col("rendered")).alias("within"))
 
 
-COUNTS_SQL = f"""WITH {SQL_LINES}, h AS (SELECT count(*) AS n FROM ln WHERE level IS NOT NULL), d AS (SELECT count(*) AS n FROM documents)
-SELECT 'document' AS level, n, n AS n_ids FROM d UNION ALL SELECT 'section', n, n FROM h"""
+_flat = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+PROBE_SQL = f"""WITH {_blocks_sql(6)}, {_pack_sql(60, 15)}, {SQL_RENDERED},
+pp AS (SELECT doc_id, section, k, {_flat("c.text")} AS c, {_flat("x")} AS p FROM k5 JOIN rx USING (doc_id, section))
+SELECT doc_id, section::INT AS section, k::INT AS "at", contains(p, left(c, 150)) AND contains(p, right(c, 150)) AS within FROM pp"""
 
 
 #: Fixed values of the example rules: (position, pattern, corpus, slot, value).
@@ -264,7 +407,11 @@ QUERIES = {
     "line_sections": (line_sections, LINES_SQL),
     "section_sizes": (section_sizes, SIZES_SQL),
     "chunk_links": (chunk_links, CHAIN_SQL),
+    "chunk_blocks": (chunk_blocks, BLOCKS_SQL),
     "chunk_pack": (chunk_pack, PACK_SQL),
+    "parent_probe": (parent_probe, PROBE_SQL),
+    "section_render": (section_render, RENDER_SQL),
+    "section_annotate": (section_annotate, ANNOTATE_SQL),
     "chunk_tree": (chunk_tree, None),
     "node_counts": (node_counts, COUNTS_SQL),
     "section_rules": (section_rules, RULES_SQL),

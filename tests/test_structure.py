@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, features, metrics, rules
+from tessera.operators import chunking, features, markdown, metrics, rules
 
 DOC = """intro line
 
@@ -45,17 +45,83 @@ def test_tree(spark):
             assert r["token_count"] <= 50 and r["prev_id"] is None or by[r["prev_id"]]["next_id"] == r["node_id"]
     firsts = [r for r in t if r["level"] == "section" and r["path"] == ["First"]]
     assert len(firsts) == 2
-    assert next(r["text"] for r in t if r["level"] == "document" and r["doc_id"] == 0) == "- First\n  - Deep\n- First\n- Top"
+    assert next(r["text"] for r in t if r["level"] == "document" and r["doc_id"] == 0) == "intro line\n\n- First\n  - Deep\n- First\n- Top"
     assert {r["doc_id"] for r in t if r["level"] == "document"} == {0, 1, 2, 3}
 
 
+def packed(spark, text, most, overlap):
+    x = markdown.sections(docs(spark, text), "doc_id", F.col("text"))
+    return [tuple(c) for r in x.orderBy("section").select(chunking.pack(chunking.cut_blocks(F.col("blocks"), most), most, overlap).alias("c")).collect() for c in r["c"]]
+
+
 def test_packing_covers_every_block_within_the_size(spark):
     text = "\n\n".join(f"block {i} " + "x" * (i * 7 % 90) for i in range(60))
-    out = docs(spark, text).select(chunking.pack(chunking.blocks(F.col("text"), 60), 60, 10).alias("c")).first()["c"]
+    out = [t for t, *_ in packed(spark, text, 60, 10)]
     assert all(max(1, len(c) // 4) <= 60 for c in out)
     for i in range(60):
         assert any(re.search(rf"block {i}\b", c) for c in out)
-    assert docs(spark, "# only a heading").select(chunking.pack(chunking.blocks(F.col("text"), 60), 60, 10).alias("c")).first()["c"] == []
+    assert packed(spark, "# only a heading", 60, 10) == []
+    assert [c for r in markdown.sections(docs(spark, "#### deep"), "doc_id", F.col("text"), 3).select(chunking.pack(F.col("blocks"), 60, 10).alias("c")).collect() for c in r["c"]] == []
+
+
+def test_overlap_carries_as_many_whole_blocks_as_fit(spark):
+    parts = [c * 38 for c in "abcdefgh"]  # four and a half to a chunk of 40 tokens
+    out = [t.split("\n\n") for t, *_ in packed(spark, "\n\n".join(parts), 40, 20)]
+    assert [[b[0] for b in c] for c in out] == [list("abcd"), list("cdef"), list("efgh")]
+    assert [[b[0] for b in t.split("\n\n")] for t, *_ in packed(spark, "\n\n".join(parts), 40, 30)] == [list("abcd"), list("bcde"), list("cdef"), list("defg"), list("efgh")]
+    assert [[b[0] for b in t.split("\n\n")] for t, *_ in packed(spark, "\n\n".join(parts), 40, 0)] == [list("abcd"), list("efgh")]
+    assert [t for t, *_ in packed(spark, "a" * 100 + "\n\n" + "b" * 100, 40, 5)] == ["a" * 100, "a" * 20 + "\n\n" + "b" * 100]
+    assert [t for t, *_ in packed(spark, "one\n\n---\n\ntwo", 40, 5)] == ["one", "two"]
+
+
+def test_blocks_are_whole(spark):
+    text = "\n".join(["para", "| a |", "<!-- Page 3 -->", "| b |", "- one", "", "  more", "* two", "", "after", "<!-- Page 4 -->", "page four", "```", "x", "", "# no heading", "<!-- Page 9 -->", "~~~", "***", "1. n", "\tstill", "#### four", "", "end"])
+    (row,) = markdown.sections(docs(spark, text), "doc_id", F.col("text"), 3).collect()
+    assert [(b.kind, b.page, b.text) for b in row.blocks] == [
+        ("text", None, "para"), ("table", None, "| a |\n| b |"), ("list", 3, "- one\n\n  more\n* two"), ("text", 3, "after"), ("text", 4, "page four"), ("code", 4, "```\nx\n\n# no heading\n<!-- Page 9 -->\n~~~"),
+        ("break", 4, "***"), ("list", 4, "1. n\n\tstill"), ("heading", 4, "#### four"), ("text", 4, "end"),
+    ]
+    assert (row.first_page, row.last_page, row.n_lines, row.section, row["last"]) == (3, 4, 24, -1, -1)
+
+
+def test_large_blocks_are_cut_at_lines(spark):
+    rows = "\n".join(f"| {i:03} {'x' * 30} |" for i in range(200))
+    out = [t for t, *_ in packed(spark, rows + "\n" + "y" * 1000, 50, 0)]
+    assert all(len(c) // 4 <= 50 for c in out)
+    assert "\n".join(out).replace("\n\n", "\n").split("\n")[:200] == rows.split("\n")
+
+
+def test_rendering_of_six_levels_and_a_long_section(spark):
+    long = "\n".join(f"line {i}" for i in range(10_000))
+    text = "\n".join(f"{'#' * k} h{k}\nbody {k}" for k in range(1, 7)) + "\n## tail\n" + long + "\n# other\nend"
+    x = markdown.sections(docs(spark, text, "", None), "doc_id", F.col("text"))
+    got = {r.title: r.rendered for r in markdown.render(x, "doc_id", 100).filter("doc_id = 0").collect()}
+    whole = {r.title: r.rendered for r in markdown.render(x, "doc_id", 10**6).filter("doc_id = 0").collect()}
+    assert whole["h3"] == "\n\n".join(f"{'#' * k} h{k}\n\nbody {k}" for k in range(3, 7))
+    assert whole["h1"] == "\n\n".join(f"{'#' * k} h{k}\n\nbody {k}" for k in range(1, 7)) + "\n\n## tail\n\n" + long
+    assert got["h6"] == whole["h6"] == "###### h6\n\nbody 6" and got["other"] == "# other\n\nend"
+    assert got["h1"] == whole["h1"][:400] + "\n[…]" and got["tail"] == whole["tail"][:400] + "\n[…]"
+    assert {(r.doc_id, r.section, r.depth) for r in x.collect() if r.doc_id} == {(1, -1, 0), (2, -1, 0)}
+
+
+def test_annotation(spark):
+    text = "intro\n# Guide\n## GET /users/all\nx\n### Notes\ny\n## Errors\nz\n# POST /users\nw"
+    x = markdown.sections(docs(spark, text), "doc_id", F.col("text")).select("doc_id", "section", "path")
+    r = spark.createDataFrame([(0, "^Errors$", None, "kind", "errors"), (1, "^Errors$", None, "theme_hint", "fail"), (2, "Notes", "en", "shared", "true"), (3, "Notes", "fr", "theme", "never")], "rule_pos int, pattern string, corpus string, slot string, value string")
+    resources = [("path", "/users", "users"), ("path", "/users/all", "people"), ("chapter", "Guide", "guide")]
+    out = markdown.annotate(x, ["doc_id", "section"], r, resources, ["people", "guide"], F.lit("misc"), F.lit("en")).orderBy("section").collect()
+    got = [(r["section"], r["endpoint"], r["resource"], r["chapter"], r["kind"], r["shared"], r["theme"], r["theme_forced"]) for r in out]
+    assert got == [
+        (-1, None, None, None, "document", False, "misc", False), (1, None, "guide", "Guide", "content", False, "guide", False), (2, "/users/all", "people", "Guide > GET /users/all", "endpoint", False, "people", True),
+        (4, "/users/all", "people", "Guide > GET /users/all", "endpoint", True, "people", True), (6, None, "guide", "Guide > Errors", "errors", False, "fail", False), (8, "/users", "users", "POST /users", "endpoint", False, "misc", False),
+    ]
+
+
+def test_chunks_are_in_their_parents(spark):
+    t = chunking.tree(docs(spark, DOC), "doc_id", F.col("text"), 50, 10)
+    p = t.select(F.col("node_id").alias("up"), F.col("text").alias("whole"))
+    x = t.filter("level = 'chunk'").join(p, F.col("parent_id") == F.col("up")).select(chunking.within_parent(F.col("text"), F.col("whole")).alias("w"), chunking.within_parent(F.lit("elsewhere"), F.col("whole")).alias("e"))
+    assert {tuple(r) for r in x.collect()} == {(True, False)}
 
 
 def test_precedence_distinguishes_absent_null_and_empty(spark):
