@@ -231,9 +231,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """row, y, text: at most `most` different labelled (doc_id, text, label), the least by hash; stored."""
     chosen = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h"), "y").agg(F.first("text").alias("text"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     key = F.xxhash64("doc_id", "h", "y")
-    return durable(rows.orderBy(key, "doc_id", "h", "y").limit(most).select(key.alias("row"), "y", "text"), "toxicity-sample")
+    keys = texts.select("doc_id", "h").join(F.broadcast(chosen), "doc_id").distinct().orderBy(key, "doc_id", "h", "y").limit(most)
+    rows = texts.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.first("text").alias("text"))
+    return durable(rows.select(key.alias("row"), "y", "text"), "toxicity-sample")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
