@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hard_split, n_tokens, token_tail, uuid5
-from .markdown import LEVELS, cut, render, sections
+from .markdown import LEVELS, cut, of_outline, outline, render
 
 #: The namespace of node ids: a fixed value of this library.
 NAMESPACE = "5b0f1a52-6c1e-4f0c-9d8e-2b7f3c9a1d40"
@@ -115,28 +115,32 @@ def tree(docs: DataFrame, key: str, text: Column, most: int = 200, overlap: int
     """document, section and chunk nodes: node_id, level, parent_id, root_id, prev_id, next_id, position, path, text, token_count, first_page, last_page.
 
     A section's text is its whole subtree, a document's its introduction and outline, both cut at `show` tokens. A text without
-    headings is one section without a title.
+    headings is one section without a title. Every section makes its own nodes, so texts are read once and shuffled once.
     """
-    s = render(sections(docs, key, text), key, show)
-    root = node_id(F.col(key), "document", F.array().cast("array<string>"))
-    own = node_id(F.col(key), "section", F.col("path"), F.col("ordinal"))
-    ids = F.when(F.col("depth") > 0, own).otherwise(root)
-    s = s.withColumn("root_id", root).withColumn("own_id", ids)
-    up = s.select(F.col(key).alias("__k"), F.col("section").alias("__s"), F.col("own_id").alias("up_id"))
-    s = s.join(up, F.col(key).eqNullSafe(F.col("__k")) & (F.col("parent") == F.col("__s")), "left").drop("__k", "__s")
-    leaves = s.select(key, "section", "path", "ordinal", "root_id", F.col("own_id").alias("parent_id"), F.posexplode(pack(cut_blocks(F.col("blocks"), most), most, overlap)).alias("at", "c"))
-    leaves = leaves.select("*", "c.*").withColumn("node_id", node_id(F.col(key), "chunk", F.col("path"), F.col("ordinal"), F.col("at")))
-    pages = ["first_page", "last_page"]
-    leaves = chain(leaves, key, ["section", "at"]).select(key, "node_id", F.lit("chunk").alias("level"), "parent_id", "root_id", "prev_id", "next_id", "position", "path", "text", *pages)
-    none = F.lit(None).cast("string")
-    inner = s.filter("depth > 0").select(key, F.col("own_id").alias("node_id"), F.lit("section").alias("level"), F.coalesce("up_id", "root_id").alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.col("section").alias("position"), "path", F.col("rendered").alias("text"), *pages)
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.element_at("path", -1))
-    plan = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("section", line.alias("t"))))), lambda x: x["t"]), "\n")
-    intro = F.max(F.when((F.col("depth") == 0) & (F.col("rendered") != ""), F.col("rendered")))
-    roots = s.groupBy(key, "root_id").agg(intro.alias("intro"), plan.alias("plan"), *(f(c).alias(c) for f, c in ((F.min, pages[0]), (F.max, pages[1]))))
-    whole = cut(F.concat_ws("\n\n", "intro", F.when(F.col("plan") != "", F.col("plan"))), show)
-    roots = roots.select(key, F.col("root_id").alias("node_id"), F.lit("document").alias("level"), none.alias("parent_id"), "root_id", none.alias("prev_id"), none.alias("next_id"), F.lit(0).alias("position"), F.array().cast("array<string>").alias("path"), whole.alias("text"), *pages)
-    return leaves.unionByName(inner).unionByName(roots).withColumn("token_count", n_tokens(F.col("text")))
+    line = lambda x: F.concat(F.repeat(F.lit("  "), F.size(x["path"]) - 1), F.lit("- "), x["title"])
+    plan = F.array_join(F.transform(F.filter("sections", lambda x: x["level"] > 0), line), "\n")
+    s = render(of_outline(outline(docs, key, text), key, cut(plan, show).alias("plan")), key, show)
+    none = F.array().cast("array<string>")
+    root = node_id(F.col(key), "document", none)
+    up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    own = F.when(F.col("depth") > 0, node_id(F.col(key), "section", F.col("path"), F.col("ordinal"))).otherwise(root)
+    s = s.withColumn("root_id", root).withColumn("own_id", own).withColumn("up_id", F.when(F.col("parent").isNull(), root).otherwise(node_id(F.col(key), "section", up, F.col("parent_ordinal"))))
+    pages = [F.col(c) for c in ("first_page", "last_page")]
+    node = lambda level, at, parent, path, t, first, last: F.struct(F.lit(level).alias("level"), at.cast("int").alias("at"), parent.alias("parent_id"), path.alias("path"), t.alias("text"), first.alias("first_page"), last.alias("last_page"))
+    chunks = F.transform(pack(cut_blocks(F.col("blocks"), most), most, overlap), lambda c, i: node("chunk", i, F.col("own_id"), F.col("path"), c["text"], c["first_page"], c["last_page"]))
+    section = F.when(F.col("depth") > 0, F.array(node("section", F.lit(0), F.col("up_id"), F.col("path"), F.col("rendered"), *pages)))
+    whole = cut(F.concat_ws("\n\n", F.when((F.col("depth") == 0) & (F.col("rendered") != ""), F.col("rendered")), F.when(F.col("plan") != "", F.col("plan"))), show)
+    all_pages = Window.partitionBy(key)
+    document = F.when(F.col("plan").isNotNull(), F.array(node("document", F.lit(0), F.lit(None).cast("string"), none, whole, F.col("__first"), F.col("__last"))))
+    s = s.withColumn("__first", F.min("first_page").over(all_pages)).withColumn("__last", F.max("last_page").over(all_pages))
+    x = s.select(key, "section", "ordinal", "root_id", "own_id", F.explode(F.flatten(F.array_compact(F.array(document, section, chunks)))).alias("n")).select("*", "n.*")
+    ids = F.when(F.col("level") == "document", F.col("root_id")).when(F.col("level") == "section", F.col("own_id")).otherwise(node_id(F.col(key), "chunk", F.col("path"), F.col("ordinal"), F.col("at")))
+    w = Window.partitionBy(key, "level").orderBy("section", "at")
+    leaf = lambda c: F.when(F.col("level") == "chunk", c)
+    x = x.withColumn("node_id", ids).withColumn("prev_id", leaf(F.lag("node_id").over(w))).withColumn("next_id", leaf(F.lead("node_id").over(w)))
+    x = x.withColumn("position", leaf(F.row_number().over(w) - 1))
+    position = F.coalesce("position", F.when(F.col("level") == "section", F.col("section")), F.lit(0))
+    return x.select(key, "node_id", "level", "parent_id", "root_id", "prev_id", "next_id", position.alias("position"), "path", "text", "first_page", "last_page", n_tokens(F.col("text")).alias("token_count"))
 
 
 def within_parent(chunk: Column, parent: Column, probe: int = 150) -> Column:

@@ -19,7 +19,7 @@ LEVELS = 6
 SPACE = " \t\n\r\f\v"
 CUT = "\n[…]"
 BLOCK = "struct<kind:string,page:int,text:string>"
-SECTIONS = f"array<struct<section:int,level:int,title:string,path:array<string>,ordinal:int,parent:int,last:int,body:string,first_page:int,last_page:int,n_lines:long,blocks:array<{BLOCK}>>>"
+SECTIONS = f"array<struct<section:int,level:int,title:string,path:array<string>,ordinal:int,parent:int,parent_ordinal:int,last:int,body:string,first_page:int,last_page:int,n_lines:long,blocks:array<{BLOCK}>>>"
 
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _HEADING = re.compile(r"(#{1,6})[ \t\r\f\v]+(\S.*)", re.S | re.A)
@@ -90,7 +90,7 @@ def read_text(text: str, levels: int = LEVELS) -> list[dict]:
         path = [*(up["path"] if up else []), *([title] if level else [])]
         seen[tuple(path)] = seen.get(tuple(path), 0) + 1
         blocks = Blocks(page)
-        row = {"section": section, "level": level, "title": title, "path": path, "ordinal": seen[tuple(path)], "parent": up["section"] if up else None, "body": [], "pages": [], "n_lines": 0, "blocks": blocks.out}
+        row = {"section": section, "level": level, "title": title, "path": path, "ordinal": seen[tuple(path)], "parent": up["section"] if up else None, "parent_ordinal": up["ordinal"] if up else None, "body": [], "pages": [], "n_lines": 0, "blocks": blocks.out}
         out.append(row)
         if level:
             open_.append(row)
@@ -157,8 +157,13 @@ def outline(docs: DataFrame, key: str, text: Column, levels: int = LEVELS) -> Da
 
 def sections(docs: DataFrame, key: str, text: Column, levels: int = LEVELS) -> DataFrame:
     """One row per section with a heading or text: key and the fields of a section, depth being the length of its path."""
-    x = outline(docs, key, text, levels).select(key, F.explode("sections").alias("s"))
-    return x.select(key, "s.*").withColumn("depth", F.size("path"))
+    return of_outline(outline(docs, key, text, levels), key)
+
+
+def of_outline(outlined: DataFrame, key: str, *more: Column) -> DataFrame:
+    """The sections of outline(), with the columns of more beside a document's first."""
+    x = outlined.select(key, *more, F.posexplode("sections").alias("__i", "s"))
+    return x.select(key, "s.*", *(F.when(F.col("__i") == 0, F.col(c)).alias(c) for c in x.columns[1:-2])).withColumn("depth", F.size("path"))
 
 
 def render(of: DataFrame, key: str, most: int, text: str = "rendered") -> DataFrame:
