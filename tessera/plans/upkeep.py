@@ -148,13 +148,42 @@ PARTNER_SQL = """SELECT doc_id, upper(source) || '-' || doc_id AS code, doc_id %
 
 
 def stream_thread_state(spark: SparkSession, d: str) -> DataFrame:
-    return threads.thread_state(threads.event_stream(spark, d), "threads").select("user_id", "n", F.round("total", 4).alias("total"))
+    at = threads.thread_checkpoint(threads.event_stream(spark, d), "threads")
+    return threads.stored_state(spark, at).select("user_id", "n", F.round("total", 4).alias("total"))
+
+
+def state_store_read(spark: SparkSession, d: str) -> DataFrame:
+    """The checkpoint of the thread state: the last reset of every user, and how many of the events after it a late reset could still take back."""
+    at = threads.thread_checkpoint(threads.event_stream(spark, d), "history")
+    kept = threads.open_events(spark, at).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_open"))
+    return threads.stored_state(spark, at).join(kept, "user_id", "left").select("user_id", "last_reset", "n", F.coalesce("n_open", F.lit(0)).alias("n_open"))
 
 
 THREAD_SQL = """WITH l AS (SELECT user_id, max(event_id) FILTER (event_type = 'error') AS last FROM events GROUP BY ALL)
 SELECT user_id, count(*) FILTER (event_id > coalesce(last, -1)) AS n, round(coalesce(sum(value) FILTER (event_id > coalesce(last, -1)), 0), 4) AS total FROM events JOIN l USING (user_id) GROUP BY user_id"""
 
 
+STATE_SQL = """SELECT user_id, max(event_id) FILTER (event_type = 'error') AS last_reset, count(*) FILTER (event_id > coalesce(last, -1)) AS n, count(*) FILTER (event_id > coalesce(last, -1)) AS n_open
+FROM events JOIN (SELECT user_id, max(event_id) FILTER (event_type = 'error') AS last FROM events GROUP BY ALL) USING (user_id) GROUP BY user_id"""
+
+
+def stream_first_token(spark: SparkSession, d: str) -> DataFrame:
+    """From every view to the user's next click within two hours."""
+    return threads.first_token(threads.event_stream(spark, d), "view", "click", "first-token", "2 hours")
+
+
+FIRST_SQL = """SELECT s.event_id AS start_id, s.user_id, min(epoch_us(t.ts) - epoch_us(s.ts)) // 1000 AS ms FROM events s LEFT JOIN events t ON t.user_id = s.user_id AND t.event_type = 'click' AND t.ts BETWEEN s.ts AND s.ts + INTERVAL 2 HOUR
+WHERE s.event_type = 'view' GROUP BY ALL"""
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return threads.drained(threads.event_stream(spark, d), threads.sessions, "sessions")
+
+
+SESSION_SQL = """WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS gap FROM events), s AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM s GROUP BY user_id, s"""
+
+
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return threads.run_once(threads.daily_counts(threads.event_stream(spark, d)), "daily", "complete")
 
@@ -185,6 +214,9 @@ QUERIES = {
     "heuristic_enrichment": (heuristic_enrichment, ENRICHMENT_SQL.replace("STATUS", STATUS_SQL)),
     "partner_facts": (partner_facts, PARTNER_SQL),
     "stream_thread_state": (stream_thread_state, THREAD_SQL),
+    "state_store_read": (state_store_read, STATE_SQL),
+    "stream_first_token": (stream_first_token, FIRST_SQL),
+    "stream_sessions": (stream_sessions, SESSION_SQL),
     "stream_daily_counts": (stream_daily_counts, DAILY_SQL),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_ingest": (stream_ingest, INGEST_SQL),
