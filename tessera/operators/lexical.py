@@ -1,28 +1,30 @@
-"""Lexical retrieval: postings, document statistics and BM25 for many queries at once."""
+"""Lexical retrieval: a stored table of postings by term, and BM25 for many queries at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.files import scratch
+from ..sources.files import fingerprint, named, stored
 
 #: Constants of the published BM25 formula.
 K1, B = 1.2, 0.75
+#: Postings of one bucket of terms, about.
+BUCKET = 4_000_000
 
 
-def words(docs: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, carry, dl and ws (the tokens of the text): what an index stores, so that each text is read and cut once."""
-    ws = docs.select(key, *carry, text.alias("__text")).withColumn("ws", tokens(F.col("__text")))
-    return ws.select(key, *carry, F.size("ws").alias("dl"), "ws")
-
+@dataclass
+class Index:
+    """postings: bucket, term, key, carried columns, tf, dl. terms: term, df. totals: n, avgdl (one row)."""
 
-def store(rows: DataFrame) -> DataFrame:
-    """rows as a table in the shared folder; a table of few splits is spread over all cores before."""
-    spark, path = rows.sparkSession, scratch(rows.sparkSession, "words")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    key: str
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -31,30 +33,78 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
 
 
-def postings(of: DataFrame, key: str, terms: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, dl from words(), of the given terms only, if any. Counted per row before the shuffle, so a term's group never meets in one task."""
-    each = of.select(key, "dl", F.explode("ws").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def counted(docs: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, carry, dl, term, tf: the words of every text counted where it lies; a text without words has one row, its term null."""
+    rows = docs.select(key, *carry, tokens(text).alias("ws"))
+    kept = [key, *carry]
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def bm25(index: DataFrame, key: str, queries: DataFrame, query: str, totals: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query, key, score. index: words(); queries: (query, term) distinct; totals: one row (n, avgdl).
+        for batch in batches:
+            n = batch.num_rows
+            ws = batch.column(len(kept))
+            size = np.diff(ws.offsets.to_numpy())
+            words = ws.flatten().dictionary_encode()
+            width = max(1, len(words.dictionary))
+            pair, tf = np.unique(np.repeat(np.arange(n), size) * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc, term = np.concatenate([pair // width, np.flatnonzero(size == 0)]), pair % width
+            term = pa.array(np.append(term, np.zeros(len(doc) - len(pair), int)), mask=np.arange(len(doc)) >= len(pair))
+            at = pa.array(doc)
+            tf = np.append(tf, np.zeros(len(doc) - len(pair), int))
+            yield pa.record_batch([*(batch.column(i).take(at) for i in range(len(kept))), pa.array(size[doc].astype(np.int32)), words.dictionary.take(term), pa.array(tf)], names=[*kept, "dl", "term", "tf"])
 
-    The query terms prune the tokens first; only the survivors are counted, joined and summed.
-    """
-    hit = postings(index, key, queries)
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    d = F.lit(1.0)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + d)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = queries.join(df, "term").crossJoin(F.broadcast(totals)).select(query, "term", idf.alias("idf"), "avgdl")  # totals is one row
-    return hit.join(scored, "term").withColumn("s", F.col("idf") * weight).groupBy(query, key).agg(F.round(F.sum("s"), 6).alias("score"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ws")
+    return rows.mapInArrow(run, f"{fields}, dl int, term string, tf long")
 
 
-def totals(index: DataFrame) -> DataFrame:
-    return index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+def index(docs: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> Index:
+    """The index of a collection, written once per application and collection: later calls over the same files with the same columns read it again.
+
+    Postings are shuffled once, to the bucket of their term; every term has one row a document at most, so no bucket is hot.
+    """
+    spark = docs.sparkSession
+    plan = docs.select(key, text.alias("text"), *carry)
+    mark = fingerprint(plan, "postings", key, *carry)
+
+    def build(at: str) -> None:
+        rows = stored(counted(spread(plan), key, F.col("text"), carry), f"{at}/counted")
+        whole = rows.groupBy(key, "dl").agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.sum("c").alias("postings"))
+        n = max(1, -(-(stored(whole, f"{at}/totals").first()["postings"] or 0) // BUCKET))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("bucket")
+        by_term = rows.filter("term IS NOT NULL").select(bucket, "term", key, *carry, "tf", "dl").repartition("bucket", "term").sortWithinPartitions("term")
+        by_term = stored(by_term, f"{at}/postings")
+        stored(by_term.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")
+
+    at = named(spark, mark, build)
+    read = spark.read.parquet
+    return Index(read(f"{at}/postings"), read(f"{at}/terms"), read(f"{at}/totals"), key)
+
+
+def any_of(filters: dict[str, list], schema) -> Column:
+    """All of the filters hold: a column has one of the values, an array column one of its elements among them. An empty list filters nothing."""
+    out = F.lit(True)
+    for name, values in filters.items():
+        if values:
+            kind = schema[name].dataType.typeName()
+            out = out & (F.arrays_overlap(F.col(name), F.array(*(F.lit(v) for v in values))) if kind == "array" else F.col(name).isin(*values))
+    return out
+
+
+def bm25(of: Index, queries: DataFrame, query: str, filters: dict[str, list] | None = None, dead: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """query, key, score. queries: (query, term), each once. Statistics are those of the whole collection.
+
+    filters (carried columns) and dead (keys that were deleted since) prune the postings before anything is scored.
+    """
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    whole = F.broadcast(of.totals.select("n", "avgdl"))  # one row
+    asked = queries.join(of.terms, "term").join(whole, F.lit(True)).select(query, "term", idf.alias("idf"), "avgdl")
+    hits = of.postings.filter(any_of(filters or {}, of.postings.schema))
+    if dead is not None:
+        hits = hits.join(dead.select(of.key).distinct(), of.key, "left_anti")
+    return hits.join(asked, "term").groupBy(query, of.key).agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
 
 
 def top_k(hits: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:

@@ -14,11 +14,21 @@ DIM = 64
 
 def hashed_embedding(docs: DataFrame, key: str, text: Column, dim: int = DIM) -> DataFrame:
     """key, embedding array<double>: how many words fall into each bucket of their MD5 (dim divides 256). Texts without words have none."""
-    words = docs.select(key, F.explode(tokens(text)).alias("w"))
-    bucket = F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dim
-    counts = words.groupBy(key, bucket.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    by = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+    bucket = lambda w: (F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int") % dim).cast("int")
+    rows = docs.select(key, F.transform(tokens(text), bucket).alias("b"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            n, b = batch.num_rows, batch.column(1)
+            size = np.diff(b.offsets.to_numpy())
+            counts = np.bincount(np.repeat(np.arange(n), size) * dim + b.flatten().to_numpy(zero_copy_only=False), minlength=n * dim)
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(counts.astype(float)))
+            yield pa.record_batch([batch.column(0), whole], names=[key, "embedding"]).filter(pa.array(size > 0))
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, embedding array<double>")
 
 
 def cosine(u: Column, v: Column) -> Column:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key, tokens
 from ..operators import lexical, ranking, vectors
 from .common import SQL_KEY, SQL_TOKENS, table
 
-POOL, TOP = 30, 10
+POOL, TOP, FETCH = 30, 10, 25
 
 
-def _lexical_hits(spark: SparkSession, d: str, k: int, langs: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
-    """The k best documents of each item, in some languages or all, from a stored index with the statistics of the whole collection."""
-    index = _index(spark, d) if index is None else index
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    among = index.filter(F.col("lang").isin(*langs)) if langs else index
-    return lexical.top_k(lexical.bm25(among, "doc_id", asked, "item_id", lexical.totals(index)), "item_id", "doc_id", k)
+def _index(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.index(table(spark, d, "documents"), "doc_id", F.col("text"), ("lang",))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.store(lexical.words(lexical.spread(table(spark, d, "documents").select("doc_id", "lang", "text")), "doc_id", F.col("text"), ("lang",)))
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def _lexical_hits(spark: SparkSession, d: str, k: int, langs: tuple[str, ...] = ()) -> DataFrame:
+    """The k best documents of each item, in some languages or all, with the statistics of the whole collection."""
+    return lexical.top_k(lexical.bm25(_index(spark, d), _asked(spark, d), "item_id", {"lang": list(langs)}), "item_id", "doc_id", k)
 
 
 SQL_HITS = f"""tok AS (SELECT doc_id, unnest({SQL_TOKENS.format("text")}) AS term FROM documents),
@@ -44,12 +45,12 @@ BM25_SQL = f"WITH {SQL_HITS} SELECT item_id, rank, doc_id, score FROM hits WHERE
 
 
 def filtered_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """The filter is below the top-k: only documents in French or Spanish are candidates, with statistics of the whole collection's length."""
+    """The filter is below the top-k: only documents in French or Spanish are candidates, with statistics of the whole collection."""
     return _lexical_hits(spark, d, TOP, ("fr", "es")).select("item_id", "rank", "doc_id", "score")
 
 
 def _where(condition: str) -> str:
-    return SQL_HITS.replace("FROM documents),\ntf", f"FROM documents WHERE {condition}),\ntf")
+    return SQL_HITS.replace("CROSS JOIN st GROUP BY ALL", f"CROSS JOIN st WHERE doc_id IN (SELECT doc_id FROM documents WHERE {condition}) GROUP BY ALL")
 
 
 FILTERED_SQL = f"""WITH {_where("lang IN ('fr', 'es')")} SELECT item_id, rank, doc_id, score FROM hits WHERE rank <= {TOP}"""
@@ -100,11 +101,11 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top_k(ranking.fuse(both, "item_id", "doc_id"), "item_id", "doc_id", TOP)
 
 
-HYBRID_SQL = f"""WITH {SQL_HITS},
-db AS ({_buckets("doc_id", "documents")}), qb AS ({_buckets("item_id", "benchmark")}),
+SQL_DENSE = f"""db AS ({_buckets("doc_id", "documents")}), qb AS ({_buckets("item_id", "benchmark")}),
 dn AS (SELECT doc_id, sqrt(sum(n * n)) AS dn FROM db GROUP BY ALL), qn AS (SELECT item_id, sqrt(sum(n * n)) AS qn FROM qb GROUP BY ALL),
 cs AS (SELECT item_id, doc_id, round(any_value(dot) / (any_value(dn) * any_value(qn)), 6) AS score
-  FROM (SELECT item_id, doc_id, sum(db.n * qb.n) AS dot FROM db JOIN qb USING (bucket) GROUP BY ALL) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL),
+  FROM (SELECT item_id, doc_id, sum(db.n * qb.n) AS dot FROM db JOIN qb USING (bucket) GROUP BY ALL) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL)"""
+HYBRID_SQL = f"""WITH {SQL_HITS}, {SQL_DENSE},
 ds AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cs),
 f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT item_id, doc_id, rank FROM ds WHERE rank <= {POOL} UNION ALL SELECT item_id, doc_id, rank FROM pool) GROUP BY ALL)
 SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= {TOP}"""
@@ -128,9 +129,8 @@ DEDUPE_SQL = f"WITH {SQL_POOL} SELECT item_id, rank, doc_id, text_key FROM ph QU
 
 def keep_max_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two lists of each item (all documents; one language only) merged by the best score, first seen on ties."""
-    index = _index(spark, d)
-    both = _lexical_hits(spark, d, POOL, index=index).select("item_id", "doc_id", "score", "rank", F.lit(0).alias("list"))
-    own = _lexical_hits(spark, d, POOL, ("en",), index).select("item_id", "doc_id", "score", "rank", F.lit(1).alias("list"))
+    both = _lexical_hits(spark, d, POOL).select("item_id", "doc_id", "score", "rank", F.lit(0).alias("list"))
+    own = _lexical_hits(spark, d, POOL, ("en",)).select("item_id", "doc_id", "score", "rank", F.lit(1).alias("list"))
     hits = both.unionByName(own).withColumn("position", F.col("list") * 1000 + F.col("rank"))
     out = ranking.keep_max(hits, "item_id", "doc_id")
     return out.select("item_id", "doc_id", "score", "list", "rank")
@@ -208,7 +208,40 @@ s AS (SELECT item_id, doc_id, rank AS was, round(1 / (1 + exp(-(len(list_interse
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, was) AS rank, doc_id, rerank_score, was FROM s) WHERE rank <= {TOP}"""
 
 
+def search_service(spark: SparkSession, d: str) -> DataFrame:
+    """One plan from request to answer: dense and lexical lists over all documents and, as a vote of the intent, over the languages it means; all four over-fetched,
+    fused, one hit kept per text, then cut. The intent of an item is told by its number; items of intent 0 have none, and of intent 2 are strict: their free lists are left out."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", text_key(F.col("text")).alias("text_key"))
+    intent = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).alias("intent"), F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("item_id") % 3 + 1).cast("int")).alias("wanted"))
+    e = vectors.hashed_embedding(table(spark, d, "documents"), "doc_id", F.col("text")).join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"), F.col("lang").alias("g"))
+    q = vectors.hashed_embedding(table(spark, d, "benchmark"), "item_id", F.col("text")).join(intent, "item_id")
+    ask = lambda rows, g: rows.select(F.col("item_id").alias("query"), F.col("embedding").alias("v"), g.alias("g"))
+    free, bound = q.filter("intent <> 2"), q.filter("intent <> 0")
+    dense = vectors.cosine_top_k(e, ask(free, F.lit(None).cast("string")), FETCH).unionByName(vectors.cosine_top_k(e, ask(bound, F.col("wanted")), FETCH))
+    scored = lexical.bm25(_index(spark, d), _asked(spark, d), "item_id").join(docs.select("doc_id", "lang"), "doc_id").join(intent, "item_id")
+    lists = [lexical.top_k(scored.filter(f), "item_id", "doc_id", FETCH) for f in ("intent <> 2", "intent <> 0 AND lang = wanted")]
+    both = dense.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rank")
+    for x in lists:
+        both = both.unionByName(x.select("item_id", "doc_id", "rank"))
+    hits = lexical.top_k(ranking.fuse(both, "item_id", "doc_id"), "item_id", "doc_id", 4 * FETCH).join(docs.select("doc_id", "text_key"), "doc_id")
+    kept = ranking.keep_first(hits, "item_id", F.col("text_key")).withColumnRenamed("rank", "was")
+    best = F.row_number().over(Window.partitionBy("item_id").orderBy("was"))
+    return kept.withColumn("rank", best).filter(F.col("rank") <= TOP).select("item_id", "rank", "doc_id", "score")
+
+
+SERVICE_SQL = f"""WITH {SQL_HITS}, it AS (SELECT item_id, item_id % 3 AS intent, ['en', 'fr', 'de'][item_id % 3 + 1] AS wanted FROM benchmark),
+{SQL_DENSE},
+l AS (SELECT item_id, doc_id, score, 0 AS src FROM sc UNION ALL SELECT item_id, doc_id, score, 1 FROM cs),
+m AS (SELECT l.*, v.own FROM l JOIN it USING (item_id) JOIN documents USING (doc_id) CROSS JOIN (VALUES (false), (true)) v(own) WHERE CASE WHEN own THEN intent <> 0 AND lang = wanted ELSE intent <> 2 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, src, own ORDER BY score DESC, doc_id) AS rank FROM m),
+f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r WHERE rank <= {FETCH} GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, {SQL_KEY.format("text")} AS text_key FROM f JOIN documents USING (doc_id)),
+o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY item_id, text_key ORDER BY score DESC, doc_id) = 1)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM o QUALIFY rank <= {TOP}"""
+
+
 QUERIES = {
+    "search_service": (search_service, SERVICE_SQL),
     "bm25_topk": (bm25_topk, BM25_SQL),
     "filtered_bm25": (filtered_bm25, FILTERED_SQL),
     "cosine_topk": (cosine_topk, COSINE_SQL),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, markdown, rules
+from ..operators import chunking, markdown, rules, trees
 from .common import SQL_FOLD, table
 
 
@@ -331,15 +331,20 @@ md5(array_to_string(list_filter([source || ' > ' || lang, q, lang, text], lambda
 
 
 def tree_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """A tree of language, source and document; summaries go down, shallow levels first: one join per level."""
-    docs = table(spark, d, "documents")
-    top = docs.groupBy("lang").agg(F.min(F.left("text", F.lit(20))).alias("s0"))
-    mid = docs.groupBy("lang", "source").agg(F.max(F.left("text", F.lit(20))).alias("own")).join(top, "lang").select("lang", "source", F.concat_ws(" | ", "s0", "own").alias("s1"))
-    return docs.select("doc_id", "lang", "source", F.left("text", F.lit(10)).alias("own")).join(mid, ["lang", "source"]).select("doc_id", F.concat_ws(" | ", "s1", "own").alias("summary"))
-
-
-PROPAGATION_SQL = """WITH a AS (SELECT lang, min(left(text, 20)) AS s FROM documents GROUP BY lang), b AS (SELECT lang, source, max(left(text, 20)) AS o FROM documents GROUP BY ALL)
-SELECT doc_id, concat_ws(' | ', a.s, b.o, left(text, 10)) AS summary FROM documents JOIN b USING (lang, source) JOIN a USING (lang)"""
+    """The nodes of the Markdown trees with what goes down to them: language and source of the document, the headings, and the size of a chunk."""
+    docs = _guide(spark, d)
+    own = F.when(F.col("level") == "document", F.concat_ws("/", "lang", "source")).when(F.col("level") == "section", F.element_at("path", -1)).otherwise(F.col("token_count").cast("string"))
+    x = chunking.tree(docs, "doc_id", F.col("md")).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    out = trees.propagate(x, "node_id", "parent_id", own)
+    return out.select("doc_id", "level", "position", F.col("depth").cast("int").alias("depth"), "inherited")
+
+
+PROPAGATION_SQL = f"""WITH RECURSIVE {_blocks_sql(6)}, {_pack_sql(200, 20)},
+up AS (SELECT a.doc_id, a.section, max(b.section) AS up FROM gs a LEFT JOIN gs b ON a.doc_id = b.doc_id AND b.level > 0 AND b.section < a.section AND a.section <= b."last" GROUP BY ALL),
+tr AS (SELECT doc_id, section, 0 AS depth, lang || '/' || source AS t FROM (SELECT doc_id, -1 AS section, lang, source FROM documents) UNION ALL
+  SELECT gs.doc_id, gs.section, depth + 1, t || ' > ' || title FROM tr JOIN up ON up.doc_id = tr.doc_id AND coalesce(up.up, -1) = tr.section JOIN gs ON gs.doc_id = up.doc_id AND gs.section = up.section WHERE gs.level > 0)
+SELECT doc_id, CASE WHEN section < 0 THEN 'document' ELSE 'section' END AS level, greatest(section, 0)::INT AS position, depth::INT AS depth, t AS inherited FROM tr
+UNION ALL SELECT k5.doc_id, 'chunk', (row_number() OVER (PARTITION BY k5.doc_id ORDER BY k5.section, k) - 1)::INT, (depth + 1)::INT, t || ' > ' || {_n("c.text")} FROM k5 JOIN tr ON tr.doc_id = k5.doc_id AND tr.section = k5.section"""
 
 
 def doc_rollup(spark: SparkSession, d: str) -> DataFrame:

@@ -2,22 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder (spark.checkpoint.dir), or in a local one where that is unset and the session is local."""
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and the session is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"{tempfile.gettempdir()}/tessera-shared"
-    return f"{at.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/tessera"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new empty folder in the shared folder, which goes when the application ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    folder, fs = _folder(spark, path)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """rows as a table at path, read again."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fingerprint(rows: DataFrame, *marks: str) -> str:
+    """What names a result of rows: the files they are read from, with sizes and times, the plan over them, and marks."""
+    spark = rows.sparkSession
+    files = sorted(rows.inputFiles())
+    seen = []
+    for parent in sorted({f.rsplit("/", 1)[0] for f in files}):
+        folder, fs = _folder(spark, parent)
+        seen += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(folder)]
+    text = "\n".join([*marks, *rows.columns, str(rows.semanticHash()) if not files else "", *files, *seen])
+    return f"{marks[0]}-{hashlib.sha256(text.encode()).hexdigest()[:24]}"
+
+
+#: The named results of this process, by application: (application, name) -> folder.
+_made: dict[tuple[str, str], str] = {}
+
+
+def named(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The folder that build has filled under this name, made once per application and deleted at its end."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _made:
+        folder, fs = _folder(spark, _made[key])
+        if fs.exists(folder):
+            return _made[key]
+    at = scratch(spark, name)
+    build(at)
+    _made[key] = at
+    return at
 
 
 def markdown_folder(spark: SparkSession, root: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_index_diff(spark):
 def test_bm25_and_cosine(spark):
     d = spark.createDataFrame([(1, "rare word here"), (2, "common word here"), (3, "common common"), (4, None)], "id long, text string")
     q = spark.createDataFrame([(9, "rare"), (9, "word")], "q long, term string")
-    hits = lexical.bm25(i := lexical.store(lexical.spread(lexical.words(d, "id", F.col("text")))), "id", q, "q", lexical.totals(i))
+    hits = lexical.bm25(lexical.index(d, "id", F.col("text")), q, "q")
     assert [r["id"] for r in lexical.top_k(hits, "q", "id", 5).orderBy("rank").collect()] == [1, 2]
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "id long, v array<double>").withColumn("g", F.lit(None).cast("string"))
     out = vectors.cosine_top_k(v, v.filter("id = 1").select(F.col("id").alias("query"), "v", "g"), 3, block=2).orderBy("rank").collect()
