@@ -74,21 +74,28 @@ def structural_features(spark: SparkSession, d: str) -> DataFrame:
     return both.select("kind", "id", *(c.alias(k) if k.startswith("has") else F.array_join(c, ",").alias(k) for k, c in f.items()))
 
 
-def _found_sql(*patterns: tuple[str, int] | str, most: int = 0, minus: str = "", each: str = "x") -> str:
-    parts = [p if isinstance(p, str) else f"regexp_extract_all(text, '{p[0].replace(Q, Q + Q)}', {p[1]})" for p in patterns]
-    out = f"list_transform(list_filter({' || '.join(parts)}, lambda x: x <> ''{minus}), lambda x: {each})"
-    out = f"list_sort(list_transform(list_distinct({out}), lambda x: {{'p': list_position({out}, x), 'x': x}}))"
+def _all(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all(text, '{pattern.replace(Q, Q + Q)}', {group})"
+
+
+def _first_of_equal(values: str, most: int = 0) -> str:
+    """The distinct values of a list in order, at most `most`, joined by commas."""
+    out = f"list_sort(list_transform(list_distinct({values}), lambda x: {{'p': list_position({values}, x), 'x': x}}))"
     return f"coalesce(array_to_string(list_transform({out}{f'[1:{most}]' if most else ''}, lambda s: s.x), ','), '')"
 
 
-_not = " AND x NOT IN (" + ", ".join(f"'{x}'" for x in features.NOT_CONSTANTS) + ")"
-_constant = f"list_filter(regexp_extract_all(text, '{T.TOKEN}'), lambda x: regexp_matches(x, '{features.CONSTANT}'))"
-_cell = f"regexp_extract_all(replace(text, '|', '||'), '{features.CELL}', 1)"
+_quoted = lambda of: ", ".join(f"'{x}'" for x in of)
+_spans, _requests = _all(features.CODE_SPAN, 1), _all(features.REQUEST)
+_methods = f"list_transform({_requests}, lambda x: regexp_extract(x, '^[A-Z]+')) || list_filter(list_transform({_all(features.LED, 1)} || {_all(features.FIELD_OF_METHOD, 1)}, lambda x: upper(x)), lambda x: x IN ({_quoted(features.ALONE)}))"
+_paths = f"list_transform({_requests}, lambda x: regexp_extract(x, '{features.PATH}')) || list_filter({_spans}, lambda x: regexp_matches(x, '^{features.PATH}$') AND length(x) > 1)"
+_names = f"""list_filter(list_filter({_all(T.TOKEN)}, lambda x: regexp_matches(x, '{features.COMPOUND}')) || list_filter(list_transform({_all(features.QUOTATION, 1)}
+  || list_transform({_all(features.CELL, 1)} || {_all(features.ITEM, 1)}, lambda x: regexp_replace(x, '{features.REMARK}', '', 'g')), lambda x: trim(x)), lambda x: regexp_matches(x, '{features.NAME}')), lambda x: x NOT IN ({_quoted(features.NOT_CONSTANTS)}))"""
 FEATURES_SQL = f"""WITH t AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)
-SELECT kind, id, {_found_sql((features.ENDPOINT, 1), (features.METHOD_HEADING, 1), (features.METHOD_FIELD, 1), each="upper(x)")} AS methods, {_found_sql((features.ENDPOINT, 2), (features.CODE_PATH, 1), most=20)} AS endpoints,
-{_found_sql((features.URL, 0), most=10)} AS urls, {_found_sql((features.CODE_NAME, 1), most=30)} AS parameters, {_found_sql(_constant, (features.QUOTED, 1), _cell, most=40, minus=_not)} AS constants,
-{_found_sql((features.CODE_LANGUAGE, 1), each="lower(x)")} AS code_languages,
-len(regexp_extract_all(text, '{features.TABLE_ROW}')) >= 2 AS has_table, regexp_matches(text, '{features.LIST_ROW}') AS has_list, regexp_matches(text, '{features.FENCE}') AS has_code FROM t"""
+SELECT kind, id, {_first_of_equal(_methods)} AS methods, {_first_of_equal(_paths, 20)} AS endpoints, {_first_of_equal(_all(features.URL), 10)} AS urls,
+{_first_of_equal(f"list_filter({_spans}, lambda x: regexp_matches(x, '{features.IDENTIFIER}') AND length(x) <= 61)", 30)} AS parameters, {_first_of_equal(_names, 40)} AS constants,
+{_first_of_equal(f"list_transform({_all(features.INFO, 1)}, lambda x: lower(x))")} AS code_languages,
+len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '|') AND ends_with(x, '|') AND length(x) > 1)) >= 2 AS has_table,
+regexp_matches(text, '{features.LIST_ROW}') AS has_list, regexp_matches(text, '{features.FENCE}') AS has_code FROM t"""
 
 
 def status_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +107,7 @@ def status_codes(spark: SparkSession, d: str) -> DataFrame:
 
 _codes = ", ".join(f"'{x}'" for x in features.STATUS_CODES)
 STATUS_SQL = rf"""WITH t AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
-l AS (SELECT kind, id, unnest(string_split(text, chr(10))) AS line FROM t), n AS (SELECT kind, id, unnest(regexp_extract_all(line, '[\d.]+')) AS x FROM l WHERE regexp_matches(line, '{features.STATUS_LINE}')),
+l AS (SELECT kind, id, unnest(string_split(text, chr(10))) AS line FROM t), n AS (SELECT kind, id, unnest(regexp_extract_all(line, '[\d.]+')) AS x FROM l WHERE len(list_filter([{_quoted(features.STATUS_WORDS)}], lambda w: contains(lower(line), w))) > 0),
 c AS (SELECT DISTINCT kind, id, x AS code FROM n WHERE regexp_matches(x, '^[1-5]\d{{2}}$'))
 SELECT kind, id, coalesce(string_agg(code, ',' ORDER BY code) FILTER (code IN ({_codes})), '') AS codes, count(code) FILTER (code IN ({_codes}))::INT AS n_codes FROM t LEFT JOIN c USING (kind, id) GROUP BY kind, id"""
 
