@@ -14,16 +14,25 @@ def _gain(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank + F.lit(1.0))
 
 
-def retrieval(ranked: DataFrame, targets: DataFrame, query: str, key: str, ks: tuple[int, ...] = KS) -> DataFrame:
+def relevance(ranked: DataFrame, targets: DataFrame, query: str) -> DataFrame:
+    """query, target, rank: which hits meet which targets (matches_target), only those of one query being compared.
+
+    ranked: query, rank, doc_id, url, breadcrumb, a cut list; targets: query, target, target_doc, target_url, section.
+    """
+    hit = matches_target(*(F.col(c) for c in ("doc_id", "url", "breadcrumb", "target_doc", "target_url", "section")))
+    return ranked.join(targets, query).filter(hit).select(query, "target", "rank")
+
+
+def retrieval(ranked: DataFrame, targets: DataFrame, query: str, ks: tuple[int, ...] = KS) -> DataFrame:
     """One row per query with targets: recall, precision, hit and nDCG at each k, and MRR over the whole list.
 
-    ranked: query, rank (from 1), key; targets: query, target, key (a target may be met by several keys).
+    ranked and targets as in relevance(): a target may be met by several hits, and a hit may meet several targets.
     Recall counts targets; precision divides by the length of the cut list; nDCG gains only where a rank covers a
     target for the first time, so it cannot pass 1; MRR is 0 if nothing is met.
     """
     size = ranked.groupBy(query).agg(F.max("rank").alias("listed"))
     want = targets.groupBy(query).agg(F.countDistinct("target").alias("wanted"))
-    met = ranked.join(targets, [query, key]).select(query, "rank", "target")
+    met = relevance(ranked, targets, query)
     first = met.groupBy(query, "target").agg(F.min("rank").alias("rank"))
     at = lambda c, k: F.count_if(F.col("rank") <= k).alias(f"{c}_{k}")
     covered = first.groupBy(query).agg(*(at("covered", k) for k in ks), F.min("rank").alias("best"))
@@ -126,5 +135,6 @@ def matches_target(doc_id: Column, url: Column, breadcrumb: Column, target_doc:
     """Whether a hit is what a target asks for: its document, or, for a target without one, its page by compared URL; and then, of a target with a document or neither, the section in the breadcrumb."""
     none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     here = none(section) | F.contains(F.lower(F.coalesce(breadcrumb, F.lit(""))), F.lower(F.trim(section)))
-    page = F.coalesce(same_url(url) == same_url(target_url), F.lit(False)) & ~none(url)
+    bare = lambda c: same_url(F.regexp_replace(c, "[#?].*$", ""))
+    page = F.coalesce(bare(url) == bare(target_url), F.lit(False)) & ~none(url)
     return F.when(~none(target_doc), F.coalesce(doc_id == target_doc, F.lit(False)) & here).when(~none(target_url), page).otherwise(here)

@@ -20,21 +20,46 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 SQL_RANKED = f"tg AS (SELECT item_id, doc_id FROM ({texts.SHINGLE_SQL}) WHERE covered), {R.SQL_HITS}, rk AS (SELECT item_id, doc_id, rank FROM hits WHERE rank <= {R.TOP})"
 
 
+def _located(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, url, breadcrumb of every document, as a hit carries them."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return docs.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"), F.concat_ws(" > ", "source", "lang").alias("breadcrumb"))
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of every kind, by the item's number: the document, its page as another would write the address, the document in a section, or a section wherever it is."""
+    t = _targets(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    kind, doc = F.col("item_id") % 4, F.col("doc_id").cast("string")
+    section = F.upper(F.concat_ws(" > ", "source", "lang"))
+    t = t.select("item_id", F.when(kind.isin(0, 2), doc).alias("target_doc"), F.when(kind == 1, F.concat(F.lit("HTTP://"), "source", F.lit(".Example.org/"), "doc_id", F.lit("/?utm=1#top"))).alias("target_url"), F.when(kind.isin(2, 3), section).alias("section"))
+    return t.withColumn("target", F.to_json(F.struct("target_doc", "target_url", "section"))).distinct()
+
+
+SQL_MET = f"""{SQL_RANKED}, wt AS (SELECT DISTINCT item_id, CASE WHEN item_id % 4 IN (0, 2) THEN doc_id END AS td, CASE WHEN item_id % 4 = 1 THEN doc_id END AS tu, CASE WHEN item_id % 4 IN (2, 3) THEN source || ' > ' || lang END AS ts FROM tg JOIN documents USING (doc_id)),
+tn AS (SELECT *, row_number() OVER (ORDER BY item_id, td, tu, ts) AS target FROM wt),
+mt AS (SELECT tn.item_id, target, rank FROM tn JOIN rk USING (item_id) JOIN documents d USING (doc_id) WHERE CASE WHEN td IS NOT NULL THEN td = doc_id AND (ts IS NULL OR ts = source || ' > ' || lang) WHEN tu IS NOT NULL THEN tu = doc_id ELSE ts = source || ' > ' || lang END)"""
+
+
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.retrieval(R.bm25_topk(spark, d), _targets(spark, d), "item_id", "doc_id")
+    ranked = R.bm25_topk(spark, d).join(_located(spark, d), "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return metrics.retrieval(ranked, _wanted(spark, d), "item_id")
 
 
 def _metric_sql(ks: tuple[int, ...] = metrics.KS) -> str:
-    cols = []
+    cols, gains, right = [], [], []
     for k in ks:
         cols.append(f"round(count(rank) FILTER (rank <= {k}) / count(*), 6) AS recall_{k}")
-        cols.append(f"round(coalesce(count(rank) FILTER (rank <= {k}) / least({k}, any_value(listed)), 0), 6) AS precision_{k}")
+        cols.append(f"round(coalesce(any_value(right_{k}) / least({k}, any_value(listed)), 0), 6) AS precision_{k}")
         cols.append(f"CASE WHEN count(rank) FILTER (rank <= {k}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}")
-        cols.append(f"round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) / list_sum(list_transform(generate_series(1, least({k}, count(*))), lambda i: 1 / log2(i + 1))), 6) AS ndcg_{k}")
-    return f"SELECT item_id, {', '.join(cols)}, round(coalesce(1 / min(rank), 0), 6) AS mrr FROM tg LEFT JOIN rk USING (item_id, doc_id) LEFT JOIN (SELECT item_id, max(rank) AS listed FROM rk GROUP BY ALL) USING (item_id) GROUP BY item_id"
+        cols.append(f"round(coalesce(any_value(dcg_{k}), 0) / list_sum(list_transform(generate_series(1, least({k}, count(*))), lambda i: 1 / log2(i + 1))), 6) AS ndcg_{k}")
+        gains.append(f"sum(1 / log2(rank + 1)) FILTER (rank <= {k}) AS dcg_{k}")
+        right.append(f"count(DISTINCT rank) FILTER (rank <= {k}) AS right_{k}")
+    return f"""SELECT item_id, {", ".join(cols)}, round(coalesce(1 / min(rank), 0), 6) AS mrr FROM (SELECT tn.item_id, target, min(rank) AS rank FROM tn LEFT JOIN mt USING (item_id, target) GROUP BY ALL) ft
+LEFT JOIN (SELECT item_id, {", ".join(gains)} FROM (SELECT DISTINCT item_id, min(rank) AS rank FROM mt GROUP BY item_id, target) GROUP BY ALL) USING (item_id) LEFT JOIN (SELECT item_id, {", ".join(right)} FROM mt GROUP BY ALL) USING (item_id)
+LEFT JOIN (SELECT item_id, max(rank) AS listed FROM rk GROUP BY ALL) USING (item_id) GROUP BY item_id"""
 
 
-METRICS_SQL = f"WITH {SQL_RANKED} {_metric_sql()}"
+METRICS_SQL = f"WITH {SQL_MET} {_metric_sql()}"
 
 
 def metric_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -221,13 +246,15 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Key terms of the question (its capitalised words, folded, first form kept) that the answer contains."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit("[A-Z][a-z]{2,}"), F.lit(0)), lambda x: T.fold(x)))
-    a = _answers(spark, d)
-    return a.select("pair", F.size(terms).alias("n_terms"), metrics.keyword_coverage(T.fold(F.col("answer")), terms).alias("coverage"))
+    """Key terms of the question, in which capitalised words are set in bold and figures in code, that the answer contains."""
+    marked = F.regexp_replace(F.regexp_replace("question", r"([A-Z][a-z]{2,})", "**$1**"), r"([0-9]{3,})", "`$1`")
+    a = _answers(spark, d).select("pair", "answer", F.transform(features.key_terms(marked), lambda x: T.fold(x)).alias("terms"))
+    return a.select("pair", F.size("terms").alias("n_terms"), metrics.keyword_coverage(T.fold(F.col("answer")), F.col("terms")).alias("coverage"))
 
 
-KEYWORD_SQL = f"""WITH {SQL_PAIRS}, k AS (SELECT pair, {SQL_FOLD.format("answer")} AS a, list_distinct(list_transform(regexp_extract_all(question, '[A-Z][a-z]{{2,}}'), lambda x: {SQL_FOLD.format("x")})) AS t FROM pa)
+_labels = ", ".join(f"'{x}'" for x in features.LABELS)
+KEYWORD_SQL = rf"""WITH {SQL_PAIRS}, m AS (SELECT pair, answer, regexp_replace(regexp_replace(question, '([A-Z][a-z]{{2,}})', '**\1**', 'g'), '([0-9]{{3,}})', '`\1`', 'g') AS q FROM pa),
+k AS (SELECT pair, {SQL_FOLD.format("answer")} AS a, list_distinct(list_filter(list_transform(regexp_extract_all(q, '{features.MARKED}'), lambda x: {SQL_FOLD.format(f"regexp_replace(x, '{features.EDGES}', '', 'g')")}), lambda x: length(x) >= 3 AND x NOT IN ({_labels}))) AS t FROM m)
 SELECT pair, len(t)::INT AS n_terms, round(len(list_filter(t, lambda x: contains(a, x))) / nullif(len(t), 0), 6) AS coverage FROM k"""
 
 

@@ -29,9 +29,9 @@ def test_parents_must_be_sections(spark):
 
 
 def test_retrieval_metrics(spark):
-    ranked = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (1, 3, "a2"), (2, 1, "b"), (3, 1, "z")], "q int, rank int, key string")
-    targets = spark.createDataFrame([(1, 0, "a"), (1, 0, "a2"), (2, 0, "b"), (2, 1, "c"), (3, 0, "y"), (4, 0, "w")], "q int, target int, key string")
-    m = {r["q"]: r for r in metrics.retrieval(ranked, targets, "q", "key", (1, 3)).collect()}
+    ranked = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (1, 3, "a2"), (2, 1, "b"), (3, 1, "z")], "q int, rank int, doc_id string").withColumn("url", F.lit(None).cast("string")).withColumn("breadcrumb", F.when(F.col("doc_id").startswith("a"), "Guide > A"))
+    targets = spark.createDataFrame([(1, 0, None, "guide > a"), (2, 0, "b", None), (2, 1, "c", None), (3, 0, "y", None), (4, 0, "w", None)], "q int, target int, target_doc string, section string").withColumn("target_url", F.lit(None).cast("string"))
+    m = {r["q"]: r for r in metrics.retrieval(ranked, targets, "q", (1, 3)).collect()}
     assert m[1]["mrr"] == 0.5 and m[1]["recall_1"] == 0 and m[1]["recall_3"] == 1 and m[1]["precision_3"] == round(2 / 3, 6)
     assert m[1]["ndcg_3"] == 0.63093, "the second hit on one target adds nothing"
     assert m[2]["recall_3"] == 0.5 and m[2]["precision_3"] == 1 and m[3]["mrr"] == 0 and m[4]["recall_3"] == 0
