@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case characters that compatibility decomposition turns into one letter or digit and marks, what is left of them, and then the marks themselves, which go."""
+    pairs = []
+    for code in range(0xA0, 0x10000):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if c == c.lower() and len(base) == 1 and base.isascii() and base.isalnum():
+            pairs.append((c, base))
+    marks = "".join(chr(code) for code in range(0x300, 0x370))
+    return "".join(c for c, _ in pairs) + marks, "".join(x for _, x in pairs)
+
+
+ACCENTED, PLAIN = _folding()
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents; full-width and other compatible forms as plain letters and digits. Letters without a decomposition (œ, ß) stay."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+
 RESET = "<reset>"
 
 
@@ -59,3 +61,15 @@ def corrective_loop(requests: DataFrame, search: Callable[[DataFrame, int], Data
     for x in done[1:]:
         out = out.unionByName(x)
     return out
+
+
+def search(turns: DataFrame, text: str, words: tuple[str, ...], least: int = 2) -> DataFrame:
+    """Turns that hold every word of two letters or more, compared by a collation without case and accents, with the place of the first (at). No such word finds nothing."""
+    asked = [w for w in words if len(w) >= least]
+    if not asked:
+        return turns.withColumn("at", F.lit(0)).filter("false")
+    plain = F.collate(F.col(text), "UNICODE_CI_AI")
+    every = F.lit(True)
+    for w in asked:
+        every = every & F.contains(plain, F.collate(F.lit(w), "UNICODE_CI_AI"))
+    return turns.filter(every).withColumn("at", F.instr(fold(F.col(text)), fold(F.lit(asked[0]))))

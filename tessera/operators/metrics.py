@@ -69,13 +69,6 @@ def refusals(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, mean, min, max and exact, linearly interpolated p50, p90, p95 and p99; nulls do not count."""
-    p = F.percentile(value, F.array(*(F.lit(x) for x in (0.5, 0.9, 0.95, 0.99))))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("p"))
-    return out.select(*by, "n", "mean", "min", "max", *(F.round(F.col("p")[i], 6).alias(f"p{x}") for i, x in enumerate((50, 90, 95, 99))))
-
-
 def token_f1(rows: DataFrame, key: str, answer: Column, reference: Column) -> DataFrame:
     """F1 of the words two texts share, repeats counted; null if either has none, 0 if they share none."""
     r = rows.select(key, answer.alias("a"), reference.alias("r"))

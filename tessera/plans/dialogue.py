@@ -21,15 +21,18 @@ HISTORY_SQL = """WITH h AS (SELECT conv_id, turn, array_to_string(list(role || '
 SELECT conv_id, turn, md5(h) AS history_md5, length(h)::INT AS n_chars FROM h"""
 
 
+#: The words of the example search.
+SEARCHED = ("TION", "á", "Ré")
+
+
 def history_search(spark: SparkSession, d: str) -> DataFrame:
-    """First turn of each conversation that holds a word, case and accents aside, with what stands around it; questions come before answers."""
-    q = "tion"
-    c = table(spark, d, "conversations").withColumn("f", T.fold(F.col("text"))).withColumn("at", F.instr("f", F.lit(q))).filter("at > 0")
+    """First turn of each conversation that holds all words, case and accents aside, with what stands around the first of them; questions come before answers."""
+    c = dialogue.search(table(spark, d, "conversations"), "text", SEARCHED)
     c = c.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy((F.col("role") != "user").cast("int"), "turn"))).filter("i = 1")
-    return c.select("conv_id", "turn", "role", F.substring("text", F.greatest(F.lit(1), F.col("at") - 40), F.lit(40 + len(q) + 80)).alias("snippet"))
+    return c.select("conv_id", "turn", "role", F.substring("text", F.greatest(F.lit(1), F.col("at") - 40), F.lit(124)).alias("snippet"))
 
 
-SEARCH_SQL = f"""SELECT conv_id, turn, role, substr(text, greatest(1, at_ - 40), 124) AS snippet FROM (SELECT *, instr({SQL_FOLD.format("text")}, 'tion') AS at_ FROM conversations) WHERE at_ > 0
+SEARCH_SQL = f"""SELECT conv_id, turn, role, substr(text, greatest(1, at_ - 40), 124) AS snippet FROM (SELECT *, instr({SQL_FOLD.format("text")}, 'tion') AS at_ FROM conversations) WHERE at_ > 0 AND contains({SQL_FOLD.format("text")}, 're')
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY (role <> 'user')::INT, turn) = 1"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import features, metrics
+from ..operators import features, metrics, reports
 from . import retrieval as R
 from . import texts
 from .common import SQL_FOLD, SQL_TOKENS, table
@@ -134,7 +134,7 @@ SELECT scope, round((n - missed - wrong) / n, 6) AS accuracy, round(hit / nullif
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.percentiles(table(spark, d, "events"), "value", "event_type")
+    return reports.percentiles(table(spark, d, "events"), "value", "event_type")
 
 
 LATENCY_SQL = """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY ALL"""
@@ -198,7 +198,7 @@ def trace_rollup(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ms = F.expr("timestampdiff(MILLISECOND, ts, next)")
     e = table(spark, d, "events").withColumn("next", F.lead("ts").over(w)).select(F.col("event_type").alias("node"), ms.cast("double").alias("ms"))
-    return metrics.percentiles(e, "ms", "node").select("node", "n", "mean", "p95")
+    return reports.percentiles(e, "ms", "node").select("node", "n", "mean", "p95")
 
 
 TRACE_SQL = """WITH e AS (SELECT event_type AS node, date_sub('millisecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS ms FROM events)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES: name -> (function, SQL or None).
-MODULES: list[str] = ["retrieval", "texts", "evaluation", "structure", "dialogue", "upkeep", "models"]
+MODULES: list[str] = ["retrieval", "texts", "evaluation", "structure", "dialogue", "upkeep", "records", "models"]
 
 
 def _all() -> dict:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import dialogue, index, lexical, metrics, ranking, vectors
+from tessera.operators import dialogue, index, lexical, metrics, ranking, reports, vectors
 
 
 def test_diversity_is_order_dependent(spark):
@@ -46,7 +46,7 @@ def test_refusals_with_empty_denominators(spark):
 
 def test_percentiles_interpolate(spark):
     d = spark.createDataFrame([("x", v) for v in (1.0, 2.0, 3.0, 4.0, 100.0, None)], "g string, v double")
-    r = metrics.percentiles(d, "v", "g").first()
+    r = reports.percentiles(d, "v", "g").first()
     assert (r["n"], r["p50"], r["p90"], r["max"]) == (5, 3.0, 61.6, 100.0)
 
 
