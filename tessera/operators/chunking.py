@@ -148,3 +148,8 @@ def within_parent(chunk: Column, parent: Column, probe: int = 150) -> Column:
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     c, p = flat(chunk), flat(parent)
     return F.contains(p, F.left(c, F.lit(probe))) & F.contains(p, F.right(c, F.lit(probe)))
+
+
+def blank_code(text: Column) -> Column:
+    """A text without its fenced code and code spans."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"`[^`\n]*`", " ")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import payload, reports
+from ..operators import chunking, context, markdown, payload, reports, vocabularies
 from ..sources import catalogue, files
+from . import retrieval as R
+from . import structure as S
+from . import texts as X
 from .common import table
 
 
@@ -124,7 +127,86 @@ RATES_SQL = f"""WITH {SQL_JUDGED} SELECT product, count(*) AS n, count(*) FILTER
 round(sum(cost) / count(*), 8) AS per_answer, round(sum(cost) / nullif(count(*) FILTER (verdict = 'correct'), 0), 8) AS per_correct FROM jd GROUP BY product"""
 
 
+def vocabulary_text(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers of each nation as a described vocabulary."""
+    x = table(spark, d, "supplier").select("s_nationkey", "s_name", F.concat(F.lit("balance "), F.round("s_acctbal").cast("long").cast("string")).alias("t"))
+    return vocabularies.described(x, "s_name", "t", "s_nationkey")
+
+
+DESCRIBED_SQL = "SELECT s_nationkey, string_agg('- ' || s_name || ' : balance ' || round(s_acctbal)::BIGINT, chr(10) ORDER BY s_name) AS lines FROM supplier GROUP BY s_nationkey"
+
+
+def context_format(spark: SparkSession, d: str) -> DataFrame:
+    """The three best documents of every item of even number, as a model is shown them; the others have none."""
+    i, name = F.col("doc_id"), F.concat_ws(" > ", "source", "lang")
+    kind = F.element_at(F.array(*map(F.lit, ("reference_api", "guide_fonctionnel", "fiche_partenaire_agregation", "guide_utilisateur", "note_interne", ""))), (i % 6 + 1).cast("int"))
+    hits = R._lexical_hits(spark, d, 3).filter("item_id % 2 = 0").join(table(spark, d, "documents"), "doc_id")
+    text = context.extract(
+        F.concat(F.lit("S"), "rank"), name, F.col("text"), F.when(i % 2 == 0, F.concat(F.lit("API "), "lang")), F.when(i % 4 == 0, "1.2"), kind, F.when(i % 3 == 0, i), F.when(i % 3 == 0, i + i % 2),
+        F.when(i % 5 == 0, F.concat(F.lit("https://a.example/"), i)), F.when(i % 5 != 4, F.concat("source", F.lit(".md"))),
+    )
+    x = context.formatted(table(spark, d, "benchmark"), hits.select("item_id", "rank", text.alias("extract")), "item_id", "rank")
+    return x.select("item_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
+
+
+CONTEXT_SQL = rf"""WITH {R.SQL_HITS}, e AS (SELECT item_id, rank, doc_id AS i, text, source || ' > ' || lang AS name, ['référence technique', 'guide fonctionnel', 'fiche partenaire', 'aide en ligne', 'note interne', NULL][doc_id % 6 + 1] AS kind,
+  CASE WHEN doc_id % 2 = 0 THEN 'API ' || lang || CASE WHEN doc_id % 4 = 0 THEN ' v1.2' ELSE '' END END AS api, CASE WHEN doc_id % 3 = 0 THEN 'p. ' || doc_id || CASE WHEN doc_id % 2 = 1 THEN '-' || (doc_id + 1) ELSE '' END END AS pages,
+  CASE WHEN doc_id % 5 = 0 THEN 'lien : https://a.example/' || doc_id WHEN doc_id % 5 <> 4 THEN 'fichier : ' || source || '.md' END AS place FROM hits JOIN documents USING (doc_id) WHERE rank <= 3 AND item_id % 2 = 0),
+t AS (SELECT item_id, rank, '<extrait id="S' || rank || '">' || chr(10) || '[S' || rank || '] Source : ' || name || CASE WHEN concat_ws(' ; ', api, kind, pages, place) <> '' THEN ' (' || concat_ws(' ; ', api, kind, pages, place) || ')' ELSE '' END
+  || chr(10) || chr(10) || regexp_replace(text, '\A\s+|\s+\z', '', 'g') || chr(10) || '</extrait>' AS t FROM e),
+c AS (SELECT item_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS c FROM t GROUP BY ALL)
+SELECT item_id, length(coalesce(c, '{context.NOTHING}'))::INT AS n_chars, md5(coalesce(c, '{context.NOTHING}')) AS context_md5 FROM benchmark LEFT JOIN c USING (item_id)"""
+
+
+def answer_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as answers that cite sources in headings, texts and code: their headings without citations, and what they cite outside code."""
+    g = S._guide(spark, d)
+    md = F.regexp_replace(F.regexp_replace("md", r"(?m)^(#+ .*)$", "$1 [S3]"), r"(?m)^(- .*)$", "$1 [S1] `[S9]` [S12]")
+    x = markdown.outline(g.select("doc_id", md.alias("md")), "doc_id", F.col("md")).join(g.select("doc_id", md.alias("md")), "doc_id")
+    heads = F.transform(context.outline(F.col("sections")), lambda h: F.concat_ws(":", h["at"], h["depth"], h["text"]))
+    cites = F.transform(context.cited(F.col("md"), F.array(F.lit("S1"), F.lit("S3"))), lambda c: F.concat(c["sid"], F.when(c["known"], "").otherwise(F.lit("?"))))
+    return x.select("doc_id", F.array_join(heads, "|").alias("headings"), F.array_join(F.array_sort(cites), ",").alias("cites"))
+
+
+HEADINGS_SQL = rf"""WITH {S._guide_sql(6)}, h AS (SELECT doc_id, string_agg((n - 1) || ':' || level || ':' || title, '|' ORDER BY section) AS headings FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS n FROM gs WHERE level > 0) GROUP BY doc_id),
+c AS (SELECT doc_id, bool_or(starts_with(line, '- ') AND kind <> 'code') AS item, bool_or(regexp_matches(line, '^#+ ') AND kind <> 'code') AS head FROM gl GROUP BY doc_id)
+SELECT doc_id, coalesce(headings, '') AS headings, concat_ws(',', CASE WHEN item THEN 'S1' END, CASE WHEN item THEN 'S12?' END, CASE WHEN head THEN 'S3' END) AS cites FROM c LEFT JOIN h USING (doc_id)"""
+
+
+def document_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that need no front matter: outline of three levels, at most 80 headings, number of words, products."""
+    x = S._guide(spark, d)
+    o = markdown.outline(x, "doc_id", F.col("md"), 3)
+    heads = F.slice(F.transform(F.filter("sections", lambda s: s["level"] > 0), lambda s: s["title"]), 1, 80)
+    products = vocabularies.detected(F.col("md"), X.PRODUCTS, X.EXACT)
+    y = x.select("doc_id", F.regexp_count("md", F.lit(r"[\p{L}\p{N}_]+")).alias("n_words"), F.array_join(products, ",").alias("products"))
+    return o.select("doc_id", F.size(heads).alias("n_headings"), F.md5(F.array_join(heads, "|")).alias("outline_md5")).join(y, "doc_id")
+
+
+FACTS_SQL = rf"""WITH {S._guide_sql(3)}, h AS (SELECT doc_id, list(title ORDER BY section)[1:80] AS h FROM gs WHERE level > 0 GROUP BY doc_id), m AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM gl GROUP BY doc_id)
+SELECT doc_id, coalesce(len(h), 0)::INT AS n_headings, md5(coalesce(array_to_string(h, '|'), '')) AS outline_md5, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))::INT AS n_words, {X._detected_sql(X.PRODUCTS, X.EXACT)} AS products FROM m LEFT JOIN h USING (doc_id)"""
+
+
+def dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingestion would make of the documents of a source, without models or a store: nodes by level and kind with their tokens."""
+    docs = S._guide(spark, d)
+    t = chunking.tree(docs, "doc_id", F.col("md")).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    kind = F.when(markdown.endpoint(F.col("path")).isNotNull(), "endpoint").otherwise(F.lit("content"))
+    return t.groupBy("source", "level", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).filter("level <> 'document'")
+
+
+DRY_SQL = rf"""WITH {S._blocks_sql(6)}, {S._pack_sql(200, 20)},
+an AS (SELECT a.doc_id, a.section, a.level, bool_or(regexp_matches(trim(b.title), '^(GET|HEAD|POST|PUT|PATCH|DELETE|OPTIONS)\s+/\S*$')) AS e FROM gs a LEFT JOIN gs b ON a.doc_id = b.doc_id AND b.level > 0 AND a.section BETWEEN b.section AND b."last" GROUP BY ALL),
+n AS (SELECT doc_id, 'section' AS level, e FROM an WHERE level > 0 UNION ALL SELECT doc_id, 'chunk', e FROM k5 JOIN an USING (doc_id, section))
+SELECT source, level, CASE WHEN e THEN 'endpoint' ELSE 'content' END AS kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM n JOIN documents USING (doc_id) GROUP BY ALL"""
+
+
 QUERIES = {
+    "vocabulary_text": (vocabulary_text, DESCRIBED_SQL),
+    "context_format": (context_format, CONTEXT_SQL),
+    "answer_headings": (answer_headings, HEADINGS_SQL),
+    "document_facts": (document_facts, FACTS_SQL),
+    "dry_run": (dry_run, DRY_SQL),
     "catalogue_scan": (catalogue_scan, CATALOGUE_SQL),
     "vocabulary_scan": (vocabulary_scan, VOCABULARY_SQL),
     "business_questions": (business_questions, BUSINESS_SQL),

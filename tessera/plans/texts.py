@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import features
+from ..operators import features, vocabularies
 from .common import SQL_FOLD, SQL_KEY, SQL_TOKENS, table
 
 Q = "'"
@@ -143,20 +143,25 @@ _fr, _en = (", ".join(f"'{x}'" for x in of) for of in (features.FRENCH, features
 LANGUAGE_SQL = f"""SELECT doc_id, lang, len(list_filter(w, lambda x: x IN ({_fr}))) >= len(list_filter(w, lambda x: x IN ({_en}))) AS french
 FROM (SELECT doc_id, lang, regexp_extract_all(lower(regexp_replace(text, '(?s)```.*?```', ' ', 'g')), '{features.LETTERS}') AS w FROM documents)"""
 
-#: A small vocabulary of products with their spellings; marked ones match their exact case only.
-ALIASES = (("licence", "license", False), ("licence", "apache", False), ("contact", "email", False), ("contact", "@", False), ("pipe", "|", False), ("conjunction", "And", True), ("article", "The", True), ("german", "und", False), ("spanish", "ción", False))
+#: A small vocabulary of products with their forms, one of exact case, and a glossary with an acronym.
+PRODUCTS = {"licence": ("license", "apache license"), "contact": ("e-mail", "email"), "The": (), "conjunction": ("and", "und"), "version": ("version 2.0",)}
+EXACT = ("The",)
+GLOSSARY = {"IS": ("it is",), "of": ("of the", "of that"), "not": ("nicht", "no")}
 
 
 def taxonomy_detect(spark: SparkSession, d: str) -> DataFrame:
-    """Entities whose spelling occurs in a text, one row each with the number of spellings."""
-    words = spark.createDataFrame(ALIASES, "entity string, alias string, exact boolean")
-    hit = F.when(F.col("exact"), F.contains("text", "alias")).otherwise(F.contains(F.lower("text"), F.lower("alias")))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(words), hit).groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n_aliases"))  # a fixed list of a few rows
+    """Products and glossary terms that every document holds as whole words, acronyms by exact case, and the glossary's expansions."""
+    products, terms = vocabularies.detected(F.col("text"), PRODUCTS, EXACT), vocabularies.detected(F.col("text"), GLOSSARY)
+    x = table(spark, d, "documents").select("doc_id", products.alias("products"), terms.alias("terms"))
+    return x.select("doc_id", F.array_join("products", ",").alias("products"), F.array_join("terms", ",").alias("terms"), F.array_join(vocabularies.expansions(F.col("terms"), GLOSSARY), ",").alias("expansions"))
 
 
-_alias = ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in ALIASES)
-TAXONOMY_SQL = f"""SELECT doc_id, entity, count(*) AS n_aliases FROM documents JOIN (VALUES {_alias}) AS v(entity, alias, exact) ON CASE WHEN exact THEN contains(text, alias) ELSE contains(lower(text), lower(alias)) END GROUP BY ALL"""
+def _detected_sql(vocabulary: dict, exact: tuple = (), shown=lambda t, forms: t) -> str:
+    hit = lambda t, f: f"regexp_matches(text, '{vocabularies.pattern([t, *f], t in exact or (t.isupper() and len(t) > 1))}')"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {hit(t, f)} THEN '{shown(t, f)}' END" for t, f in vocabulary.items()) + ")"
+
+
+TAXONOMY_SQL = f"""SELECT doc_id, {_detected_sql(PRODUCTS, EXACT)} AS products, {_detected_sql(GLOSSARY)} AS terms, {_detected_sql(GLOSSARY, shown=lambda t, f: ",".join([t, *f]))} AS expansions FROM documents"""
 
 
 def taxonomy_normalise(spark: SparkSession, d: str) -> DataFrame:
