@@ -51,3 +51,28 @@ def test_kept_rows_keep_their_columns(spark):
 
 def test_empty_table(spark):
     assert Q.repetition(documents(spark, [])).count() == 0
+
+
+def test_documents_that_fall_by_coverage_alone(spark):
+    """Few but long words repeat: the base rule counts words and lets them pass, coverage counts characters."""
+    long = " ".join(f"{'abcdefghij'[i]}{'x' * 18}{i}" for i in range(10))  # ten words of 20 characters
+    short = lambda n, k: " ".join(f"{'qrstuvw'[k]}{i}" for i in range(n))
+    rows = [
+        (1, f"{long} {short(40, 0)} {long} {short(40, 1)}", "a"),  # a window of ten words, twice
+        (2, f"{short(40, 0)}\n{long[:150]}\n{short(40, 1)}\n{long[:150]}", "a"),  # a line, twice
+        (3, f"{long} {short(40, 0)} {short(40, 1)}", "a"),  # clean
+    ]
+    out = {r["doc_id"]: r for r in Q.repetition(documents(spark, rows)).collect()}
+    assert [out[i]["base_failed"] for i in (1, 2, 3)] == [False] * 3
+    assert [out[i]["kept"] for i in (1, 2, 3)] == [False, False, True]
+    assert 100 * out[1]["n_repeat_words"] < 30 * out[1]["n_words"] and out[2]["n_dup_lines"] == 1
+
+
+def test_long_texts_are_measured_in_stretches(monkeypatch):
+    from tessera.llm import ragged
+
+    texts = [words(8, 3000, 300) + "\n" + words(9, 40) + "\n" + words(8, 3000, 300), "short", None, words(9, 40) * 5]
+    whole = Q.measure(texts)
+    monkeypatch.setattr(ragged, "STRETCH", 256)
+    parts = Q.measure(texts)
+    assert all((whole[k] == parts[k]).all() for k in whole)
