@@ -72,21 +72,6 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return near.unionByName(far)
 
 
-#: Bits of the table by which sift() tells rows; a fixed size, 2^16 rows of 64 bits.
-SIFT = 1 << 22
-
-
-def sift(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left without most of its rows that have no partner of equal key (a long without nulls) in right, so that a join shuffles less.
-
-    The slots that keys of right take, SIFT at most, are broadcast as bits. Rows with a partner all stay; the fuller the table, the more others do too.
-    """
-    slot = lambda: F.pmod(F.xxhash64(key), F.lit(SIFT))
-    taken = right.select(slot().alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 AS int)))").alias("__bits"))
-    near = left.withColumn("__slot", slot()).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(taken), "__word")
-    return near.filter("shiftrightunsigned(__bits, cast(__slot % 64 AS int)) & 1L = 1L").select(left.columns)
-
-
 #: Most bytes of an Arrow batch on its way to a Python worker; Spark's own default is 64 MB for each task and direction.
 BATCH_BYTES = 4 << 20
 

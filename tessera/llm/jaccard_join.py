@@ -3,7 +3,7 @@
 A text's n-grams are runs of N words (a shorter text is one n-gram). Texts with the same words collapse into one first,
 numbered by a long. MinHash bands of ROWS values propose candidates: at similarity 0.8 a pair escapes all BANDS bands with
 probability (1 - 0.8^6)^42 < 3e-6. A pair is a candidate if it shares a bucket, at every size of table and group. Texts joined by
-buckets, directly or in a chain, form a candidate component (only texts of components are read again and shuffled, see common.sift); its n-gram sets go to one task, which compares the MinHash
+buckets, directly or in a chain, form a candidate component (texts are read again and meet the components by shuffle, with one plan at every size); its n-gram sets go to one task, which compares the MinHash
 values of candidates by and by, drops a pair as soon as the posterior probability of reaching the threshold (uniform prior) is
 below TOLERANCE, and counts the n-grams of the rest exactly. A component over BLOCK texts is worked by its buckets instead,
 and a bucket over BLOCK in pairs of blocks; a pair then counts where its first common band is. Both ways find the same pairs.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, groups, join_unique, read, sift, slices
+from .common import bound_batches, durable, groups, join_unique, read, slices
 from .components import components
 from .ragged import Texts, mix, ngrams
 
@@ -239,7 +239,7 @@ def classes(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) ->
     need = texts.join(parts.select(F.col("node").alias("t")), "t").select("t", "m", *of_row("rep.x1", "rep.x2", "rep.doc_id"))
     need = durable(need, "jaccard-need")
     d = docs.select("doc_id", *names(F.col(text)), F.col(text).cast("binary").alias("text")).select(*of_row("x1", "x2", "doc_id"), "text")
-    d = join_unique(sift(d, need, "k1"), need, ["k1", "k2"], "m", rows.count()).select("t", "m", "text")
+    d = join_unique(d, need, ["k1", "k2"], "m", rows.count()).select("t", "m", "text")
 
     def grams(batches: Iterator) -> Iterator:
         import pyarrow as pa

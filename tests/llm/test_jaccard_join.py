@@ -86,16 +86,3 @@ def test_pruning_keeps_what_may_reach_the_threshold():
 def test_empty_table(spark):
     assert J.links(documents(spark, [])).count() == 0
     assert J.keep_one(documents(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("bits", [64, 1 << 22])
-def test_sift_keeps_every_row_with_a_partner(spark, monkeypatch, bits):
-    from tessera.llm import common
-
-    monkeypatch.setattr(common, "SIFT", bits)
-    left, right = spark.range(-3000, 3000).selectExpr("id AS k", "id AS x"), spark.range(0, 500).selectExpr("id * 7 - 1500 AS k")
-    partners = {r[0] for r in right.collect()}
-    kept = {r["k"] for r in common.sift(left, right, "k").collect()}
-    assert partners & set(range(-3000, 3000)) <= kept
-    assert len(kept) < 600 if bits > 64 else len(kept) <= 6000
-    assert common.sift(left, right.filter("false"), "k").count() == 0
