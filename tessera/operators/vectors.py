@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.files import fingerprint, named, stored
 
 DIM = 64
 
@@ -31,6 +32,15 @@ def hashed_embedding(docs: DataFrame, key: str, text: Column, dim: int = DIM) ->
     return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, embedding array<double>")
 
 
+def hashed_index(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """hashed_embedding of a collection, computed and written once per application and collection."""
+    from .lexical import spread
+
+    plan = docs.select(key, text.alias("text"))
+    build = lambda at: stored(hashed_embedding(spread(plan), key, F.col("text")), f"{at}/vectors")
+    return docs.sparkSession.read.parquet(named(docs.sparkSession, fingerprint(plan, "hashed", key), build) + "/vectors")
+
+
 def cosine(u: Column, v: Column) -> Column:
     """Cosine of two arrays, 0 where one has no length."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)

@@ -94,8 +94,8 @@ def _buckets(key: str, of: str) -> str:
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """BM25 and hashed-embedding rankings of each benchmark item over all documents, fused."""
-    e = vectors.hashed_embedding(table(spark, d, "documents"), "doc_id", F.col("text")).select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"), F.lit(None).cast("string").alias("g"))
-    q = vectors.hashed_embedding(table(spark, d, "benchmark"), "item_id", F.col("text")).select(F.col("item_id").alias("query"), F.col("embedding").alias("v"), F.lit(None).cast("string").alias("g"))
+    e = vectors.hashed_index(table(spark, d, "documents"), "doc_id", F.col("text")).select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"), F.lit(None).cast("string").alias("g"))
+    q = vectors.hashed_index(table(spark, d, "benchmark"), "item_id", F.col("text")).select(F.col("item_id").alias("query"), F.col("embedding").alias("v"), F.lit(None).cast("string").alias("g"))
     dense = vectors.cosine_top_k(e, q, POOL).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rank")
     both = dense.unionByName(_lexical_hits(spark, d, POOL).select("item_id", "doc_id", "rank"))
     return lexical.top_k(ranking.fuse(both, "item_id", "doc_id"), "item_id", "doc_id", TOP)
@@ -213,8 +213,8 @@ def search_service(spark: SparkSession, d: str) -> DataFrame:
     fused, one hit kept per text, then cut. The intent of an item is told by its number; items of intent 0 have none, and of intent 2 are strict: their free lists are left out."""
     docs = table(spark, d, "documents").select("doc_id", "lang", text_key(F.col("text")).alias("text_key"))
     intent = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).alias("intent"), F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("item_id") % 3 + 1).cast("int")).alias("wanted"))
-    e = vectors.hashed_embedding(table(spark, d, "documents"), "doc_id", F.col("text")).join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"), F.col("lang").alias("g"))
-    q = vectors.hashed_embedding(table(spark, d, "benchmark"), "item_id", F.col("text")).join(intent, "item_id")
+    e = vectors.hashed_index(table(spark, d, "documents"), "doc_id", F.col("text")).join(docs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("id"), F.col("embedding").alias("v"), F.col("lang").alias("g"))
+    q = vectors.hashed_index(table(spark, d, "benchmark"), "item_id", F.col("text")).join(intent, "item_id")
     ask = lambda rows, g: rows.select(F.col("item_id").alias("query"), F.col("embedding").alias("v"), g.alias("g"))
     free, bound = q.filter("intent <> 2"), q.filter("intent <> 0")
     dense = vectors.cosine_top_k(e, ask(free, F.lit(None).cast("string")), FETCH).unionByName(vectors.cosine_top_k(e, ask(bound, F.col("wanted")), FETCH))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, markdown, rules, trees
+from ..operators import chunking, lexical, markdown, rules, trees
+from ..sources import files
 from .common import SQL_FOLD, table
 
 
@@ -82,7 +83,7 @@ def _guide(spark: SparkSession, d: str) -> DataFrame:
         return out
 
     lines = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), turned))
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.array_join(lines, "\n").alias("md"))
+    return lexical.spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.array_join(lines, "\n").alias("md"))
 
 
 def _guide_sql(levels: int) -> str:
@@ -334,8 +335,8 @@ def tree_propagation(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of the Markdown trees with what goes down to them: language and source of the document, the headings, and the size of a chunk."""
     docs = _guide(spark, d)
     own = F.when(F.col("level") == "document", F.concat_ws("/", "lang", "source")).when(F.col("level") == "section", F.element_at("path", -1)).otherwise(F.col("token_count").cast("string"))
-    x = chunking.tree(docs, "doc_id", F.col("md")).join(docs.select("doc_id", "lang", "source"), "doc_id")
-    out = trees.propagate(x, "node_id", "parent_id", own)
+    x = chunking.tree(docs, "doc_id", F.col("md")).join(docs.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "node_id", "parent_id", "level", "position", own.alias("own"))
+    out = trees.propagate(files.stored(x, files.scratch(spark, "nodes") + "/rows"), "node_id", "parent_id", F.col("own"))
     return out.select("doc_id", "level", "position", F.col("depth").cast("int").alias("depth"), "inherited")
 
 

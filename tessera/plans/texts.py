@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import features, vocabularies
+from ..operators import features, lexical, vocabularies
 from .common import SQL_FOLD, SQL_KEY, SQL_TOKENS, table
 
 Q = "'"
@@ -175,10 +175,11 @@ NORMALISE_SQL = """SELECT CASE WHEN regexp_extract(source, '\\d+')::INT < 12 THE
 
 
 def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of each benchmark item's distinct four-word shingles that a document holds, where it holds any."""
+    """Share of each benchmark item's distinct four-word shingles that a document holds, where it holds any; shingles are told by 64-bit hashes."""
     n = 4
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), " ")))
-    g = lambda of, key: table(spark, d, of).select(key, T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= n).select(key, F.explode(grams(F.col("w"))).alias("g"))
+    at = lambda c, i, k: F.element_at(c, i + k)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1))), lambda i: F.xxhash64(*(at(c, i, k) for k in range(n)))))
+    g = lambda of, key: lexical.spread(table(spark, d, of).select(key, "text")).select(key, T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= n).select(key, F.explode(grams(F.col("w"))).alias("g"))
     items = g("benchmark", "item_id")
     size = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     both = g("documents", "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
