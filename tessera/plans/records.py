@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, context, markdown, payload, reports, vocabularies
+from ..operators import chunking, context, markdown, payload, profiles, reports, vocabularies
 from ..sources import catalogue, files
 from . import retrieval as R
 from . import structure as S
@@ -201,7 +201,55 @@ n AS (SELECT doc_id, 'section' AS level, e FROM an WHERE level > 0 UNION ALL SEL
 SELECT source, level, CASE WHEN e THEN 'endpoint' ELSE 'content' END AS kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM n JOIN documents USING (doc_id) GROUP BY ALL"""
 
 
+SYSTEM = "Entrepot"
+
+
+def partner_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as partners: their suppliers are the products, and numbers tell the other facts."""
+    k = F.col("n_nationkey")
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_name")).alias("products"))
+    x = table(spark, d, "nation").join(s, "n_nationkey", "left")
+    code = F.when(k % 3 != 0, F.concat(F.lit("format du code apporteur "), k.cast("string"), F.lit("..")))
+    f = profiles.partner(F.col("n_name"), code, F.col("products"), F.when(k % 4 != 3, k % 4 == 1), F.when(k % 5 == 0, "mensuelle").otherwise(F.lit("")), k % 2 == 0, SYSTEM)
+    return x.select("n_nationkey", "n_name", f["title"].alias("title"), f["summary"].alias("summary"), *(F.array_join(f[c], "|").alias(c) for c in ("tasks", "questions", "keywords", "prerequisites")))
+
+
+_said = lambda texts: "|".join(texts).replace("'", "''").replace("{s}", SYSTEM).replace("{p}", "' || n_name || '")
+PARTNER_SQL = f"""WITH s AS (SELECT s_nationkey AS n_nationkey, list(s_name ORDER BY s_name) AS p FROM supplier GROUP BY ALL), x AS (SELECT *, n_nationkey AS k FROM nation LEFT JOIN s USING (n_nationkey)),
+f AS (SELECT *, concat_ws(' ; ', CASE WHEN k % 3 <> 0 THEN 'format du le code apporteur ' || k END, CASE WHEN len(p) > 0 THEN len(p) || ' produit(s) agrégé(s) : ' || array_to_string(p[1:8], ', ') || CASE WHEN len(p) > 8 THEN '…' ELSE '' END END,
+  CASE k % 4 WHEN 3 THEN NULL WHEN 1 THEN 'prix d''achat moyens transmis' ELSE 'prix d''achat moyens non transmis' END, CASE WHEN k % 5 = 0 THEN 'agrégation mensuelle' END, CASE WHEN k % 2 = 0 THEN 'lettre d''autorisation signée requise' END) AS facts FROM x)
+SELECT n_nationkey, n_name, '{_said([profiles.TITLE])}' AS title, 'Fiche d''agrégation du partenaire ' || n_name || ' dans {SYSTEM}' || CASE WHEN facts <> '' THEN ' : ' || facts ELSE '' END || '.' AS summary, '{_said(profiles.TASKS)}' AS tasks,
+'{_said(profiles.QUESTIONS)}' AS questions, n_name || '|{_said(profiles.KEYWORDS)}' || CASE WHEN len(p) > 0 THEN '|' || array_to_string(p[1:6], '|') ELSE '' END AS keywords, CASE WHEN k % 2 = 0 THEN 'Lettre d''autorisation complétée et signée' ELSE '' END AS prerequisites FROM f"""
+
+
+def intent_routing(spark: SparkSession, d: str) -> DataFrame:
+    """User turns with an analysis told by their number, some of it missing or broken, routed by what they and the turns before them say."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = F.col("turn")
+    x = table(spark, d, "conversations").withColumn("history", F.lag("text").over(w)).filter("role = 'user'")
+    at = lambda *names: F.element_at(F.array(*map(F.lit, names)), (t % len(names) + 1).cast("int"))
+    said = F.to_json(F.struct(
+        F.left("text", F.lit(15)).alias("standalone_question"), at("Reference", "autre chose", "faq").alias("intent"), at("api", "", "help", "api").alias("corpus"), at("outils", "documentation").alias("route"),
+        F.array(F.left("text", F.lit(5)), F.left("text", F.lit(15)), F.lit(" "), F.lit("never")).alias("sub_queries"),
+    ))
+    analysis = F.when(F.col("conv_id") % 5 == 1, F.lit(None)).when(F.col("conv_id") % 5 == 2, F.lit("{broken")).otherwise(said)
+    r = profiles.routed(F.col("text"), F.col("history"), analysis, ["reference", "faq", "autre"], "(?i)tion", "api", tools=False)
+    x = x.select("conv_id", "turn", *(c.alias(k) for k, c in r.items()))
+    boost = profiles.boosted(t % 2, F.col("intent"), F.col("corpus"), ["reference"], "api")
+    return x.select("conv_id", "turn", "intent", "corpus", "route", F.size("queries").alias("n_queries"), F.md5(F.array_join("queries", "|")).alias("queries_md5"), "fallback", boost.alias("boost"))
+
+
+ROUTING_SQL = """WITH h AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS history FROM conversations), u AS (SELECT *, conv_id % 5 IN (1, 2) AS lost FROM h WHERE role = 'user'),
+a AS (SELECT *, CASE WHEN lost THEN 'autre' ELSE ['reference', 'autre', 'faq'][turn % 3 + 1] END AS intent, CASE WHEN lost THEN '' ELSE ['api', '', 'help', 'api'][turn % 4 + 1] END AS said FROM u),
+b AS (SELECT *, CASE WHEN said = 'api' AND NOT regexp_matches(concat_ws(' ', text, history), '(?i)tion') THEN '' ELSE said END AS corpus,
+  list_filter(list_transform(CASE WHEN lost THEN [text] ELSE [text, left(text, 15), left(text, 5), left(text, 15)] END, lambda x: trim(x)), lambda x: x <> '') AS c FROM a),
+q AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(c), lambda x: {'p': list_position(c, x), 'x': x})), lambda s: s.x) AS q FROM b)
+SELECT conv_id, turn, intent, corpus, 'documentation' AS route, coalesce(len(q), 0)::INT AS n_queries, md5(coalesce(array_to_string(q, '|'), '')) AS queries_md5, lost AS fallback, turn % 2 = 0 AND (intent <> 'reference' OR corpus = 'api') AS boost FROM q"""
+
+
 QUERIES = {
+    "partner_profile": (partner_profile, PARTNER_SQL),
+    "intent_routing": (intent_routing, ROUTING_SQL),
     "vocabulary_text": (vocabulary_text, DESCRIBED_SQL),
     "context_format": (context_format, CONTEXT_SQL),
     "answer_headings": (answer_headings, HEADINGS_SQL),

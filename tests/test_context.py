@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import context, markdown, vocabularies
+from tessera.operators import context, markdown, profiles, vocabularies
 
 VOCABULARY = {"GED": ("gestion électronique",), "Big": (), "contrat": ("contrats", "avenant")}
 
@@ -43,3 +43,30 @@ def test_citations_outside_code_and_headings_without(spark):
 def test_described_vocabulary(spark):
     d = spark.createDataFrame([("g", "b", "two"), ("g", "a", None)], "g string, n string, t string")
     assert vocabularies.described(d, "n", "t", "g").first().lines == "- a : \n- b : two"
+
+
+def test_partner_profiles_speak_of_what_is_known(spark):
+    d = spark.createDataFrame([("Ax", "code apporteur 12.", ["p"] * 9, True, "mensuelle", True), ("By", None, None, None, None, None), ("Cz", "", [], False, "", False)], "n string, c string, p array<string>, s boolean, f string, l boolean")
+    f = profiles.partner(*(F.col(c) for c in "ncpsfl"), "X")
+    rows = d.select(*(c.alias(k) for k, c in f.items())).collect()
+    assert [r.summary for r in rows] == [
+        "Fiche d'agrégation du partenaire Ax dans X : le code apporteur 12 ; 9 produit(s) agrégé(s) : p, p, p, p, p, p, p, p… ; prix d'achat moyens transmis ; agrégation mensuelle ; lettre d'autorisation signée requise.",
+        "Fiche d'agrégation du partenaire By dans X.", "Fiche d'agrégation du partenaire Cz dans X : prix d'achat moyens non transmis.",
+    ]
+    assert [len(r.prerequisites) for r in rows] == [1, 0, 0] and rows[1].keywords[0] == "By" and len(rows[0].keywords) == 12
+
+
+def test_routing_falls_back_and_guards(spark):
+    cases = [
+        ("ask", None, None), ("ask", None, "{broken"), ("the api", None, '{"intent":"FAQ","corpus":"api","route":"outils","standalone_question":" ask it ","sub_queries":["a","the api","b","c"]}'),
+        ("ask", "before", '{"intent":"odd","corpus":"api"}'), ("ask", "the api", '{"intent":"faq","corpus":"api"}'),
+    ]
+    d = spark.createDataFrame(cases, "q string, h string, a string")
+    f = profiles.routed(F.col("q"), F.col("h"), F.col("a"), ["faq"], "api", "api", tools=False)
+    got = [tuple(r) for r in d.select(*(c.alias(k) for k, c in f.items())).collect()]
+    assert got == [
+        ("autre", "", "documentation", ["ask"], True), ("autre", "", "documentation", ["ask"], True), ("faq", "api", "documentation", ["the api", "ask it", "a", "b"], False),
+        ("autre", "", "documentation", ["ask"], False), ("faq", "api", "documentation", ["ask"], False),
+    ]
+    b = profiles.boosted(F.col("n"), F.col("i"), F.col("c"), ["x"], "api")
+    assert [r.b for r in spark.createDataFrame([(0, "x", "api"), (0, "x", ""), (0, "y", ""), (1, "y", "")], "n int, i string, c string").select(b.alias("b")).collect()] == [True, False, True, False]
