@@ -53,10 +53,10 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, same: bool = False
 
     Every query meets every row of its group (g null in the query: all rows). Rows are dealt into blocks of about
     `block`; queries visit each block, and a task keeps one block and streams the queries past it.
-    same: a query does not find the row of its own id. Vectors that are null, of another length than most or with null or NaN components take no part.
+    same: a query does not find the row of its own id. Vectors that are null, of another length than most or with null or non-finite components take no part.
     """
     dim = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("dim > 0").agg(F.max_by("dim", F.struct("n", -F.col("dim")))).first()[0] or 1
-    whole = lambda x, key: x.filter(F.col(key).isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda y: y.isNull() | F.isnan(y)))
+    whole = lambda x, key: x.filter(F.col(key).isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))))
     rows, queries = whole(rows, "id"), whole(queries, "query")
     n = max(1, -(-rows.count() // block))
     r = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.lit(0).alias("kind"), F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"), F.col("g").cast("string").alias("g"))
