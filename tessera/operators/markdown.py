@@ -180,7 +180,7 @@ def render(of: DataFrame, key: str, most: int, text: str = "rendered") -> DataFr
     order = Window.partitionBy(key).orderBy("section")
     x = of.withColumn("__own", own).withColumn("__size", F.length("__own") + 2)
     x = x.withColumn("__at", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    near = Window.partitionBy(key).orderBy("__at").rangeBetween(Window.currentRow, show)
+    near = Window.partitionBy(key).orderBy("__at").rangeBetween(Window.currentRow, show + 2)  # 2 for the line feeds before a section: what is left out lies behind `show` characters
     x = x.withColumn("__near", F.collect_list(F.struct("section", F.left("__own", F.lit(show)).alias("t"))).over(near))
     mine = F.filter("__near", lambda y: (y["section"] >= F.col("section")) & (y["section"] <= F.col("last")))
     whole = F.array_join(F.transform(F.array_sort(mine), lambda y: y["t"]), "\n\n")

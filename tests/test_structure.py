@@ -104,6 +104,17 @@ def test_rendering_of_six_levels_and_a_long_section(spark):
     assert {(r.doc_id, r.section, r.depth) for r in x.collect() if r.doc_id} == {(1, -1, 0), (2, -1, 0)}
 
 
+def test_rendering_is_cut_where_the_next_section_begins_just_behind_the_limit(spark):
+    """603 characters count as 150 tokens and fit; with a subsection after them, the whole does not, nor does it where that begins with the next character."""
+    for n in range(600, 608):
+        docs = spark.createDataFrame([(1, "# T\n" + "x" * (n - 5) + "\n## U")], "k int, md string")
+        got = markdown.render(markdown.sections(docs, "k", F.col("md")), "k", 150).filter("level = 1").first()["rendered"]
+        whole = "# T\n\n" + "x" * (n - 5) + "\n\n## U"
+        assert len(whole) == n + 6 and got == whole[:600] + "\n[…]", n
+    at = markdown.render(markdown.sections(spark.createDataFrame([(1, "# T\n" + "x" * 592 + "\n## U")], "k int, md string"), "k", F.col("md")), "k", 150)
+    assert at.filter("level = 1").first()["rendered"] == "# T\n\n" + "x" * 592 + "\n\n## U"
+
+
 def test_annotation(spark):
     text = "intro\n# Guide\n## GET /users/all\nx\n### Notes\ny\n## Errors\nz\n# POST /users\nw"
     x = markdown.sections(docs(spark, text), "doc_id", F.col("text")).select("doc_id", "section", "path")
