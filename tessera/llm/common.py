@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BATCH_BYTES, bound_batches  # noqa: F401 (used by the operators)
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,22 +74,6 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return near.unionByName(far)
 
 
-#: Most bytes of an Arrow batch on its way to a Python worker; Spark's own default is 64 MB for each task and direction.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(df: DataFrame) -> DataFrame:
-    """df, after lowering its session's Arrow batch size to BATCH_BYTES, unless it is lower already. Rows of long texts make the default batches heavy.
-
-    The setting stays, as Spark reads it only when the result is computed, after the operator has returned.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = df.sparkSession.conf.get(key, "67108864b").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 def slices(batches: Iterable, columns: list[str], text: str, most_bytes: int = 1 << 19) -> Iterator:
     """Cut Arrow record batches into runs of rows holding about most_bytes of text (a longer text alone is one run)."""
     import pyarrow as pa

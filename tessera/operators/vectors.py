@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import bound_batches
 from ..sources.files import fingerprint, named, stored
 
 DIM = 64
@@ -16,7 +17,7 @@ DIM = 64
 def hashed_embedding(docs: DataFrame, key: str, text: Column, dim: int = DIM) -> DataFrame:
     """key, embedding array<double>: how many words fall into each bucket of their MD5 (dim divides 256). Texts without words have none."""
     bucket = lambda w: (F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int") % dim).cast("int")
-    rows = docs.select(key, F.transform(tokens(text), bucket).alias("b"))
+    rows = bound_batches(docs.select(key, F.transform(tokens(text), bucket).alias("b")))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -98,5 +99,5 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, same: bool = False
 
     from .lexical import top_k
 
-    found = r.unionByName(q).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "query long, id long, score double")
+    found = bound_batches(r.unionByName(q)).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "query long, id long, score double")
     return top_k(found, "query", "id", k)

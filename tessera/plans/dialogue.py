@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dialogue
+from ..operators import dialogue, lexical
 from . import retrieval as R
 from .common import SQL_FOLD, SQL_TOKENS, table
 from .evaluation import SQL_PAIRS, _answers
@@ -107,11 +107,11 @@ SELECT item_id, k::INT AS "at", 'general' AS scope, 10 AS top_k, md5(query) AS q
 
 def corrective_loop(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items in at most three passes over all documents. The grade is the best share of an item's words that one document has; a rewrite drops the last third of the words."""
-    postings = R._index(spark, d).postings.select("doc_id", F.col("term").alias("w"))
+    index = R._index(spark, d)
     ask = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
 
     def search(open_: DataFrame, i: int) -> DataFrame:
-        hit = open_.select("item_id", F.explode("words").alias("w")).join(postings, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("item_id").agg(F.max("n").alias("n"))
+        hit = lexical.overlap(index, open_.select("item_id", F.explode("words").alias("term")), "item_id", 1).groupBy("item_id").agg(F.max("score").cast("long").alias("n"))
         return open_.join(hit, "item_id", "left").withColumn("share", F.round(F.coalesce("n", F.lit(0)) / F.size("words"), 6)).drop("n")
 
     def rewrite(left: DataFrame, i: int) -> DataFrame:

@@ -83,3 +83,45 @@ def test_bm25_and_cosine(spark):
     assert [(r["id"], r["score"]) for r in out] == [(1, 1.0), (2, 0.0), (3, 0.0)]
     e = vectors.hashed_embedding(d, "id", F.col("text")).collect()
     assert len(e) == 3 and all(len(r["embedding"]) == 64 for r in e)
+
+
+def test_blocks_give_only_what_can_be_among_the_best(spark, monkeypatch):
+    """Many blocks, many copies: each block hands on k hits of a query at most, and the ranking is that of all hits, computed plainly."""
+    import math
+
+    monkeypatch.setattr(lexical, "BLOCK", 60)
+    texts = {i: " ".join(f"w{j}" for j in range(1, 13) if (i * 7 + j * j) % (j + 1) == 0 or i % 3 == 0) + " w1" * (i % 4) for i in range(120)} | {200: None, 201: "..."}
+    d = spark.createDataFrame([(i, t, ("a", "b")[i % 2]) for i, t in texts.items()], "id long, text string, lang string")
+    asked = {"x": (["w1", "w5", "nowhere"], None), "y": (["w2", "w3", "w7"], "b"), "z": (["w12"], "a")}
+    q = spark.createDataFrame([(k, w, g) for k, (ws, g) in asked.items() for w in ws], "q string, term string, lang string")
+    of = lexical.index(d, "id", F.col("text"), ("lang",))
+    words = {i: (t or "").replace(".", "").split() for i, t in texts.items()}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in x for x in words.values()) for ws, _ in asked.values() for w in ws}
+    want = set()
+    for k, (ws, g) in asked.items():
+        one = lambda w, x: math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avg))
+        scores = {i: round(sum(one(w, x) for w in ws if w in x), 6) for i, x in words.items() if set(ws) & set(x) and (g is None or "ab"[i % 2] == g)}
+        want |= {(k, r + 1, i, scores[i]) for r, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:4])}
+    found = lexical.bm25(of, q, "q", most=4, group="lang")
+    assert {(r["q"], r["rank"], r["id"], r["score"]) for r in lexical.top_k(found, "q", "id", 4).collect()} == want
+    whole = lexical.top_k(lexical.bm25(of, q, "q", group="lang"), "q", "id", 4)
+    assert {(r["q"], r["rank"], r["id"], r["score"]) for r in whole.collect()} == want
+    blocks = -(-of.totals.first()["postings"] // 60)
+    assert blocks > 5 and found.count() <= 3 * 4 * blocks
+    most = {r["q"]: r["n"] for r in lexical.overlap(of, q, "q", 1).groupBy("q").agg(F.max("score").alias("n")).collect()}
+    assert most == {k: max(len(set(ws) & set(x)) for x in words.values()) for k, (ws, _) in asked.items()}
+    pruned = lexical.bm25(of, q, "q", {"lang": ["a"]}, d.filter("id < 50"), most=4)
+    assert {r["id"] for r in pruned.collect()} <= {i for i in words if i >= 50 and i % 2 == 0}
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    """Many long texts: no Arrow batch of words holds all of a part's rows."""
+    from tessera.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    d = spark.createDataFrame([(i,) for i in range(60)], "id long").coalesce(1).select("id", F.repeat(F.concat(F.lit("word"), "id", F.lit(" other ")), 10000).alias("text"))
+    for made in (lambda: lexical.index(d, "id", F.col("text")).documents, lambda: vectors.hashed_index(d, "id", F.col("text"))):
+        spark.conf.unset(key)
+        assert made().count() == 60 and int(spark.conf.get(key)) <= BATCH_BYTES
