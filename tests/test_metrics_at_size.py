@@ -2,9 +2,9 @@
 
 import re
 
-from pyspark.sql import functions as F
-
-from tessera.plans import texts
+from tessera.operators import lexical
+from tessera.plans import evaluation, texts
+from tessera.sources import files
 
 
 def test_shingles_are_counted_by_place_and_words_told_once(spark, tmp_path):
@@ -30,3 +30,16 @@ def test_shingles_are_counted_by_place_and_words_told_once(spark, tmp_path):
     assert "array_distinct" not in plan, "a text's shingles are no list"
     words = [line for line in plan.splitlines() if "regexp_extract_all" in line]
     assert len(words) == 3 and not any("Filter" in line for line in words), "documents once, items for their shingles and sizes"
+
+
+def test_documents_are_compared_and_scored_once_for_all_metrics(spark, sf, monkeypatch):
+    """Whatever asks for an item's targets or hits inside one query shares one pass over the documents."""
+    seen = []
+    score = lexical.bm25
+    monkeypatch.setattr(lexical, "bm25", lambda *a, **k: seen.append("scored") or score(*a, **k))
+    for name in ("metric_breakdown", "eval_row", "cause_histogram"):
+        monkeypatch.setattr(files, "_made", {})
+        seen.clear()
+        plan = getattr(evaluation, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert seen == ["scored"], name
+        assert not re.search(r"xxhash64\((element_at\()?w#", plan), f"{name}: shingles are compared before, once"
