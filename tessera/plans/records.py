@@ -140,7 +140,7 @@ def context_format(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents of every item of even number, as a model is shown them; the others have none."""
     i, name = F.col("doc_id"), F.concat_ws(" > ", "source", "lang")
     kind = F.element_at(F.array(*map(F.lit, ("reference_api", "guide_fonctionnel", "fiche_partenaire_agregation", "guide_utilisateur", "note_interne", ""))), (i % 6 + 1).cast("int"))
-    hits = R._lexical_hits(spark, d, 3).filter("item_id % 2 = 0").join(table(spark, d, "documents"), "doc_id")
+    hits = R._found(spark, d, 3).filter("item_id % 2 = 0").join(table(spark, d, "documents"), "doc_id")
     text = context.extract(
         F.concat(F.lit("S"), "rank"), name, F.col("text"), F.when(i % 2 == 0, F.concat(F.lit("API "), "lang")), F.when(i % 4 == 0, "1.2"), kind, F.when(i % 3 == 0, i), F.when(i % 3 == 0, i + i % 2),
         F.when(i % 5 == 0, F.concat(F.lit("https://a.example/"), i)), F.when(i % 5 != 4, F.concat("source", F.lit(".md"))),
