@@ -14,7 +14,7 @@ REFUSAL = "Je ne sais pas."
 
 def provider_rerank(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("asked"))
-    hits = R._lexical_hits(spark, d, R.POOL).select("item_id", "doc_id", F.col("rank").alias("was")).join(docs, "doc_id").join(items, "item_id")
+    hits = R._found(spark, d, R.POOL).select("item_id", "doc_id", F.col("rank").alias("was")).join(docs, "doc_id").join(items, "item_id")
     out = providers.scored(hits, providers.OverlapScorer(), F.col("asked"), F.col("text"), "rerank_score")
     return lexical.top_k(out, "item_id", "was", R.TOP, "rerank_score").select("item_id", "rank", "doc_id", "rerank_score", "was")
 
@@ -28,7 +28,7 @@ SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY
 def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items answered from their best three documents over a score; without one the refusal is given. Status and citations follow from the text."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = R._lexical_hits(spark, d, 3).filter("score >= 40").join(docs, "doc_id")
+    hits = R._found(spark, d, 3).filter("score >= 40").join(docs, "doc_id")
     context = hits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"))
     x = table(spark, d, "benchmark").select("item_id", "text").join(context, "item_id", "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
     prompt = F.to_json(F.struct(F.col("text").alias("question"), "context", F.lit(REFUSAL).alias("refusal")))
