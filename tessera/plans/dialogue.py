@@ -162,7 +162,7 @@ SSE_SQL = """SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY e
 
 def answer_outline(spark: SparkSession, d: str) -> DataFrame:
     """Hits of an item grouped by source in order of first appearance, with the languages as breadcrumb and whether the best three cite it."""
-    h = R._lexical_hits(spark, d, R.TOP).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    h = R._found(spark, d, R.TOP).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
     g = h.groupBy("item_id", "source").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("lang")), " › ").alias("breadcrumb"), (F.min("rank") <= 3).alias("cited"))
     return g.withColumn("position", F.row_number().over(Window.partitionBy("item_id").orderBy("first"))).drop("first")
 

@@ -4,7 +4,7 @@ import pytest
 from tessera.plans import registry
 
 
-@pytest.mark.parametrize("name", "rerank_order rescue_top_docs dedupe_text_hash source_numbering diversity_select parent_join context_format grounded_answers provider_rerank".split())
+@pytest.mark.parametrize("name", "rerank_order rescue_top_docs dedupe_text_hash source_numbering diversity_select parent_join context_format grounded_answers provider_rerank answer_outline".split())
 def test_hits_are_a_small_table_where_they_meet_the_documents(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS block#" not in plan, "postings are scored before the join, and once"
