@@ -365,7 +365,7 @@ def word_vectors(words: DataFrame, follow: np.ndarray, mass: np.ndarray, q: np.n
                     x = np.frombuffer(b"".join(t["seen"].slice(cut).to_pylist()), np.int64)  # the last word may go on
                     n = np.rint(np.bincount(x % k, x // k)).astype(np.int64)
                     at = np.flatnonzero(n)
-                    held = [pa.record_batch([pa.array([last.as_py()], pa.binary()), pa.array([(n[at] * k + at).tobytes()], pa.binary())], names=["word", "seen"])]
+                    held = [pa.record_batch([pa.array([last.as_py()], pa.binary()), pa.array([(n[at] * k + at).tobytes()], pa.binary())], schema=batch.schema)]  # in Spark's schema word is not null, and batches of one table must agree
                     size = held[0].nbytes
             if held:
                 yield pa.Table.from_batches(held)

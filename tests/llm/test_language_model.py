@@ -110,6 +110,28 @@ def test_learned_words_keep_the_mass_of_their_class(spark):
     assert np.allclose(model.weights.sum(1), 1)
 
 
+def test_partial_counts_may_come_in_many_batches(spark, monkeypatch):
+    """Words whose partial counts are summed on the way, as there are more than are summed at once, get the counts and vectors they get otherwise."""
+    d = _bigrams(spark).filter("doc_id < 80000").selectExpr("cast(text as binary) text").repartition(6)
+
+    def run():
+        counts, _, _, _, model = L.learn(d)
+        return {bytes(r["word"]): r["c"] for r in counts.collect()}, {bytes(r["word"]): (r["c"], np.frombuffer(r["v"], np.float32)) for r in model.vectors.collect()}
+
+    counts, a = run()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(L, "BYTES_AT_ONCE", 1)
+    try:
+        for rows in ("1", "3"):
+            spark.conf.set(key, rows)
+            _, b = run()
+            assert a and a.keys() == b.keys()
+            assert all(b[w][0] == counts[w] and np.allclose(a[w][1], b[w][1], atol=1e-3) for w in a)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_scores_equal_a_plain_scorer(spark):
     """Each text's score from the model's parts, word by word in plain Python."""
     from pyspark.sql import functions as F
